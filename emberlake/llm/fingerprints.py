@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from emberlake.llm.textkit import mix64, shingle_hashes, slices
 SAMPLES = 64
 SHINGLE = 5
 BLOCK = 2048
+MAX_SLICES = 4096
 
 
 def _gamma_quantiles(levels: int = 65_536) -> np.ndarray:
@@ -131,35 +132,50 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
     return plain.mapInArrow(run, extended(plain, **{name: T.StringType()}))
 
 
+def _rank_below(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted ``bounds`` lie under ``value``: a coarse step, then one within a run.
+
+    Two lookups in arrays of about the square root of their number, and one
+    expression each, so the plan stays small for thousands of bounds.
+    """
+    run = max(1, int(len(bounds) ** 0.5))
+    array = lambda xs: F.expr("array(" + ",".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in xs) + ")")
+    runs = [bounds[i : i + run] for i in range(0, len(bounds), run)]
+    coarse = F.size(F.filter(array([r[0] for r in runs]), lambda b: b < value))  # runs that begin under the value
+    parts = ",".join("array(" + ",".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in r) + ")" for r in runs)
+    own = F.get(F.expr(f"array({parts})"), coarse - 1)
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * run + F.size(F.filter(own, lambda b: b < value)))
+
+
 def _dealt_descending(docs: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> DataFrame:
     """Rows (id, text, part, ahead) in slices of descending ids, each slice followed by the
     first row of the next one (``ahead``), the last by the first of all.
 
-    Boundaries are quantiles of the ids; only as many ids as slices reach the driver.
+    Boundaries are quantiles of the ids; only they reach the driver, at most ``MAX_SLICES``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, top = rows.agg(F.sum(F.octet_length("text")), F.max("id")).first()
     if size is None:
         return rows.select("id", "text", F.lit(0).alias("part"), F.lit(False).alias("ahead"))
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(least, -(-size // slice_bytes))
+    wanted = min(MAX_SLICES, max(least, -(-size // slice_bytes)))
     marks = rows.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)] or [1.0], 20 * wanted)).first()[0] or []
-    heads = sorted({m for m in marks if m is not None} | ({top} if top is not None else set()), reverse=True)
+    heads = sorted({m for m in marks if m is not None} | ({top} if top is not None else set()))
     n = max(1, len(heads))
-    part = F.lit(n - 1)  # null ids come last
-    ascending = heads[::-1]
-    bounds = F.array(*[F.lit(h).cast("long") for h in ascending]) if heads else F.array().cast("array<long>")
-    below = F.size(F.filter(bounds, lambda b: b < F.col("id")))  # heads under the id
     if heads:
-        part = F.when(F.col("id").isNull(), n - 1).otherwise(n - 1 - below)
+        part = F.when(F.col("id").isNull(), n - 1).otherwise(n - 1 - _rank_below(heads, F.col("id")))  # null ids come last
+        leads = F.col("id").isin(heads)
+    else:
+        part, leads = F.lit(0), F.lit(True)
     rows = rows.withColumn("part", part.cast("int"))
-    leads = F.col("id").isin(ascending) if heads else F.lit(True)
-    places = F.when(leads, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("ahead"))))
-    places = places.otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))))
+    place = lambda p, ahead: F.struct(p.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
+    own = place(F.col("part"), False)
+    before = place(F.pmod(F.col("part") - 1, F.lit(n)), True)
+    places = F.when(leads, F.array(own, before)).otherwise(F.array(own))
     return (
         rows.select("id", "text", F.explode(places).alias("place"))
         .select("id", "text", "place.part", "place.ahead")
-        .repartition(n, "part")
+        .repartitionById(n, "part")
         .sortWithinPartitions("part", "ahead", F.desc_nulls_last("id"), F.xxhash64("text"))
     )
 
