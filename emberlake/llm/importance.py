@@ -56,7 +56,7 @@ def _scorer(log_ratio: np.ndarray):
         for part in slices(batches, "text"):
             texts = part.column("text").to_pylist()
             buckets, owner = ngram_buckets(texts)
-            total = np.bincount(owner, log_ratio[buckets], len(texts))
+            total = np.bincount(owner, log_ratio[buckets], len(texts)).astype(np.float64)
             n = np.bincount(owner, minlength=len(texts))
             columns = [part.column("id"), pa.array(n), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_grams", "log_ratio"])
