@@ -15,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WORD_CHARS = 24
 LANDMARKS = 128
 ROUNDS = 4
 HARD_WORDS = 3_000
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 4_000
 SENTENCES, SENTENCE_CHARS = 80, 400
 CACHE_WORDS = 400_000
 VARIANTS = 6
@@ -102,7 +103,7 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """Landmarks, the folded support vector weights, and Platt's calibration."""
+    """Landmarks, the folded support vector weights, and a calibration."""
 
     def __init__(self, landmarks: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
         self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, weights, bias, slope, shift
@@ -156,9 +157,18 @@ def variants(word: str, draw: np.random.Generator) -> list[str]:
 def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | None:
     """Learn from (label, sentences) of documents; None where a label is missing."""
     words = [{n for s in sentences for t in tokens_of(s) if (n := normalise(t))} for _, sentences in bags]
-    labels = np.array([label for label, _ in bags])
+    once = {}
+    for i, own in enumerate(words):  # copies, even near ones, would make chance words look telling
+        once.setdefault((bags[i][0], tuple(sorted(own, key=lambda w: (crc32(w.encode()), w))[:3])), i)
+    places = sorted(once, key=lambda k: (crc32(repr(k).encode()), k))
+    held_words = [words[once[k]] for k in places[::4]]
+    held_labels = np.array([k[0] for k in places[::4]])
+    places = [k for i, k in enumerate(places) if i % 4]
+    words, labels = [words[once[k]] for k in places], np.array([k[0] for k in places])
     if not (labels == 1).any() or not (labels == 0).any():
-        return None
+        if not {0, 1} <= {label for label, _ in bags}:
+            return None
+        words, labels = words + held_words, np.concatenate([labels, held_labels])
     toxic, clean = Counter(), Counter()
     for label, own in zip(labels, words):
         (toxic if label else clean).update(own)
@@ -204,20 +214,35 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | Non
         hard = sorted((w for w in clean if w not in held), key=lambda w: (-margin[w], w))[:HARD_WORDS]
         held.update(hard)  # the clean words nearest to insults are learned next
         negative_x = np.vstack([negative_x, kernel(subsequence_features(hard), landmarks) @ nystroem])
-    bag_margin = np.array([max((margin[w] for w in own), default=-2.0) for own in words])
-    model.slope, model.shift = _platt(bag_margin, labels)
+    # Calibrated on documents held back, whose words the machine has not seen.
+    unseen = sorted(set().union(*held_words) - margin.keys())
+    margin.update(zip(unseen, model.margins(unseen)))
+    worst = np.array([max((margin[w] for w in own), default=-2.0) for own in held_words])
+    if {0, 1} <= set(held_labels.tolist()):
+        model.slope, model.shift = _calibrate(worst, held_labels)
     return model
 
 
-def _platt(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration by gradient steps, both labels of equal weight; the slope stays positive."""
-    cost = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    slope, shift = 3.0, 0.0
-    for _ in range(3000):
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -60, 60)))
-        error = cost * (p - labels)
-        slope, shift = max(0.5, slope - 4 * (error * margin).sum()), shift - 4 * error.sum()
-    return slope, shift
+def _calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic score of documents.
+
+    One half lies at the margin that errs least on them (a cost of one for
+    either kind), at two thirds of the widest such gap, as unseen clean words
+    outnumber unseen insults; the slope is fitted by
+    gradient steps with that place held.
+    """
+    order = np.argsort(margin, kind="stable")
+    m, y = margin[order], labels[order]
+    errors = np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y == 0) + np.cumsum(y == 1)])
+    edges = np.concatenate([[m[0] - 2], m, [m[-1] + 2]])
+    gap = np.where(errors == errors.min(), np.diff(edges), -1.0)
+    at = int(gap.argmax())
+    middle = edges[at] + (edges[at + 1] - edges[at]) * 2 / 3
+    slope = 3.0
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-np.clip(slope * (margin - middle), -60, 60)))
+        slope = float(np.clip(slope - 4 * ((p - labels) * (margin - middle)).mean(), 1.0, 12.0))
+    return slope, -slope * middle
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", seed: int = 0) -> list[tuple[int, list[str]]]:

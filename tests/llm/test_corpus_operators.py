@@ -351,12 +351,16 @@ def test_toxicity_on_held_out_text(spark):
 
 
 def test_toxicity_on_awkward_tables(spark, awkward, empty):
-    model = toxicity.fit([(1, ["you idiot of words"])] * 5 + [(0, ["plain words of text"])] * 20)
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(toxicity.training_bags(spark.read.parquet(f"{sf}/documents.parquet"), labels))
     rows = toxicity.score(awkward, model).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["toxicity"] < 0.5 for r in rows)
-    assert toxicity.score(empty, None).count() == 0
+    assert toxicity.score(empty, model).count() == 0
+    assert {r["toxicity"] for r in toxicity.score(awkward, None).collect()} == {0.0}
+    assert toxicity.training_bags(empty, labels.where("false")) == [] and toxicity.fit([]) is None
     assert toxicity.fit([(0, ["a"])]) is None
-    assert toxicity.tokens_of("you i d i o t there a b") >= {"idiot"} or "idiotab" not in toxicity.tokens_of("you i d i o t there")
+    assert "idiot" in toxicity.tokens_of("you i d i o t there")
 
 
 # mixing
