@@ -13,6 +13,23 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+# Session settings that bound disk and memory, each with Spark's default that it replaces:
+# a query's shuffle files go when it has ended, and batches for Python stay small
+# however long the texts are.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Apply ``SETTINGS`` where the session still has Spark's defaults."""
+    for name, (default, value) in SETTINGS.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
@@ -31,12 +48,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     The written table survives lost executors and cuts the lineage, so an
     expensive parse runs once. The folder belongs to the checkpoint directory
-    and goes when that is cleaned.
+    and goes when that is cleaned, or by ``unstage``. Shuffle files go with
+    the query (``SETTINGS``): what stays is staged.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    prepare(spark)
+    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{label}")
+    out = spark.read.schema(df.schema).parquet(f"{path}/{label}")
+    out._staged = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
