@@ -24,7 +24,7 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 KNAPSACK_BUDGET = 4096
-RANK_ROWS = 20_000
+RANK_ROWS = 1_000
 SALTS = 16
 
 
