@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import extended
+from emberlake.llm.common import extended, prepare
 from emberlake.llm.textkit import mix64, slices
 
 NO_RANK = np.int32(2**31 - 1)
@@ -87,6 +87,7 @@ class BpeCodec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _merge_matrix(self, ids: np.ndarray) -> list[np.ndarray]:
         """Merge the rows of a matrix padded with -1 until no pair has a rank."""
@@ -163,9 +164,12 @@ class BpeCodec:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Token ids of each text (null: none), as many as the longest merges leave."""
         split = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
+        if len(self.known) > CACHE_PIECES // 2:  # two generations: pieces still in use move on
+            self.older, self.known = self.known, {}
+        new = set(chain.from_iterable(split)) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((piece, self.older[piece]) for piece in again)
+        new = sorted(new - again)
         todo = []
         for piece in new:
             whole = self.ranks.get(piece.encode())
@@ -203,6 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     it may have under the two new names are replaced. The rank file is read
     where the query is built and travels as a broadcast of its fixed size.
     """
+    prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     plain = docs.drop("token_ids", "decoded")
     names = [*plain.columns, "token_ids", "decoded"]
