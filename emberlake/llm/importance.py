@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import bounded_sample, stage, unit_hash
+from emberlake.llm.common import bounded_sample, prepare, stage, unit_hash
 from emberlake.llm.textkit import mix64, slices, word_hashes
 
 BUCKETS = 1 << 15
@@ -106,6 +106,7 @@ def importance_weights(docs: DataFrame, targets: DataFrame, id_col: str = "doc_i
     """
     ids = bounded_sample(targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), TARGET_ROWS, seed, "id")
     target_ids = np.array(sorted(r["id"] for r in ids.collect()), np.int64)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_counter(target_ids), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import bounded_sample, extended, unit_hash
+from emberlake.llm.common import bounded_sample, extended, prepare, unit_hash
 from emberlake.llm.textkit import slices
 
 BUCKETS = 1 << 15
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reje
     (it keeps its score). A model without languages calls everything ``und``.
     Columns of ``docs`` under the two names are replaced; all others stay.
     """
+    prepare(docs.sparkSession)
     plain = docs.drop("lang_pred", "lang_score")
     names = [*plain.columns, "lang_pred", "lang_score"]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import bounded_sample, extended
+from emberlake.llm.common import bounded_sample, extended, prepare
 from emberlake.llm.textkit import slices
 
 DIM = 512
@@ -266,6 +266,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text")
     or have no letters score as an empty text does, near 0; without a model all
     score 0. A column called ``toxicity`` is replaced; all others stay.
     """
+    prepare(docs.sparkSession)
     plain = docs.drop("toxicity")
     names = [*plain.columns, "toxicity"]
 
