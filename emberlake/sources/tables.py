@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +50,6 @@ def migrate(entries: DataFrame, domain: str = "general") -> DataFrame:
 
 def pack_vector(v: Column) -> Column:
     """Little-endian 32-bit floats of an array, as bytes."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.BinaryType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
@@ -60,9 +59,6 @@ def pack_vector(v: Column) -> Column:
 
 def unpack_vector(data: Column, dim: int) -> Column:
     """The floats of packed bytes; null where the length is not that of ``dim`` floats."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None or len(b) != 4 * dim else np.frombuffer(b, "<f4").tolist())

@@ -44,7 +44,7 @@ def test_scorers(spark):
 @pytest.mark.parametrize("distance, want", [(1, {(0, 0)}), (2, {(0, 0), (1, 0)})])
 def test_fuzzy(spark, distance, want):
     index = index_of(spark, "kitten sat", "dog")
-    got = lexical.fuzzy_matches(index, words_of(spark, "kiten sat", "kitns sat", "cat"), distance)
+    got = lexical.fuzzy_matches(index, words_of(spark, "kiten sat", "kitn sat", "horse"), distance)
     assert {(r["query_id"], r["entry_id"]) for r in got.collect()} == want
     with pytest.raises(ValueError):
         lexical.fuzzy_matches(index, words_of(spark, "a"), 4)
@@ -52,7 +52,7 @@ def test_fuzzy(spark, distance, want):
 
 def test_nearest_blocks_agree(spark, monkeypatch):
     draw = random.Random(4)
-    rows = [(i, [draw.gauss(0, 1) for _ in range(6)], i % 2) for i in range(60)] + [(100, [1.0, 0, 0, 0, 0, 0], 0), (101, [1.0, 0, 0, 0, 0, 0], 0)]
+    rows = [(i, [draw.gauss(0, 1) for _ in range(6)], i % 2) for i in range(60)] + [(100, [1.0] + [0.0] * 5, 0), (101, [1.0] + [0.0] * 5, 0)]
     frame = spark.createDataFrame(rows, "id long, v array<double>, s int")
     run = lambda **k: sorted(map(tuple, nearest.nearest(frame.withColumnRenamed("id", "qid"), frame.withColumnRenamed("id", "rid"), 3, **k).select("qid", "rid", "similarity", "rank").collect()))
     whole = run(skip_self=True, on=["s"])
@@ -250,9 +250,9 @@ def test_rate_limit_and_breaker_equal_simulation(spark):
 def test_memo_and_touch_do_not_slide(spark):
     rows = [("a", float(t), t, False) for t in (0, 30, 59, 60, 100, 119, 125)]
     got = lifecycle.fixed_memo(frame(spark, rows), ["key"], F.col("ts"), "id", 60.0).orderBy("id").collect()
-    assert [r["hit"] for r in got] == [False, True, True, False, True, True, True]
+    assert [r["hit"] for r in got] == [False, True, True, False, True, True, False]
     got = registry.touch_once(frame(spark, rows), ["key"], F.col("ts"), "id").orderBy("id").collect()
-    assert [r["touched"] for r in got] == [True, False, False, True, False, False, True] or [r["touched"] for r in got][:4] == [True, False, False, True]
+    assert [r["touched"] for r in got] == [True, False, False, True, False, False, True]
 
 
 def test_streams_equal_batch(spark, tmp_path):
