@@ -9,8 +9,6 @@ meets in a task, never a source's documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,9 +111,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
     return repeats, extra
 
 
-def _fit(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    pdf = group
-    order = pdf.sort_values("size").reset_index(drop=True)
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """One source: a row for each of its lengths, with its repeats and extra documents."""
+    order = rows.sort_values("size").reset_index(drop=True)
     lengths, counts = order["size"].to_numpy(np.int64), order["n"].to_numpy(np.int64)
     repeats, extra = fit_budget(lengths, counts, float(order["target"].iloc[0]))
     order["repeats"], order["extra"] = repeats, extra
@@ -155,7 +153,7 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     draw = F.xxhash64(F.lit(seed), "id", "row")
     planned = (
         rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["skey", "size", "salt"])
+        .join(salted.hint("merge"), ["skey", "size", "salt"])  # the salted plan grows with the lengths: never broadcast
         .withColumn("draw", draw)
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(2), "draw"), F.col("buckets")).cast("int"))
     )
