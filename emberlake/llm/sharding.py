@@ -24,6 +24,7 @@ from emberlake.llm.common import stage, unit_hash
 RANGES_PER_SHARD = 48
 RANGE_ROWS = 500_000
 SAMPLES_PER_RANGE = 12
+RANGE_BYTES = 4 << 30
 UNITS_PER_PIECE = 16
 
 
@@ -153,7 +154,17 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
         crowded = rows.mapInArrow(_with_unit(splitters), schema).where(F.col("unit").isin(list(over)))
         rate = SAMPLES_PER_RANGE * 8 * sum(over.values()) / max(1, sum(stats[u][0] for u in over))
         hashes, ids, weights, unit = _sample(crowded, rate)
-        splitters.subdivide({u: _quantiles(hashes[unit == u], ids[unit == u], weights[unit == u], k) for u, k in over.items()})
+        subs = {}
+        for u, pieces in over.items():
+            own = unit == u
+            at_hash, at_id = _quantiles(hashes[own], ids[own], weights[own], pieces)
+            groups, place = np.unique(hashes[own], return_inverse=True)
+            held = np.bincount(place, weights[own], len(groups)) / rate  # bytes of each group, estimated
+            small = held[np.searchsorted(groups, at_hash)] <= min(share, RANGE_BYTES)
+            at_id[small] = np.iinfo(np.int64).min  # a group that fits is never cut
+            pairs = np.unique(np.stack([at_hash, at_id], axis=1), axis=0)
+            subs[u] = (pairs[:, 0].copy(), pairs[:, 1].copy())
+        splitters.subdivide(subs)
         stats = stats_of()
     place = _pack(stats, splitters, n_shards)
     size = max(place, default=0) + 1
