@@ -26,7 +26,7 @@ from emberlake.llm.textkit import mix64, slices
 NO_RANK = np.int32(2**31 - 1)
 LONG_ROW = 4096
 MATRIX_CELLS = 4_000_000
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +84,9 @@ class BpeCodec:
         self.ranks = ranks
         self.table = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -169,7 +171,7 @@ class BpeCodec:
         new = set(chain.from_iterable(split)) - self.known.keys()
         again = new & self.older.keys()
         self.known.update((piece, self.older[piece]) for piece in again)
-        new = sorted(new - again)
+        new -= again
         todo = []
         for piece in new:
             whole = self.ranks.get(piece.encode())
