@@ -21,7 +21,7 @@ from emberlake.llm.common import ordered_index, stage
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-KNAPSACK_BUDGET = 4096
+KNAPSACK_BUDGET = 32_768
 RANK_ROWS = 1_000
 SALTS = 16
 
@@ -60,22 +60,27 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take (at most ``left``) for a sum closest below or at ``budget``.
+    """How many of each length to take (at most ``left``) for the sum nearest to ``budget``, the lower of two as near.
 
     Dynamic programming over reachable sums; a length's copies are split into
     binary chunks, and each sum remembers the first chunk that reached it.
     """
-    reached = np.zeros(budget + 1, dtype=bool)
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    usable = np.flatnonzero((lengths > 0) & (left > 0))
+    if budget <= 0 or not len(usable):
+        return taken
+    top = budget + int(min(lengths[usable].min(), budget))  # nothing further above can be nearer than nothing
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, dtype=np.int64)
+    by = np.full(top + 1, -1, dtype=np.int64)
     chunks: list[tuple[int, int]] = []
-    for i in np.flatnonzero((lengths <= budget) & (left > 0)):
-        copies, k = min(int(left[i]), budget // int(lengths[i])), 1
+    for i in usable[lengths[usable] <= top]:
+        copies, k = min(int(left[i]), top // int(lengths[i])), 1
         while copies > 0 and not reached[budget]:
             take = min(k, copies)
             weight = take * int(lengths[i])
             new = np.zeros_like(reached)
-            new[weight:] = reached[: budget + 1 - weight]
+            new[weight:] = reached[: top + 1 - weight]
             new &= ~reached
             by[new] = len(chunks)
             chunks.append((int(i), take))
@@ -83,8 +88,8 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
             copies, k = copies - take, 2 * k
         if reached[budget]:
             break
-    taken = np.zeros(len(lengths), dtype=np.int64)
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
     while at:
         i, take = chunks[by[at]]
         taken[i] += take
@@ -93,22 +98,26 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """Whole repeats of all documents, and for each length how many get one more."""
+    """Whole repeats of all documents, and for each length how many more are taken (no document over the cap).
+
+    Most of the rest is an even share of every length; the last
+    ``KNAPSACK_BUDGET`` words are left to the knapsack.
+    """
     total = int((lengths * counts).sum())
     if total == 0:
         return 0, np.zeros(len(lengths), np.int64)
     repeats = min(MAX_REPEATS, int(target // total))
     rest = max(0, round(target - repeats * total)) if repeats < MAX_REPEATS else 0
-    extra = np.minimum(counts, (counts * (rest / total)).astype(np.int64))
+    room = counts * (MAX_REPEATS - repeats)
+    extra = np.minimum(counts, (counts * (max(0, rest - KNAPSACK_BUDGET) / total)).astype(np.int64))
     rest -= int((extra * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):  # one more of a length at a time, until the knapsack can close it
         if rest <= KNAPSACK_BUDGET:
             break
-        if 0 < lengths[i] <= rest and extra[i] < counts[i]:
+        if 0 < lengths[i] <= rest and extra[i] < room[i]:
             extra[i] += 1
             rest -= int(lengths[i])
-    extra += knapsack(lengths, counts - extra, min(max(rest, 0), KNAPSACK_BUDGET))
-    return repeats, extra
+    return repeats, extra + knapsack(lengths, room - extra, min(rest, KNAPSACK_BUDGET))
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +125,8 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     order = rows.sort_values("size").reset_index(drop=True)
     lengths, counts = order["size"].to_numpy(np.int64), order["n"].to_numpy(np.int64)
     repeats, extra = fit_budget(lengths, counts, float(order["target"].iloc[0]))
-    order["repeats"], order["extra"] = repeats, extra
+    order["repeats"] = (repeats + extra // counts).astype(np.int32)
+    order["extra"] = extra % counts
     return order[["skey", "size", "n", "source_size", "target", "repeats", "extra"]]
 
 
