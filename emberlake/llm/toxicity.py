@@ -250,13 +250,13 @@ def training_bags(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     at most ``SENTENCES`` sentences of ``SENTENCE_CHARS`` characters, all chosen by hash."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     parts = [bounded_sample(known.where(F.col("label") == y), n, seed, id_col) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("__id"), "label")
+    chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("__id"), F.col("label").alias("__label"))
     pieces = F.split(F.col(text_col), r"(?<=[.!?])\s+|\n")
     sentences = F.slice(F.sort_array(F.transform(pieces, lambda s: F.struct(F.xxhash64(s).alias("h"), F.substring(s, 1, SENTENCE_CHARS).alias("s")))), 1, SENTENCES)
     # The sample has at most SAMPLE_TOXIC + SAMPLE_CLEAN ids, so it is broadcast.
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
-    got = rows.select("__id", "label", F.transform(sentences, lambda x: x["s"]).alias("sentences")).collect()
-    return [(r["label"], r["sentences"]) for r in sorted(got, key=lambda r: (r["__id"], r["sentences"]))]
+    got = rows.select("__id", "__label", F.transform(sentences, lambda x: x["s"]).alias("sentences")).collect()
+    return [(r["__label"], r["sentences"]) for r in sorted(got, key=lambda r: (r["__id"], r["sentences"]))]
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
