@@ -12,8 +12,11 @@ Equal texts are folded into one before anything else. In a band's bucket each
 text is paired with the bucket's least id and with its neighbour in the order
 of another hash, not with every other text; texts that fail against the least id
 are compared again among themselves, with the least id among them, for up to
-``ROUNDS`` more rounds. A pair of similarity 0.8 shares 8 of the 25 bands on
-average, so it has that many chances to be linked, directly or over a third.
+``ROUNDS`` more rounds. Buckets that then still hold several components are
+settled exactly: few pairs are compared one by one, and the members of a crowd
+meet by a prefix join on their rarest shingles, which no pair of the threshold
+escapes. Every two texts that share a band are thus linked, connected over
+others, or proven to be under the threshold.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ BANDS = 25
 ROWS = COORDINATES // BANDS
 BUCKET_ROWS = 5_000
 ROUNDS = 6
+DIRECT = 4  # pairs a member up to which a bucket's rest is compared one by one
+SLOTS = 1 << 18  # counters of shingles that order the prefixes of a crowd: 2 MB in a worker
+PAIR_ROWS = 1_000_000
 LAYER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -195,8 +201,65 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int) -> DataFrame:
-    """Verified links (a < b) between different texts, staged; what led to them is deleted."""
+def _crossing(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) that share a key and lie in different components, from (key, id, comp, size, index).
+
+    Of each pair the smaller text must be indexed and the sizes must allow
+    ``threshold``. Members of a key's largest component meet only those outside
+    it, so a component costs nothing among itself; the pairs of a hot key are salted.
+    """
+    tallies = rows.groupBy("key", "comp").agg(F.count("*").alias("m"), F.count_if("index").alias("indexed"))
+    keys = tallies.groupBy("key").agg(
+        F.max(F.struct("m", "comp")).alias("largest"), F.sum("m").alias("n"), F.sum("indexed").alias("indexed")
+    ).where((F.col("n") > F.col("largest.m")) & (F.col("indexed") > 0))
+    keys = keys.select("key", F.col("largest.comp").alias("major"), F.ceil(F.col("n") * F.col("indexed") / PAIR_ROWS).cast("int").alias("salts"))
+    held = rows.join(keys, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    left = held.where("index").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("wx"), F.col("minor").alias("mx")
+    )
+    right = held.select(
+        "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("wy"), F.col("minor").alias("my")
+    )
+    may = (F.col("cx") != F.col("cy")) & (F.col("wx") <= F.col("wy")) & (F.col("wx") >= F.col("wy") * threshold - 1e-6)
+    sides = [(left.where("mx"), right), (left.where("not mx"), right.where("my"))]
+    met = [a.join(b, ["key", "salt"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for a, b in sides]
+    return met[0].unionByName(met[1]).distinct()
+
+
+def _postings(held: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, size, index): the shingles of each text by which all its partners of ``threshold`` can be found.
+
+    Shingles are ordered from rare to frequent by counters of their hash; any
+    one order of all texts is exact. Of two texts with enough in common one
+    shingle lies in the prefix of both, and in the shorter, indexed prefix of
+    the smaller text.
+    """
+    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
+    counted = held.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).count().toArrow()
+    slots = np.zeros(SLOTS, np.int64)
+    slots[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                s, again = (batch.column(c)[row].values.to_numpy() for c in ("shingles", "again"))
+                w = _weights(len(s), again)
+                seen = slots[s & (SLOTS - 1)]
+                order = np.lexsort((s, seen))
+                begin, total = np.cumsum(w[order]) - w[order], int(w.sum())
+                use = (begin < np.floor(total * (1 - threshold) + 1e-6) + 1) & (seen[order] > 1)
+                index = begin < np.floor(total * (1 - threshold) / (1 + threshold) + 1e-6) + 1
+                n = int(use.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s[order[use]].astype(np.int64)), pa.array(np.full(n, batch.column("id")[row].as_py())), pa.array(np.full(n, total)), pa.array(index[use])],
+                    names=["key", "id", "size", "index"],
+                )
+
+    return held.select("id", "shingles", "again").where(F.size("shingles") > 0).mapInArrow(prefixes, "key long, id long, size long, index boolean")
+
+
+def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a < b) between different texts and their components (id, root), staged; what led to them is deleted."""
     scratch = [features]
 
     def keep(df: DataFrame, label: str) -> DataFrame:
@@ -231,8 +294,26 @@ def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int
         scored = keep(_scored(pairs.join(found, ["a", "b"], "left_anti"), held).unionByName(known).distinct(), "scored")
         found = found.unionByName(scored)
     links = stage(found.where(F.col("score") >= threshold).select("a", "b").distinct(), "links")
+    roots = components(links)
+    # What the rounds left: pairs of a bucket whose members are not connected.
+    crowded = members.where("n > 2").select(F.col("band").alias("key"), "id").join(roots, "id", "left")
+    crowded = keep(crowded.select("key", "id", F.coalesce("root", "id").alias("comp")), "crowded")
+    tallies = crowded.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within"))
+    open_pairs = (F.col("n") * F.col("n") - F.col("within")) / 2
+    tallies = keep(tallies.where(open_pairs > 0).select("key", (open_pairs > DIRECT * F.col("n")).alias("dense")), "open")
+    few = crowded.join(tallies.where("not dense"), "key", "left_semi").withColumn("size", F.lit(1)).withColumn("index", F.lit(True))
+    left = _crossing(few, 1.0)
+    dense = keep(crowded.join(tallies.where("dense"), "key", "left_semi").select("id", "comp").distinct(), "dense")
+    if dense.limit(1).count():
+        postings = keep(_postings(held.join(dense, "id", "left_semi"), threshold).join(dense, "id"), "postings")
+        left = left.unionByName(_crossing(postings, threshold)).distinct()
+    left = keep(left.join(found, ["a", "b"], "left_anti"), "left")
+    more = keep(_scored(left, held).where(F.col("score") >= threshold).select("a", "b"), "more")
+    if more.limit(1).count():
+        links = stage(links.unionByName(more).distinct(), "links")
+        roots = components(links)
     unstage(*scratch)
-    return links
+    return links, roots
 
 
 def near_duplicates(
@@ -260,9 +341,9 @@ def near_duplicates(
     own = docs.where(F.col(id_col).isNotNull() & texts.isNotNull()).select(F.col(id_col).cast("long").alias("id"), texts.alias("text"))
     features = stage(own.mapInArrow(_features, "id long, bands array<long>, shingles array<int>, again array<int>"), "features")
     copies = same.where(F.col("id") != F.col("text_id"))
-    links = _links(features, copies, threshold, rounds)
+    links, roots = _links(features, copies, threshold, rounds)
     degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
-    roots = components(links).withColumnRenamed("id", "text_id")
+    roots = roots.withColumnRenamed("id", "text_id")
     out = same.join(roots.join(degree, "text_id"), "text_id", "left")
     return out.select("id", F.coalesce("root", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -177,6 +177,26 @@ def test_near_duplicates_match_brute_force(spark, documents):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_inside_a_crowd_of_templates(spark):
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    base = words(354)  # 350 shingles
+    texts = {}
+    for i in range(240):  # alike at 0.75 and a little less
+        own = base[:150] + words(47) + base[197:]
+        texts[i] = " ".join(own)
+        if i % 2:  # with a partner at 0.80 to 0.82
+            cut = draw.randrange(31, 35)
+            texts[1000 + i] = " ".join(own[:20] + words(cut) + own[20 + cut :])
+    table = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()}
+    want = brute_classes(texts)
+    assert got == want
+    assert len(set(want.values())) == 240
+    # The exact step alone, without rounds before it.
+    assert {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(table, rounds=0).collect()} == want
+
+
 def test_near_duplicates_on_awkward_tables(awkward, empty):
     got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(awkward).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
