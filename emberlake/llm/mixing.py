@@ -2,7 +2,8 @@
 
 Documents are counted by source and exact token length. Each source gets whole
 repeats of all its documents, then a share of every length, and a bounded
-knapsack over the lengths closes the remaining budget. Which documents of a
+knapsack over the lengths closes the remaining budget; where that misses (few or
+very long documents), the knapsack covers the whole budget. Which documents of a
 length are taken follows a seeded hash. Only one row per source and length
 meets in a task, never a source's documents.
 """
@@ -22,6 +23,8 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 KNAPSACK_BUDGET = 32_768
+WHOLE_BUDGET = 1 << 24  # words up to which the knapsack can cover a whole budget (150 MB), and its steps
+WHOLE_STEPS = 1 << 32
 RANK_ROWS = 1_000
 SALTS = 16
 
@@ -69,10 +72,10 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     usable = np.flatnonzero((lengths > 0) & (left > 0))
     if budget <= 0 or not len(usable):
         return taken
-    top = budget + int(min(lengths[usable].min(), budget))  # nothing further above can be nearer than nothing
+    top = budget + int(min(lengths[usable].max(), budget))  # a nearest sum without any one of its documents is under the budget
     reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
-    by = np.full(top + 1, -1, dtype=np.int64)
+    by = np.full(top + 1, -1, dtype=np.int32)
     chunks: list[tuple[int, int]] = []
     for i in usable[lengths[usable] <= top]:
         copies, k = min(int(left[i]), top // int(lengths[i])), 1
@@ -97,17 +100,64 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def _fill(lengths: np.ndarray, room: np.ndarray, amount: int) -> np.ndarray:
+    """How many of each length to take for ``amount``: long ones first until the knapsack can close the rest."""
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    for i in np.argsort(-lengths, kind="stable"):
+        if amount <= KNAPSACK_BUDGET:
+            break
+        if lengths[i] > 0:
+            length = int(lengths[i])
+            taken[i] = min(int(room[i]), amount // length, -((KNAPSACK_BUDGET - amount) // length))
+            amount -= int(taken[i]) * length
+    return taken if amount > KNAPSACK_BUDGET else taken + knapsack(lengths, room - taken, amount)
+
+
+def _nearer(lengths: np.ndarray, room: np.ndarray, budget: int, taken: np.ndarray) -> np.ndarray:
+    """``taken`` if no other choice comes nearer to ``budget``, else that choice.
+
+    The knapsack decides over the whole budget if its table is small enough;
+    beyond, each length too long for the rest is tried as an overshoot, less
+    what brings the sum back.
+    """
+    def miss(choice: np.ndarray) -> int:
+        return budget - int((choice * lengths).sum())
+
+    usable = np.flatnonzero((lengths > 0) & (room > 0))
+    if miss(taken) == 0 or not len(usable):
+        return taken
+    top = budget + min(int(lengths[usable].max()), budget)
+    fits = np.minimum(room[usable], top // lengths[usable])
+    if top <= WHOLE_BUDGET and top * int(np.ceil(np.log2(fits + 1)).sum()) <= WHOLE_STEPS:
+        choices = [knapsack(lengths, room, budget)]
+    else:
+        rest = miss(taken)
+        one = np.eye(1, len(lengths), dtype=np.int64)[0]
+        choices = (
+            taken + np.roll(one, i) - _fill(lengths, taken, int(lengths[i]) - rest)
+            for i in usable[(lengths[usable] > rest) & (room[usable] > taken[usable])] if rest > 0
+        )
+    best = taken
+    for choice in choices:
+        if abs(miss(choice)) < abs(miss(best)):
+            best = choice
+            if miss(best) == 0:
+                break
+    return best
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole repeats of all documents, and for each length how many more are taken (no document over the cap).
 
     Most of the rest is an even share of every length; the last
-    ``KNAPSACK_BUDGET`` words are left to the knapsack.
+    ``KNAPSACK_BUDGET`` words are left to the knapsack. Where the sum then
+    misses the target, ``_nearer`` looks for a nearer one.
     """
     total = int((lengths * counts).sum())
     if total == 0:
         return 0, np.zeros(len(lengths), np.int64)
     repeats = min(MAX_REPEATS, int(target // total))
-    rest = max(0, round(target - repeats * total)) if repeats < MAX_REPEATS else 0
+    budget = rest = max(0, round(target - repeats * total)) if repeats < MAX_REPEATS else 0
     room = counts * (MAX_REPEATS - repeats)
     extra = np.minimum(counts, (counts * (max(0, rest - KNAPSACK_BUDGET) / total)).astype(np.int64))
     rest -= int((extra * lengths).sum())
@@ -117,7 +167,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
         if 0 < lengths[i] <= rest and extra[i] < room[i]:
             extra[i] += 1
             rest -= int(lengths[i])
-    return repeats, extra + knapsack(lengths, room - extra, min(rest, KNAPSACK_BUDGET))
+    return repeats, _nearer(lengths, room, budget, extra + _fill(lengths, room - extra, rest))
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:

@@ -432,6 +432,35 @@ def test_knapsack_is_exact():
         assert abs((taken * lengths).sum() - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_mix_of_a_source_with_very_long_documents(spark):
+    def taken(lengths, counts, target):
+        lengths, counts = np.array(lengths, np.int64), np.array(counts, np.int64)
+        repeats, extra = mixing.fit_budget(lengths, counts, target)
+        assert (extra >= 0).all() and (repeats * counts + extra <= 3 * counts).all()
+        return int((lengths * (repeats * counts + extra)).sum())
+
+    short = list(range(975, 1025))
+    assert taken([*short, 200_000], [1] * 51, 190_000) == 200_000
+    assert taken([80_000], [1], 140_000) == 160_000
+    assert taken([55_000, 100_000], [1, 1], 110_000) == 110_000
+    big = [250_000 + i for i in range(50)]  # past the whole knapsack
+    assert taken([*big, 50_000_000], [1] * 51, 47_000_000) == 50_000_000
+    assert taken([10, 200_000], [10_000, 1], 190_000) == 190_000
+    draw = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.unique(draw.integers(1, 150_000, 4))
+        counts = draw.integers(1, 3, len(lengths))
+        total = int((lengths * counts).sum())
+        target = int(draw.integers(0, total))
+        sums = {0}
+        for length, n in zip(lengths, counts):
+            sums = {s + k * int(length) for s in sums for k in range(3 * n + 1)}
+        assert abs(taken(lengths, counts, target) - target) == min(abs(s - target) for s in sums)
+    docs = spark.createDataFrame([(0, "w " * 80_000, "a"), (1, "w " * 200_000, "b")], "doc_id long, text string, source string")
+    for r in mixing.mix(docs).collect():  # targets 93,333 and 186,667
+        assert r["copies"] == 1
+
+
 def test_mix_on_awkward_tables(spark, awkward, empty):
     mixed = mixing.mix(awkward)
     rows = mixed.collect()
