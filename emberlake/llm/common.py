@@ -33,11 +33,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, notebooks on one machine) a
-    folder of this process is used.
+    Only in local mode, where one machine is all there is, a folder of this
+    process stands in for an absent setting; a cluster without it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"emberlake-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -68,10 +70,58 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as set it apart from ``taken`` in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """The keys of ``counts`` that hold more than a quarter of a partition's even share, ready to broadcast.
+
+    With P shuffle partitions a hot key has over total / 4P rows (1,000 at
+    least), so there are at most 4P of them, whatever the input.
+    """
+    spark = counts.sparkSession
+    limit = max(1_000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    narrow = counts.where(F.col(n) > limit).select(*keys)
+    rows = narrow.collect() if total > limit else []
+    return F.broadcast(spark.createDataFrame(rows, narrow.schema))
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join of staged ``rows`` with a table of one row a key, such that no hot key lands in one task.
+
+    Hot keys are counted first (``hot_keys``); their few rows of ``lookup`` are
+    broadcast, the others meet in a shuffle. ``how`` is inner or left.
+    """
+    total = rows.count()
+    if total <= 1_000:  # no key can be hot
+        return rows.join(lookup, key, how)
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("__n")), [key], "__n", total)
+    picked = F.broadcast(lookup.join(hot, key, "left_semi"))  # a row for each hot key at most
+    warm = rows.join(hot, key, "left_semi").join(picked, key, how)
+    return rows.join(hot, key, "left_anti").join(lookup, key, how).unionByName(warm)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer files than there are cores: one small file is one task.
+
+    Tables of at least as many files as cores are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def extended(df: DataFrame, **columns: T.DataType) -> T.StructType:
     """The schema of ``df`` with more columns."""
     return T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in columns.items()]])
@@ -102,19 +152,20 @@ def ordered_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     Rows are range-partitioned, staged with their partition number, counted by
     partition (one row each on the driver) and numbered within partitions.
     """
-    ranged = stage(
-        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered"
-    )
+    part, base = fresh([*df.columns, name], "part", "before")
+    ranged = stage(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
     before, counts = 0, []
-    for row in ranged.groupBy("__part").count().orderBy("__part").collect():
-        counts.append((row["__part"], before))
-        before += row["count"]
-    schema = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__before", T.LongType())])
-    offsets = df.sparkSession.createDataFrame(counts, schema)
-    within = Window.partitionBy("__part").orderBy(*order)
-    return (
+    for row in ranged.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect():
+        counts.append((row[part], before))
+        before += row["n"]
+    schema = T.StructType([T.StructField(part, T.IntegerType()), T.StructField(base, T.LongType())])
+    offsets = df.sparkSession.createDataFrame(counts, schema)  # a row for each partition
+    within = Window.partitionBy(part).orderBy(*order)
+    out = (
         ranged.withColumn(name, F.row_number().over(within).cast("long") - 1)
-        .join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col(name) + F.col("__before"))
-        .drop("__part", "__before")
+        .join(F.broadcast(offsets), part)
+        .withColumn(name, F.col(name) + F.col(base))
+        .drop(part, base)
     )
+    out._staged = ranged._staged
+    return out

@@ -8,7 +8,7 @@ K ln K + 2K of them are made; each dart falls on one of K coordinates, and a
 coordinate keeps its earliest dart. Signatures are cut into bands; texts that
 share a band are candidates, and every candidate pair is verified exactly.
 
-Equal texts are folded into one before anything else. In a band's bucket each
+Equal texts are folded into one before signatures are made. In a band's bucket each
 text is paired with the bucket's least id and with its neighbour in the order
 of another hash, not with every other text; texts that fail against the least id
 are compared again among themselves, with the least id among them, for up to
@@ -21,7 +21,7 @@ others, or proven to be under the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import stage, unstage
+from emberlake.llm.common import dealt, fresh, join_spread, stage, unstage
 from emberlake.llm.textkit import mix64, shingle_hashes, slices
 
 SHINGLE = 5
@@ -38,7 +38,7 @@ COORDINATES = 125
 BANDS = 25
 ROWS = COORDINATES // BANDS
 BUCKET_ROWS = 5_000
-ROUNDS = 6
+ROUNDS = 2  # of comparisons with heads before what is left is settled exactly
 DIRECT = 4  # pairs a member up to which a bucket's rest is compared one by one
 SLOTS = 1 << 18  # counters of shingles that order the prefixes of a crowd: 2 MB in a worker
 PAIR_ROWS = 1_000_000
@@ -87,8 +87,8 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarra
     return signature
 
 
-def text_signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of texts, and their distinct shingles as (hashes, counts, offsets)."""
+def distinct_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of texts as (hashes, counts, offsets by text), sorted within each text."""
     shingles, at = shingle_hashes(texts, SHINGLE)
     owners = np.repeat(np.arange(len(texts)), np.diff(at))
     order = np.lexsort((shingles, owners))
@@ -96,10 +96,14 @@ def text_signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.n
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     begin = np.flatnonzero(first)
-    counts = np.diff(np.append(begin, len(h)))
-    h, o = h[begin], o[begin]
-    offsets = np.searchsorted(o, np.arange(len(texts) + 1))
-    return dart_signatures(h, counts.astype(np.float64), o, len(texts), k), h, counts, offsets
+    return h[begin], np.diff(np.append(begin, len(h))), np.searchsorted(o[begin], np.arange(len(texts) + 1))
+
+
+def text_signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (texts, k), and how many distinct shingles each text has."""
+    h, counts, offsets = distinct_shingles(texts)
+    sizes = np.diff(offsets)
+    return dart_signatures(h, counts.astype(np.float64), np.repeat(np.arange(len(texts)), sizes), len(texts), k), sizes
 
 
 def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
@@ -111,33 +115,27 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _shortened(shingles: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles cut to their upper 32 bits; those of one text that fall together add their counts."""
-    short = (shingles >> np.uint64(32)).astype(np.uint32)
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    first = np.ones(len(short), dtype=bool)
-    first[1:] = (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])  # they are sorted within each text
-    begin = np.flatnonzero(first)
-    summed = np.add.reduceat(counts, begin) if len(begin) else counts
-    return short[begin], summed, np.searchsorted(begin, at)
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, bands): the band keys of each text; none for a text without words."""
+    for part in slices(batches, "text", 200_000):
+        signatures, sizes = text_signatures(part.column("text").to_pylist())
+        filled = sizes > 0
+        ends = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(signatures[filled], BANDS).ravel()))
+        yield pa.RecordBatch.from_arrays([part.column("id"), bands], names=["id", "bands"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles, again): 64-bit hashes of the distinct shingles, and (place, extra weight) of those that repeat."""
     for part in slices(batches, "text", 200_000):
-        signatures, shingles, counts, at = text_signatures(part.column("text").to_pylist())
-        shingles, counts, at = _shortened(shingles, counts, at)
-        filled = np.diff(at) > 0
-        bands = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)), pa.array(band_keys(signatures[filled], BANDS).ravel())
-        )
-        offsets = pa.array(at.astype(np.int32))
-        short = pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int32)))
-        heavy = [np.flatnonzero(counts[a:b] > 1) for a, b in zip(at[:-1], at[1:])]
-        again = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum([2 * len(x) for x in heavy])]).astype(np.int32)),
-            pa.array(np.concatenate([np.stack([x, counts[a:b][x] - 1], axis=1).ravel() for x, a, b in zip(heavy, at[:-1], at[1:])] or [np.zeros(0)]).astype(np.int32)),
-        )
-        yield pa.RecordBatch.from_arrays([part.column("id"), bands, short, again], names=["id", "bands", "shingles", "again"])
+        hashes, counts, at = distinct_shingles(part.column("text").to_pylist())
+        shingles = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+        heavy = np.flatnonzero(counts > 1)
+        owner = np.searchsorted(at, heavy, side="right") - 1
+        ends = np.concatenate([[0], np.cumsum(2 * np.bincount(owner, minlength=len(part)))]).astype(np.int32)
+        pairs = np.stack([heavy - at[owner], counts[heavy] - 1], axis=1).ravel().astype(np.int32)
+        again = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))
+        yield pa.RecordBatch.from_arrays([part.column("id"), shingles, again], names=["id", "shingles", "again"])
 
 
 def _weights(n: int, again: np.ndarray) -> np.ndarray:
@@ -189,15 +187,16 @@ def components(links: DataFrame) -> DataFrame:
         ends = left.select("a", F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("other")))
         hung = stage(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("other"), F.col("a")).alias("up")), "hung")
         further = hung.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        tops = stage(hung.join(further, "up").select("node", "top"), "tops")
-        renamed = labels.join(tops, labels["root"] == tops["node"], "left").select("id", F.coalesce("top", "root").alias("root"))
-        renamed = stage(renamed, "labels")
-        one = tops.select(F.col("node").alias("a"), F.col("top").alias("top_a"))
-        two = tops.select(F.col("node").alias("b"), F.col("top").alias("top_b"))
-        moved = left.join(one, "a").join(two, "b").where(F.col("top_a") != F.col("top_b"))
+        tops = stage(join_spread(hung, further, "up").select("node", "top"), "tops")
+        renamed = join_spread(labels, tops.select(F.col("node").alias("root"), "top"), "root", "left")
+        renamed = stage(renamed.select("id", F.coalesce("top", "root").alias("root")), "labels")
+        one = join_spread(left, tops.select(F.col("node").alias("a"), F.col("top").alias("top_a")), "a")
+        half = stage(one.select("b", "top_a"), "half")
+        moved = join_spread(half, tops.select(F.col("node").alias("b"), F.col("top").alias("top_b")), "b").where(F.col("top_a") != F.col("top_b"))
         moved = stage(moved.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), "contracted")
-        unstage(hung, tops, labels, left)
+        unstage(hung, tops, labels, left, half)
         labels, left = renamed, moved
+    unstage(left)
     return labels
 
 
@@ -258,19 +257,21 @@ def _postings(held: DataFrame, threshold: float) -> DataFrame:
     return held.select("id", "shingles", "again").where(F.size("shingles") > 0).mapInArrow(prefixes, "key long, id long, size long, index boolean")
 
 
-def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a < b) between different texts and their components (id, root), staged; what led to them is deleted."""
-    scratch = [features]
+def _links(banded: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a < b) between different texts and their components (id, root), staged; what led to them is deleted.
+
+    ``banded`` has the bands of every distinct text, ``texts`` gives (id, text) for a set of ids.
+    """
+    scratch = [banded]
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         scratch.append(stage(df, label))
         return scratch[-1]
 
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    banded = features.select("id", "bands").join(copies.select("id"), "id", "left_anti")
-    buckets = banded.select("id", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = keep(buckets.join(heads, "band").distinct(), "buckets")
+    buckets = keep(banded.select("id", F.explode(F.array_distinct("bands")).alias("band")), "buckets")
+    heads = keep(buckets.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1), "heads")
+    members = keep(join_spread(buckets, heads, "band"), "members")
     # One order of ids for all bands: neighbours in one band are mostly neighbours in the next.
     salted = members.where("n > 2").withColumn("spot", F.xxhash64("id"))
     salted = salted.withColumn("salt", F.floor(F.col("spot") / F.lit(2.0**64) * F.ceil(F.col("n") / BUCKET_ROWS)))
@@ -279,14 +280,13 @@ def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int
     todo = members.where(F.col("id") != F.col("head")).select("id", "band", "head")
     pairs = keep(todo.select(*pair("head", "id")).unionByName(neighbour.select(*pair("near", "id"))).distinct(), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Merged at every size: shingles move once, whatever the number of candidates.
-    held = keep(features.select("id", "shingles", "again").join(involved.hint("merge"), "id", "left_semi"), "shingles")
+    held = keep(texts(involved).mapInArrow(_weighed, "id long, shingles array<long>, again array<int>"), "shingles")
     found = scored = keep(_scored(pairs, held), "scored")
     for _ in range(rounds):
         far = scored.where(F.col("score") < threshold)
         failed = keep(todo.join(far, (F.col("a") == F.col("head")) & (F.col("b") == F.col("id"))).select("id", "band"), "failed")
         heads = failed.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-        todo = keep(failed.join(heads, "band").where(F.col("id") != F.col("head")), "again")
+        todo = keep(join_spread(failed, heads, "band").where(F.col("id") != F.col("head")), "again")
         pairs = todo.select(*pair("head", "id")).distinct()
         if not pairs.limit(1).count():
             break
@@ -310,46 +310,89 @@ def _links(features: DataFrame, copies: DataFrame, threshold: float, rounds: int
     left = keep(left.join(found, ["a", "b"], "left_anti"), "left")
     more = keep(_scored(left, held).where(F.col("score") >= threshold).select("a", "b"), "more")
     if more.limit(1).count():
+        scratch += [links, roots]
         links = stage(links.unionByName(more).distinct(), "links")
         roots = components(links)
     unstage(*scratch)
     return links, roots
 
 
+def _chosen(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[DataFrame | None], DataFrame]]:
+    """One text an id and one id a text: (id, text_id, key, n) staged, and a reader of the texts.
+
+    ``key`` is the text's hash, ``n`` how many rows have the id. The reader
+    gives (id, text), once for each distinct text that is not null, of all or
+    of the given ``id`` rows. Only ids and hashes move to find them.
+    """
+    texts = F.col(text_col)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), texts.cast("string").alias("text"))
+    key = F.when(F.col("text").isNull(), F.concat(F.lit("null"), F.col("id").cast("string"))).otherwise(F.md5(F.col("text").cast("binary")))
+    hashed = stage(own.select("id", key.alias("key")).groupBy("id").agg(F.min("key").alias("key"), F.count("*").alias("n")), "hashed")
+    firsts = hashed.groupBy("key").agg(F.min("id").alias("text_id"))
+    same = stage(join_spread(hashed, firsts, "key").select("id", "text_id", "key", "n"), "texts")
+    unstage(hashed)
+    repeated = same.where((F.col("n") > 1) & (F.col("id") == F.col("text_id")) & ~F.startswith("key", F.lit("null"))).select("id", "key")
+    some = repeated.limit(1).count() > 0
+    filled = own.where("text is not null")
+
+    def read(wanted: DataFrame | None = None) -> DataFrame:
+        if wanted is None:
+            single = filled.join(same.where((F.col("n") > 1) | (F.col("id") != F.col("text_id"))).select("id"), "id", "left_anti")
+        else:
+            ids = wanted.join(repeated, "id", "left_anti") if some else wanted
+            single = filled.join(ids.hint("merge"), "id", "left_semi")  # texts move once, whatever the number of candidates
+        if not some:
+            return single
+        often = repeated if wanted is None else repeated.join(wanted, "id", "left_semi")
+        rows = filled.join(often, "id").where(F.md5(F.col("text").cast("binary")) == F.col("key"))
+        return single.unionByName(rows.groupBy("id").agg(F.min("text").alias("text")))
+
+    return same, read
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS
 ) -> DataFrame:
     """One row per id: its class of near-duplicates and its links.
 
-    Returns ``id``, ``class_id`` (the least id of its class), ``text_id`` (the
-    least id with an equal text) and ``n_links`` (verified links of its text to
-    other texts). Two texts are linked if their five-word shingles, compared as
-    lower-cased multisets, have a generalised Jaccard similarity of at least
-    ``threshold``; classes are the connected components of links and equal
-    texts. A null text or one without words is in a class with its equals
-    only; a null text equals none but itself. Repeated ids count once, with
-    their least text by hash; null ids get no row.
+    Returns ``id`` (cast to long), ``class_id`` (the least id of its class),
+    ``text_id`` (the least id with an equal text) and ``n_links`` (verified
+    links of its text to other texts). Two texts are linked if their five-word
+    shingles, compared as lower-cased multisets by 64-bit hashes, have a
+    generalised Jaccard similarity of at least ``threshold``; classes are the
+    connected components of links and equal texts. A null text or one without
+    words is in a class with its equals only; a null text equals none but
+    itself. An id with several rows counts once, with the text of the least
+    hash; its other texts take no part. Null ids get no row, an empty table
+    gives none. The result is staged; what led to it is deleted.
     """
-    texts = F.col(text_col)
-    hashed = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"),
-        F.when(texts.isNull(), F.concat(F.lit("null"), F.col(id_col).cast("string"))).otherwise(F.md5(texts.cast("binary"))).alias("key"),
-    )
-    hashed = hashed.groupBy("id").agg(F.min("key").alias("key"))
-    firsts = hashed.groupBy("key").agg(F.min("id").alias("text_id"))
-    same = stage(hashed.join(firsts, "key").select("id", "text_id", "key"), "texts")
-    own = docs.where(F.col(id_col).isNotNull() & texts.isNotNull()).select(F.col(id_col).cast("long").alias("id"), texts.alias("text"))
-    features = stage(own.mapInArrow(_features, "id long, bands array<long>, shingles array<int>, again array<int>"), "features")
-    copies = same.where(F.col("id") != F.col("text_id"))
-    links, roots = _links(features, copies, threshold, rounds)
+    same, read = _chosen(docs, id_col, text_col)
+    banded = stage(dealt(read()).mapInArrow(_banded, "id long, bands array<long>"), "bands")
+    links, roots = _links(banded, read, threshold, rounds)
     degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
-    roots = roots.withColumnRenamed("id", "text_id")
-    out = same.join(roots.join(degree, "text_id"), "text_id", "left")
-    return out.select("id", F.coalesce("root", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = roots.withColumnRenamed("id", "text_id").join(degree, "text_id")
+    out = join_spread(same.select("id", "text_id"), found, "text_id", "left")
+    out = stage(out.select("id", F.coalesce("root", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    unstage(same, links, roots)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class left: the one of the least id. Null ids stay."""
+    """``docs`` with one row of each class left: one of the least id.
+
+    Where that id has several rows, the one of the least text hash stays. Rows
+    with a null id stay. Columns, of whatever name, are unchanged.
+    """
     classes = near_duplicates(docs, threshold, id_col, text_col)
-    gone = classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("__gone")).hint("shuffle_hash")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    own_id, own, rest = fresh(docs.columns, "kept_id", "row", "n")
+    gone = classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(own_id)).hint("shuffle_hash")
+    left = docs.join(gone, docs[id_col].cast("long") == gone[own_id], "left_anti")
+    often = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(own_id)).agg(F.count("*").alias(rest)).where(F.col(rest) > 1)
+    often = stage(often.select(own_id), "repeated")
+    if not often.limit(1).count():
+        unstage(often)
+        return left
+    once = left.join(often, left[id_col].cast("long") == often[own_id], "left_anti")
+    several = left.join(often, left[id_col].cast("long") == often[own_id])
+    best = several.groupBy(own_id).agg(F.min_by(F.struct(*[several[c] for c in docs.columns]), F.coalesce(F.md5(several[text_col].cast("binary")), F.lit("~"))).alias(own))
+    return once.unionByName(best.select(f"{own}.*"))

@@ -205,6 +205,40 @@ def test_near_duplicates_on_awkward_tables(awkward, empty):
     assert left.columns == awkward.columns and left.count() == len(AWKWARD) - 2
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    draw = random.Random(9)
+    a, b = ([f"w{draw.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "more"])), (3, " ".join([*b, "more"])), (4, " ".join(a)), (4, " ".join(a)), (5, None), (5, " ".join(b)), (6, None), (6, None)]
+    own = {}
+    for d, t in rows:  # the text of the least hash
+        key = hashlib.md5(t.encode()).hexdigest() if t is not None else f"null{d}"
+        own[d] = min(own.get(d, (key, t)), (key, t))
+    table = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, kept_id string")
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()}
+    want = brute_classes({d: t for d, (_, t) in own.items()})
+    assert got == want
+    left = sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(table).collect())
+    assert left == sorted((d, own[d][1]) for d in set(want.values()))
+
+
+def test_near_duplicates_of_a_hot_bucket_keep_every_link(spark, monkeypatch):
+    """A crowd of near copies in one bucket, hot keys split, and the recall of single pairs."""
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 50)
+    draw = random.Random(10)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    texts = {i: " ".join(base[: i % 100] + [f"own{i}"] + base[i % 100 + 1 :]) for i in range(2_500)}
+    pairs = []
+    for i in range(3_000, 3_400, 2):
+        words = [f"p{draw.randrange(10**9)}" for _ in range(204)]
+        cut = draw.randrange(100)
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words[:cut] + [f"x{i}y{j}" for j in range(14)] + words[cut + 14 :])  # 0.82
+        pairs.append((i, i + 1))
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(2_500))
+    assert all(generalised(bag(texts[a]), bag(texts[b])) >= 0.8 for a, b in pairs)
+    assert np.mean([got[b] == a for a, b in pairs]) >= 0.99
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     draw = np.random.default_rng(1)
     errors = []
