@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from emberlake.llm.common import bounded_sample, extended, prepare, unit_hash
+from emberlake.llm.common import dealt, extended, prepare, unit_hash
 from emberlake.llm.textkit import slices
 
 BUCKETS = 1 << 15
 DIM = 16
-SAMPLE_ROWS = 4_000
-WINDOW_CHARS = 1_500
+SAMPLE_ROWS = 1_000  # labelled rows a language
 EPOCHS = 8
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, dtype=bool)
@@ -116,12 +116,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> LanguageModel:
 
 
 def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, seed: int = 0) -> tuple[list[str], list[str]]:
-    """At most ``rows`` labelled texts by the hash of their id, each a window of ``WINDOW_CHARS`` at a hashed place."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    room = F.greatest(F.length(text_col) - WINDOW_CHARS, F.lit(0))
-    start = (unit_hash(seed + 1, id_col) * room).cast("int") + 1
-    window = known.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(WINDOW_CHARS)).alias("text"), F.col(lang_col).alias("lang"))
-    got = bounded_sample(window, rows, seed, "id", "text").collect()
+    """Whole texts and labels of at most ``rows`` labelled documents of each language, by the hash of id and text.
+
+    Null texts and null languages take no part.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    draw = unit_hash(seed, "id", "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return [], []
+    share = known.sparkSession.createDataFrame([(lang, min(1.0, (1.2 * rows + 20) / n)) for lang, n in counts.items()], "lang string, share double")
+    thin = known.join(F.broadcast(share), "lang").withColumn("draw", draw).where("draw < share")  # about 1.2 times the bound
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    got = thin.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("draw", "id", "text").select("text", "lang").collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
@@ -138,7 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reje
     Columns of ``docs`` under the two names are replaced; all others stay.
     """
     prepare(docs.sparkSession)
-    plain = docs.drop("lang_pred", "lang_score")
+    plain = dealt(docs.drop("lang_pred", "lang_score"))
     names = [*plain.columns, "lang_pred", "lang_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

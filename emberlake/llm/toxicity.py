@@ -3,16 +3,16 @@
 The kernel of two words compares their gapped subsequences of two and three
 characters, each weighted by a decay for every position it spans, so an insult
 still matches with characters inserted, replaced or left out. Landmark words
-give Nystroem features; a linear support vector machine on them separates the
-words that make sentences toxic. It is trained on labelled sentences: a toxic
-document has at least one insulting word, a clean one has none, and which word
-it is gets chosen anew in every round. A text scores as its worst word.
+give Nystroem features. A linear support vector machine on them is trained on whole
+labelled sentences: first by the sum kernel of their words, then with a
+sentence as bad as its worst word, where a toxic document has one bad sentence
+at least and a clean one has none. A text scores as its worst sentence.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 from zlib import crc32
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import bounded_sample, extended, prepare
+from emberlake.llm.common import bounded_sample, dealt, extended, prepare
 from emberlake.llm.textkit import slices
 
 DIM = 512
@@ -31,15 +31,16 @@ DECAY = 0.6
 SPAN = 5
 POWER = 4
 WORD_CHARS = 24
-LANDMARKS = 128
-ROUNDS = 4
-HARD_WORDS = 3_000
+LANDMARKS = 192
+ROUNDS = 12
+CLEAN_SHARE = 0.999
+SURE = 3.0
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 4_000
-SENTENCES, SENTENCE_CHARS = 80, 400
 CACHE_WORDS = 400_000
 VARIANTS = 6
 # Digits and signs written for letters.
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPACED = re.compile(r"(?:(?<!\S)\S[ .*_-]+){2,}\S(?!\S)")
 
 
@@ -110,32 +111,31 @@ class ToxicityModel:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The margin of each normalised word; long words take the largest over their pieces."""
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            for k in range(0, max(1, len(w) - 8), WORD_CHARS - 8):
-                pieces.append(w[k : k + WORD_CHARS])
-                owner.append(i)
+        pieces, owner = _split(words)
         out = np.full(len(words), -np.inf)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))  # like lengths make narrow matrices
         for i in range(0, len(order), 512):
             part = order[i : i + 512]
             k = kernel(subsequence_features([pieces[j] for j in part]), self.landmarks)
-            np.maximum.at(out, [owner[j] for j in part], k @ self.weights + self.bias)
+            np.maximum.at(out, owner[part], k @ self.weights + self.bias)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the violating rows."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the violating rows.
+
+    ``y`` holds the margin each row has to reach, with its side as the sign.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     keep = np.eye(x.shape[1]) * ridge
     keep[-1, -1] = 1e-6
     active = None
     for _ in range(steps):
-        violating = y * (x @ w) < 1
+        violating = np.sign(y) * (x @ w) < np.abs(y)
         if active is not None and (violating == active).all():
             break
         active = violating
@@ -147,97 +147,162 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, st
 def variants(word: str, draw: np.random.Generator) -> list[str]:
     """The word with a character inserted, replaced or left out at drawn inner places."""
     out = []
-    for i in range(VARIANTS if len(word) >= 5 else 0):
+    for i in range(VARIANTS if len(word) >= 4 else 0):
         at = int(draw.integers(1, len(word)))
         extra = chr(int(draw.integers(97, 123)))
         out.append(word[:at] + (extra if i % 3 else "") + word[at + (i % 3 != 1) :])
     return out
 
 
+def _split(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words as pieces of at most ``WORD_CHARS``, and the index of each piece's word."""
+    pieces, owner = [], []
+    for i, w in enumerate(words):
+        for k in range(0, max(1, len(w) - 8), WORD_CHARS - 8):
+            pieces.append(w[k : k + WORD_CHARS])
+            owner.append(i)
+    return pieces, np.array(owner, np.int64)
+
+
+def _least_sentence(sentences: list[list[str]]) -> int:
+    """The least hash of a text's sentences: copies, even near ones, mostly share it, and hardly any others."""
+    return min((crc32(" ".join(sorted(set(s))).encode()) for s in sentences if s), default=0)
+
+
+class _Sentences:
+    """Labelled sentences as rows of word numbers; one that near copies share counts once."""
+
+    def __init__(self, bags: list[tuple[int, list[list[str]]]], number: dict[str, int]) -> None:
+        seen, rows, labels, docs = set(), [], [], []
+        for doc, (label, sentences) in enumerate(bags):
+            group = _least_sentence(sentences)
+            for words in sentences:
+                row = tuple(sorted({number[w] for w in words}))
+                if row and (label, group, row) not in seen:
+                    seen.add((label, group, row))
+                    rows.append(row)
+                    labels.append(label)
+                    docs.append(doc)
+        self.words = np.fromiter((w for r in rows for w in r), np.int64)
+        self.begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.labels, self.docs = np.array(labels, np.int64), np.array(docs, np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), np.diff(self.begins))
+
+    def worst(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest margin in each sentence, and the word that has it."""
+        own = margin[self.words]
+        order = np.lexsort((-self.words, own, self.owner))[self.begins[1:] - 1]
+        return own[order], self.words[order]
+
+    def holding(self, label: int, size: int) -> np.ndarray:
+        """In how many sentences of a label each word is."""
+        return np.bincount(self.words[(self.labels == label)[self.owner]], minlength=size)
+
+
 def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | None:
-    """Learn from (label, sentences) of documents; None where a label is missing."""
-    words = [{n for s in sentences for t in tokens_of(s) if (n := normalise(t))} for _, sentences in bags]
-    once = {}
-    for i, own in enumerate(words):  # copies, even near ones, would make chance words look telling
-        once.setdefault((bags[i][0], tuple(sorted(own, key=lambda w: (crc32(w.encode()), w))[:3])), i)
-    places = sorted(once, key=lambda k: (crc32(repr(k).encode()), k))
-    held_words = [words[once[k]] for k in places[::4]]
-    held_labels = np.array([k[0] for k in places[::4]])
-    places = [k for i, k in enumerate(places) if i % 4]
-    words, labels = [words[once[k]] for k in places], np.array([k[0] for k in places])
-    if not (labels == 1).any() or not (labels == 0).any():
-        if not {0, 1} <= {label for label, _ in bags}:
-            return None
-        words, labels = words + held_words, np.concatenate([labels, held_labels])
-    toxic, clean = Counter(), Counter()
-    for label, own in zip(labels, words):
-        (toxic if label else clean).update(own)
-    n_toxic, n_clean = int((labels == 1).sum()), int((labels == 0).sum())
-
-    def surprise(w: str) -> float:
-        p = (toxic[w] + clean[w] + 1) / (n_toxic + n_clean + 2)
-        return (toxic[w] / n_toxic - clean[w] / n_clean) / np.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
-
-    ranked = sorted(toxic, key=lambda w: (-surprise(w), w))
+    """Learn from (label, sentences) of documents; None where a label is missing.
+
+    The machine is trained on sentences. It starts from the sum kernel of
+    sentences (the mean of their words' features, each sentence with its
+    document's label). Then, round by round, a sentence's margin is that of its
+    worst word: each toxic document has one sentence over 1 (the one the last
+    round holds worst), every sentence of clean documents lies under -1. The
+    words that decide sentences are the rows of the next machine; a word that
+    decided a clean sentence once stays a row.
+    """
+    parsed = [(label, [[n for t in tokens_of(s) if (n := normalise(t))] for s in sentences]) for label, sentences in bags]
+    held = [_least_sentence(own) % 6 == 0 for _, own in parsed]  # a sixth, for calibration; copies fall together
+    train = [b for b, h in zip(parsed, held) if not h]
+    if {label for label, _ in train} != {0, 1}:
+        train = parsed
+    if {label for label, _ in train} != {0, 1} or not any(w for label, own in train if label for s in own for w in s):
+        return None
+    vocabulary = sorted({w for _, own in train for s in own for w in s})
+    rows = _Sentences(train, {w: i for i, w in enumerate(vocabulary)})
+    toxic, clean = rows.holding(1, len(vocabulary)), rows.holding(0, len(vocabulary))
+    n_toxic, n_clean = max(1, int((rows.labels == 1).sum())), max(1, int((rows.labels == 0).sum()))
+    share = (toxic + clean + 1) / (n_toxic + n_clean + 2)
+    contrast = (toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    # Landmarks: half are the words of the strongest contrast between the labels' sentences, half drawn from all sentences.
     draw = np.random.default_rng(seed)
-    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     half = LANDMARKS // 2
-    others = common[:half // 2] + [common[i] for i in draw.choice(len(common), min(half - half // 2, len(common)), replace=False)] if common else []
-    chosen = list(dict.fromkeys([*ranked[:half], *others]))
-    landmarks = subsequence_features(chosen)
+    telling = np.argsort(-contrast, kind="stable")[:half]
+    drawn = draw.choice(rows.words, min(8 * half, len(rows.words)), replace=False)
+    chosen = list(dict.fromkeys([*telling.tolist(), *drawn.tolist()]))[:LANDMARKS]
+    landmarks = subsequence_features([vocabulary[i] for i in chosen])
     value, vector = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     solid = value > 1e-4 * value[-1]
     nystroem = vector[:, solid] / np.sqrt(value[solid])
-    score = {w: surprise(w) for w in toxic}
-    negative, held = sorted(clean), set(clean)
-    if len(negative) > 12_000:
-        negative = common[:4_000] + [common[i] for i in sorted(draw.choice(np.arange(4_000, len(common)), 8_000, replace=False))]
-    held = set(negative)
-    negative_x = kernel(subsequence_features(negative), landmarks) @ nystroem
-    weights, bias = None, 0.0
-    for _ in range(ROUNDS):
-        # The insulting word of each toxic document: the one the model (first: the counts) holds worst.
-        positive = Counter(max(sorted(own), key=lambda w: score[w]) for label, own in zip(labels, words) if label and own)
-        positive.update(w for w in ranked[:half] if clean[w] == 0 and toxic[w] >= max(3, 0.002 * n_toxic))
-        picked = sorted(w for w in positive if surprise(w) > 1 and clean[w] <= 0.02 * toxic[w])
-        if not picked:
-            picked = ranked[:5]
-        bent = [v for w in picked for v in variants(w, draw) if v not in clean]
-        x = np.vstack([kernel(subsequence_features(picked + bent), landmarks) @ nystroem, negative_x])
-        y = np.concatenate([np.ones(len(picked) + len(bent)), -np.ones(len(negative_x))])
-        cost = np.concatenate([np.full(len(picked), 8.0), np.full(len(bent), 1.0), np.full(len(negative_x), 1.0)])
+
+    def features(words: list[str]) -> np.ndarray:
+        parts = [kernel(subsequence_features(words[i : i + 512]), landmarks) @ nystroem for i in range(0, len(words), 512)]
+        return np.vstack(parts).astype(np.float32) if parts else np.zeros((0, int(solid.sum())), np.float32)
+
+    pieces, owner = _split(vocabulary)
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))  # like lengths make narrow matrices
+    z = np.empty((len(pieces), int(solid.sum())), np.float32)
+    z[order] = features([pieces[i] for i in order])
+    first = np.searchsorted(owner, np.arange(len(vocabulary)))
+
+    def margins(weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.maximum.reduceat(z @ weights.astype(np.float32), first) + bias
+
+    mean = np.stack([np.bincount(rows.owner, z[first, j][rows.words], len(rows.labels)) for j in range(z.shape[1])], axis=1)
+    mean /= np.diff(rows.begins)[:, None]
+    weights, bias = _svm(mean, np.where(rows.labels == 1, 1.0, -1.0), np.where(rows.labels == 1, n_clean / n_toxic, 1.0))
+    decided, accused = np.zeros(len(vocabulary), dtype=bool), np.zeros(len(vocabulary), dtype=bool)
+    for turn in range(ROUNDS):
+        margin = margins(weights, bias)
+        worst, word = rows.worst(margin)
+        lively = word[(rows.labels == 0) & (worst > (-1.0 if turn else -np.inf))]  # at first, the worst word of every clean sentence
+        if turn and decided[lively].all():
+            break
+        decided[lively] = True
+        by_doc = np.lexsort((worst, rows.docs))
+        tops = by_doc[np.append(np.flatnonzero(np.diff(rows.docs[by_doc])), len(by_doc) - 1)]  # each document's worst sentence
+        accused[word[tops[rows.labels[tops] == 1]]] = True
+        accused[(margin > np.quantile(worst[rows.labels == 0], CLEAN_SHARE)) & (toxic > 0)] = True
+        witness = np.flatnonzero(accused)
+        times = toxic[witness]
+        kept = clean[witness] <= 0.02 * times  # a word of clean sentences decides nothing
+        if kept.any():
+            witness, times = witness[kept], times[kept]
+        bent = [(v, n) for w, n in zip(witness, times) for v in variants(vocabulary[w][:WORD_CHARS], draw)]
+        negative = np.flatnonzero(decided)
+        x = np.vstack([z[first[witness]], features([v for v, _ in bent]), z[first[negative]]])
+        y = np.concatenate([np.full(len(witness) + len(bent), SURE), -np.ones(len(negative))])
+        cost = np.concatenate([4.0 * times, [n / VARIANTS for _, n in bent], np.ones(len(negative))])
         weights, bias = _svm(x, y, cost)
-        model = ToxicityModel(landmarks, (nystroem @ weights).astype(np.float32), bias, 1.0, 0.0)
-        vocabulary = sorted(toxic.keys() | clean.keys())
-        margin = dict(zip(vocabulary, model.margins(vocabulary)))
-        score = {w: margin[w] for w in toxic}
-        hard = sorted((w for w in clean if w not in held), key=lambda w: (-margin[w], w))[:HARD_WORDS]
-        held.update(hard)  # the clean words nearest to insults are learned next
-        negative_x = np.vstack([negative_x, kernel(subsequence_features(hard), landmarks) @ nystroem])
-    # Calibrated on documents held back, whose words the machine has not seen.
-    unseen = sorted(set().union(*held_words) - margin.keys())
-    margin.update(zip(unseen, model.margins(unseen)))
-    worst = np.array([max((margin[w] for w in own), default=-2.0) for own in held_words])
-    if {0, 1} <= set(held_labels.tolist()):
-        model.slope, model.shift = _calibrate(worst, held_labels)
+    model = ToxicityModel(landmarks, (nystroem @ weights).astype(np.float32), bias, 1.0, 0.0)
+    # Calibrated on documents held back, whose sentences the machine has not seen.
+    kept_back = [(label, {w for s in own for w in s}) for (label, own), h in zip(parsed, held) if h]
+    if {0, 1} <= {label for label, _ in kept_back}:
+        known = sorted(set().union(*(own for _, own in kept_back)))
+        margin = dict(zip(known, model.margins(known)))
+        worst = np.array([max((margin[w] for w in own), default=-2.0) for _, own in kept_back])
+        model.slope, model.shift = _calibrate(worst, np.array([label for label, _ in kept_back]))
     return model
 
 
 def _calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic score of documents.
 
-    One half lies at the margin that errs least on them (a cost of one for
-    either kind), at two thirds of the widest such gap, as unseen clean words
-    outnumber unseen insults; the slope is fitted by
-    gradient steps with that place held.
+    One half lies where one errs least on them (a cost of one for either
+    kind): a third into the span around the widest such gap in which at most
+    one more is wrong. The slope is fitted by gradient steps with that place held.
     """
     order = np.argsort(margin, kind="stable")
     m, y = margin[order], labels[order]
     errors = np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y == 0) + np.cumsum(y == 1)])
     edges = np.concatenate([[m[0] - 2], m, [m[-1] + 2]])
     gap = np.where(errors == errors.min(), np.diff(edges), -1.0)
-    at = int(gap.argmax())
-    middle = edges[at] + (edges[at + 1] - edges[at]) * 2 / 3
+    low = high = int(gap.argmax())
+    near = errors <= errors.min() + 1
+    while low > 0 and near[low - 1]:
+        low -= 1
+    while high < len(near) - 1 and near[high + 1]:
+        high += 1
+    middle = edges[low] + (edges[high + 1] - edges[low]) / 3
     slope = 3.0
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(slope * (margin - middle), -60, 60)))
@@ -246,17 +311,19 @@ def _calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", seed: int = 0) -> list[tuple[int, list[str]]]:
-    """At most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` clean documents of the labelled ids, each with
-    at most ``SENTENCES`` sentences of ``SENTENCE_CHARS`` characters, all chosen by hash."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    parts = [bounded_sample(known.where(F.col("label") == y), n, seed, id_col) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("__id"), F.col("label").alias("__label"))
-    pieces = F.split(F.col(text_col), r"(?<=[.!?])\s+|\n")
-    sentences = F.slice(F.sort_array(F.transform(pieces, lambda s: F.struct(F.xxhash64(s).alias("h"), F.substring(s, 1, SENTENCE_CHARS).alias("s")))), 1, SENTENCES)
+    """(label, sentences) of at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` clean documents of the labelled ids.
+
+    They are chosen by the hash of their ids; texts are whole. Null ids, null
+    texts and labels other than 0 and 1 take no part; an id labelled twice has
+    its larger label, an id with several rows gives them all. Other columns of
+    either table, of whatever name, do not matter.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    parts = [bounded_sample(known.where(F.col("label") == y), n, seed, "id") for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     # The sample has at most SAMPLE_TOXIC + SAMPLE_CLEAN ids, so it is broadcast.
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
-    got = rows.select("__id", "__label", F.transform(sentences, lambda x: x["s"]).alias("sentences")).collect()
-    return [(r["__label"], r["sentences"]) for r in sorted(got, key=lambda r: (r["__id"], r["sentences"]))]
+    got = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "id").collect()
+    return [(r["label"], _SENTENCE.split(r["text"])) for r in sorted(got, key=lambda r: (r["id"], r["text"]))]
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
@@ -267,7 +334,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text")
     score 0. A column called ``toxicity`` is replaced; all others stay.
     """
     prepare(docs.sparkSession)
-    plain = docs.drop("toxicity")
+    plain = dealt(docs.drop("toxicity"))
     names = [*plain.columns, "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -377,6 +377,34 @@ def test_language_on_held_out_text(documents):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
 
 
+def test_language_averages_equal_plain_ones():
+    table = np.random.default_rng(3).normal(size=(langid.BUCKETS, 5))
+    texts = ["Hello, you!", "Äb c", "", None, "x"]
+
+    def plain(text):
+        data = "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in (text or "").lower()).encode()
+        rows = []
+        for word in data.split():
+            edged = b" " + word + b" "
+            for i in range(len(edged) - 2):
+                rows.append(int.from_bytes(edged[i : i + 3], "big"))
+            edged += b" "
+            for i in range(len(edged) - 3):
+                if edged[i + 2] != 32:
+                    rows.append(int.from_bytes(edged[i : i + 4], "big") ^ 0x5BD1E995)
+        rows = [((k * 2654435761) % 2**32) >> 17 for k in rows]
+        return table[rows].mean(axis=0) if rows else np.zeros(5)
+
+    assert np.allclose(langid._averages(table, texts), [plain(t) for t in texts])
+
+
+def test_language_sample_is_whole_and_even(spark):
+    rows = [(i, f"text {i} " * (500 if i % 7 == 0 else 1), "en" if i % 10 else "de") for i in range(600)] + [(900, None, "en"), (901, "x", None)]
+    texts, labels = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=40)
+    assert Counter(labels) == {"en": 40, "de": 40}
+    assert set(texts) <= {t for _, t, _ in rows}
+
+
 def test_language_on_awkward_tables(awkward, empty):
     model = langid.train(awkward)
     rows = langid.identify(awkward, model, reject=False).collect()
@@ -390,6 +418,45 @@ def test_language_on_awkward_tables(awkward, empty):
 # toxicity
 
 
+def plain_kernel(a, b):
+    """Gapped pairs and triples of marked words, enumerated one by one."""
+
+    def bag_of(word):
+        word, out = f"^{word}$", Counter()
+        for i in range(len(word)):
+            for j in range(i + 1, min(i + toxicity.SPAN, len(word))):
+                out[word[i] + word[j]] += toxicity.DECAY ** (j - i - 1)
+                for k in range(j + 1, min(i + toxicity.SPAN, len(word))):
+                    out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+        return {s: v**0.5 for s, v in out.items()}
+
+    x, y = bag_of(a), bag_of(b)
+    norm = lambda z: sum(v * v for v in z.values()) ** 0.5
+    return sum(v * y.get(s, 0.0) for s, v in x.items()) / norm(x) / norm(y)
+
+
+def test_subsequence_kernel_equals_plain_enumeration(monkeypatch):
+    words = "idiot idiiot idi0t stupid stuupid clown crown hello a ab worthless worthlless ähnlich".split()
+    want = np.array([[plain_kernel(a, b) for b in words] for a in words])
+    found = toxicity.subsequence_features(words)
+    assert abs(found @ found.T - want).max() < 0.2  # hashed to few places
+    monkeypatch.setattr(toxicity, "DIM", 1 << 18)
+    found = toxicity.subsequence_features(words)
+    assert abs(found @ found.T - want).max() < 0.01
+    assert toxicity.kernel(found[:1], found[1:2]) > 4 * toxicity.kernel(found[:1], found[7:8])
+
+
+def test_toxicity_learns_which_sentence_is_bad():
+    draw = random.Random(2)
+    clean = lambda: " ".join("".join(draw.choice("aeioulnrst") for _ in range(6)) for _ in range(8)) + "."
+    bags = [(i % 2, [clean() for _ in range(5)] + ["you are such a qwyzzik." if i % 2 else "you are such a fine one."]) for i in range(240)]
+    model = toxicity.fit(bags)
+    score = lambda s: model.probability(model.margins([toxicity.normalise(t) for t in s.split()])).max()
+    assert score("a qwyzzik here") > 0.5 and score("q-w-y-zzik") > 0.5 and score("qwyyzzik") > 0.5
+    assert np.mean([score(clean()) < 0.5 for _ in range(100)]) > 0.97
+    assert toxicity.fit(bags).margins(["qwyzzik"]) == model.margins(["qwyzzik"])
+
+
 def test_toxicity_on_held_out_text(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -400,7 +467,7 @@ def test_toxicity_on_held_out_text(spark):
     truth = np.array([r["toxic"] for r in got])
     said = np.array([r["toxicity"] >= 0.5 for r in got])
     assert (said == truth).mean() > 0.95 and said[truth == 1].mean() > 0.75
-    bent = model.probability(model.margins([toxicity.normalise(w) for w in ("id-iot", "i.d.i.o.t", "stuupid", "m0ron", "worthlless")]))
+    bent = model.probability(model.margins([toxicity.normalise(w) for w in ("id-iot", "i.d.i.o.t", "stuupid", "m0ron", "trassh", "loseer")]))
     assert (bent > 0.5).all()
 
 
