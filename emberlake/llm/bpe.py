@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import extended, prepare
+from emberlake.llm.common import dealt, extended, prepare
 from emberlake.llm.textkit import mix64, slices
 
 NO_RANK = np.int32(2**31 - 1)
@@ -124,23 +124,37 @@ class BpeCodec:
         return out
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One very long row: the same rounds, compacting in place."""
-        n = len(ids)
+        """One very long row: each round merges all places of its least rank, from the left.
+
+        That is what one merge after the other gives as long as no merge makes a
+        pair of a lesser rank; a round ends with the first merge that does. So
+        the rounds are as many as ranks occur, not as many as merges.
+        """
         ranks = self.table.ranks(ids[:-1], ids[1:])
-        while n > 1:
-            at = int(ranks[: n - 1].argmin())
-            least = ranks[at]
+        while len(ranks):
+            least = ranks.min()
             if least == NO_RANK:
                 break
+            at = np.flatnonzero(ranks == least)
+            run = np.cumsum(np.diff(at, prepend=at[0] - 2) > 1)  # of places that overlap, every other one
+            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
+            made = np.full(len(at), least, np.int32)
+            before = np.where(at > 0, ids[at - 1], -1)
+            before[1:][np.diff(at) == 2] = least
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            lesser = np.minimum(self.table.ranks(before, made), self.table.ranks(made, after)) < least
+            if lesser.any():
+                at = at[: int(lesser.argmax()) + 1]
             ids[at] = least
-            ids[at + 1 : n - 1] = ids[at + 2 : n]
-            ranks[at : n - 2] = ranks[at + 1 : n - 1]
-            n -= 1
-            near = [i for i in (at - 1, at) if 0 <= i < n - 1]
-            if near:
-                near = np.array(near)
-                ranks[near] = self.table.ranks(ids[near], ids[near + 1])
-        return ids[:n].copy()
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            place = at - np.arange(len(at))  # where the merged tokens are in the compacted row
+            ids = ids[keep]
+            ranks = ranks[keep[1:]]
+            near = np.unique(np.concatenate([place - 1, place]))
+            near = near[(near >= 0) & (near < len(ids) - 1)]
+            ranks[near] = self.table.ranks(ids[near], ids[near + 1])
+        return ids
 
     def _merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)
@@ -211,7 +225,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """
     prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    plain = docs.drop("token_ids", "decoded")
+    plain = dealt(docs.drop("token_ids", "decoded"))
     names = [*plain.columns, "token_ids", "decoded"]
     schema = extended(plain, token_ids=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
 

@@ -13,18 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import extended, prepare
+from emberlake.llm.common import dealt, extended, prepare, unit_hash
 from emberlake.llm.textkit import mix64, shingle_hashes, slices
 
 SAMPLES = 64
 SHINGLE = 5
 BLOCK = 2048
-MAX_SLICES = 4096
+SLICE_BYTES = 256 << 20
+SAMPLES_PER_SLICE = 16
 
 
 def _gamma_quantiles(levels: int = 65_536) -> np.ndarray:
@@ -122,7 +124,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
     replaced; all others stay.
     """
     prepare(docs.sparkSession)
-    plain = docs.drop(name)
+    plain = dealt(docs.drop(name))
     names = [*plain.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,46 +135,47 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
     return plain.mapInArrow(run, extended(plain, **{name: T.StringType()}))
 
 
-def _rank_below(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted ``bounds`` lie under ``value``: a coarse step, then one within a run.
+def _slice_heads(rows: DataFrame, slice_bytes: int) -> np.ndarray:
+    """The largest id of each slice, in ascending order: quantiles of sampled ids and the largest id of all.
 
-    Two lookups in arrays of about the square root of their number, and one
-    expression each, so the plan stays small for thousands of bounds.
+    Slices are as many as ``slice_bytes`` go into the texts, and at least the
+    shuffle partitions. Only the sample reaches the driver: ``SAMPLES_PER_SLICE``
+    ids for a slice, 128 bytes for 256 MB of text.
     """
-    run = max(1, int(len(bounds) ** 0.5))
-    array = lambda xs: F.expr("array(" + ",".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in xs) + ")")
-    runs = [bounds[i : i + run] for i in range(0, len(bounds), run)]
-    coarse = F.size(F.filter(array([r[0] for r in runs]), lambda b: b < value))  # runs that begin under the value
-    parts = ",".join("array(" + ",".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in r) + ")" for r in runs)
-    own = F.get(F.expr(f"array({parts})"), coarse - 1)
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * run + F.size(F.filter(own, lambda b: b < value)))
+    size, n, top = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("id"), F.max("id")).first()
+    if top is None:
+        return np.zeros(0, np.int64)
+    wanted = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // slice_bytes))
+    drawn = rows.where(unit_hash(17, "id") < SAMPLES_PER_SLICE * wanted / n).select("id").toArrow().column("id").to_numpy()
+    drawn = np.sort(np.unique(drawn))
+    marks = drawn[(np.arange(1, wanted) * len(drawn)) // wanted] if len(drawn) else drawn
+    return np.unique(np.append(marks, top))
 
 
 def _dealt_descending(docs: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> DataFrame:
     """Rows (id, text, part, ahead) in slices of descending ids, each slice followed by the
-    first row of the next one (``ahead``), the last by the first of all.
-
-    Boundaries are quantiles of the ids; only they reach the driver, at most ``MAX_SLICES``.
-    """
+    first row of the next one (``ahead``), the last by the first of all."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size, top = rows.agg(F.sum(F.octet_length("text")), F.max("id")).first()
-    if size is None:
-        return rows.select("id", "text", F.lit(0).alias("part"), F.lit(False).alias("ahead"))
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_SLICES, max(least, -(-size // slice_bytes)))
-    marks = rows.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)] or [1.0], 20 * wanted)).first()[0] or []
-    heads = sorted({m for m in marks if m is not None} | ({top} if top is not None else set()))
+    heads = _slice_heads(rows, slice_bytes)
     n = max(1, len(heads))
-    if heads:
-        part = F.when(F.col("id").isNull(), n - 1).otherwise(n - 1 - _rank_below(heads, F.col("id")))  # null ids come last
-        leads = F.col("id").isin(heads)
-    else:
-        part, leads = F.lit(0), F.lit(True)
-    rows = rows.withColumn("part", part.cast("int"))
+    held = rows.sparkSession.sparkContext.broadcast(heads)  # 8 bytes a slice
+
+    @F.pandas_udf("struct<part: int, leads: boolean>")
+    def place_of(ids: pd.Series) -> pd.DataFrame:
+        known = held.value
+        if not len(known):
+            return pd.DataFrame({"part": np.zeros(len(ids), np.int32), "leads": np.ones(len(ids), bool)})
+        empty = ids.isna().to_numpy()
+        own = ids.fillna(0).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        part = np.where(empty, len(known) - 1, len(known) - 1 - at)  # null ids come last
+        return pd.DataFrame({"part": part.astype(np.int32), "leads": ~empty & (known[at] == own)})
+
+    rows = rows.withColumn("at", place_of("id"))
     place = lambda p, ahead: F.struct(p.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
-    own = place(F.col("part"), False)
-    before = place(F.pmod(F.col("part") - 1, F.lit(n)), True)
-    places = F.when(leads, F.array(own, before)).otherwise(F.array(own))
+    own = place(F.col("at.part"), False)
+    before = place(F.pmod(F.col("at.part") - 1, F.lit(n)), True)
+    places = F.when(F.col("at.leads"), F.array(own, before)).otherwise(F.array(own))
     return (
         rows.select("id", "text", F.explode(places).alias("place"))
         .select("id", "text", "place.part", "place.ahead")
@@ -200,7 +203,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, str]]:
         yield held[1], held[2], held[2]
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 64 << 20) -> DataFrame:
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are.
 
     The next document is the one of the next smaller id (after the smallest,

@@ -15,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import bounded_sample, prepare, stage, unit_hash
+from emberlake.llm.common import dealt, prepare, stage, unit_hash, unstage
 from emberlake.llm.textkit import mix64, slices, word_hashes
 
 BUCKETS = 1 << 15
-TARGET_ROWS = 20_000
 SMOOTHING = 1.0
 KEEP = 0.8
-LENGTH = 20.0
 
 
 def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,20 +33,17 @@ def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return both.astype(np.int64), np.concatenate([owner, owner[:-1][inside]])
 
 
-def _counter(target_ids: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, "text"):
-            buckets, owner = ngram_buckets(part.column("text").to_pylist())
-            raw += np.bincount(buckets, minlength=BUCKETS)
-            ids = part.column("id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            chosen = np.isin(ids, target_ids)
-            if chosen.any():
-                target += np.bincount(buckets[chosen[owner]], minlength=BUCKETS)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, raw, target): n-grams of all rows of a partition, and of those marked as target."""
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for part in slices(batches, "text"):
+        buckets, owner = ngram_buckets(part.column("text").to_pylist())
+        raw += np.bincount(buckets, minlength=BUCKETS)
+        chosen = part.column("wanted").to_numpy(zero_copy_only=False)
+        if chosen.any():
+            target += np.bincount(buckets[chosen[owner]], minlength=BUCKETS)
+    used = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
 
 def _scorer(log_ratio: np.ndarray):
@@ -90,46 +85,50 @@ def kth_largest(rows: DataFrame, name: str, k: int) -> float | None:
                 break
             left -= row["count"]
         else:
+            unstage(bits)
             return None
         if shift == 0:
+            unstage(bits)
             return float(pack(np.array([prefix], np.int64)).view(np.float64)[0])
         shift -= 16
 
 
-def importance_weights(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
-    """Log importance of each document: ``id``, ``n_grams``, ``log_ratio``.
+def importance_weights(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Log importance of each document: ``id`` (cast to long), ``n_grams``, ``log_ratio``.
 
-    ``targets`` has the ids of target documents; the target model is fitted on
-    at most ``TARGET_ROWS`` of them (chosen by hash), the raw model on every
-    row. Texts that are null or have no words get 0. Counts are summed by
-    bucket, so the models have a fixed size.
+    ``targets`` has the ids of target documents; both models are fitted on all
+    of their rows. Texts that are null or have no words get 0, as does every
+    text where there are no targets with words. Null ids are scored and are no
+    targets; repeated rows are rows. Counts are summed by bucket, so the models
+    have a fixed size.
     """
-    ids = bounded_sample(targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), TARGET_ROWS, seed, "id")
-    target_ids = np.array(sorted(r["id"] for r in ids.collect()), np.int64)
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(_counter(target_ids), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    wanted = targets.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("wanted")).where("id is not null").distinct()
+    marked = rows.join(wanted, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    counts = dealt(marked).mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
     for row in counts.collect():  # at most BUCKETS rows
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    return rows.mapInArrow(_scorer(ratio), "id long, n_grams long, log_ratio double")
+    if target.sum() == SMOOTHING * BUCKETS:  # nothing to tell
+        ratio = np.zeros(BUCKETS)
+    return dealt(rows).mapInArrow(_scorer(ratio), "id long, n_grams long, log_ratio double")
 
 
 def resample(docs: DataFrame, targets: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
     """Draw a share ``keep`` of the documents by importance: one row per document with ``selected``.
 
-    The log weight is the mean log ratio of a document's n-grams times
-    ``LENGTH``, so that a long document is not chosen or refused for its length
-    alone. ``gumbel_key`` is the log weight plus Gumbel noise from the id's
-    hash; the largest keys are selected. Rows that tie at the limit (repeated
-    rows) are selected together. Reruns give the same draw.
+    The log weight is the log of the models' ratio for the whole text.
+    ``gumbel_key`` is the log weight plus Gumbel noise from the id's hash; the
+    largest keys are selected. Rows that tie at the limit (repeated rows) are
+    selected together. Reruns give the same draw. An empty table gives no rows.
     """
-    weights = importance_weights(docs, targets, id_col, text_col, seed)
+    weights = importance_weights(docs, targets, id_col, text_col)
     noise = -F.log(-F.log((unit_hash(seed, "id") + F.lit(2.0**-54))))
     scored = stage(
-        weights.withColumn("log_weight", F.col("log_ratio") / F.greatest("n_grams", F.lit(1)) * LENGTH).withColumn("gumbel_key", F.col("log_weight") + noise),
+        weights.withColumn("log_weight", F.col("log_ratio")).withColumn("gumbel_key", F.col("log_weight") + noise),
         "weights",
     )
     limit = kth_largest(scored, "gumbel_key", round(keep * scored.count()))

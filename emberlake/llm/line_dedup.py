@@ -4,9 +4,9 @@ Every line becomes a 128-bit hash with its document and position. The hashes
 are range-partitioned and sorted by hash, document and position, so that one
 pass over each partition meets the first document of a line before the others.
 Results are run-length keep bitmaps per document; text is not shuffled to make
-them. A line that holds more than 1/``HOT_SHARE`` of all lines is settled by
-its pre-aggregated first document instead (at most ``HOT_SHARE`` such lines can
-exist, so they are broadcast), and does not land in one range.
+them. A hot line (``common.hot_keys``: more than a quarter of an even range's
+share) is settled by its pre-aggregated first document instead, and does not
+land in one range.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import stage
+from emberlake.llm.common import fresh, hot_keys, stage, unstage
 
 # The white space stripped from both ends of a line.
 LINE_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-HOT_SHARE = 256
 
 
 def line_key(line: Column) -> Column:
@@ -32,7 +31,8 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, pos) of the lines that go, and the staged table they are read from."""
     exploded = (
         docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars))
         .select(
@@ -46,13 +46,8 @@ def _dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     )
     lines = stage(exploded, "lines")
     total = lines.count()
-    hot_rows = (
-        lines.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-        .where(F.col("n") * HOT_SHARE > total)
-        .select("h1", "h2", "first_id")
-    )
-    hot = F.broadcast(docs.sparkSession.createDataFrame(hot_rows.collect(), hot_rows.schema))
+    firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    hot = hot_keys(firsts, ["h1", "h2", "first_id"], "n", total)
     first = F.first("id").over(Window.partitionBy("h1", "h2").orderBy("id", "pos"))
     cold = (
         lines.join(hot, ["h1", "h2"], "left_anti")
@@ -60,7 +55,7 @@ def _dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
         .withColumn("first_id", first)
     )
     both = cold.unionByName(lines.join(hot, ["h1", "h2"]))
-    return both.where(F.col("id") != F.col("first_id")).select("id", "row", "pos").distinct()
+    return both.where(F.col("id") != F.col("first_id")).select("id", "row", "pos").distinct(), lines
 
 
 def keep_bitmaps(
@@ -72,19 +67,23 @@ def keep_bitmaps(
     different texts apart), ``n_dropped`` and ``runs``: the drop bitmap as
     sorted runs (start, len). Documents that keep every line have no row.
     Lines with a key under ``min_chars`` code points never count. Rows with a
-    null id take no part; rows that share an id are one document.
+    null id take no part; rows that share an id are one document. The result
+    is staged; the hashes it was made from are deleted. An empty table gives none.
     """
-    gone = _dropped_lines(docs, id_col, text_col, min_chars)
+    gone, lines = _dropped_lines(docs, id_col, text_col, min_chars)
     order = Window.partitionBy("id", "row").orderBy("pos")
     runs = (
         gone.withColumn("island", F.col("pos") - F.row_number().over(order))
         .groupBy("id", "row", "island")
         .agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("len"))
     )
-    return runs.groupBy("id", "row").agg(
+    bitmaps = runs.groupBy("id", "row").agg(
         F.sum("len").alias("n_dropped"),
         F.sort_array(F.collect_list(F.struct("start", "len"))).alias("runs"),
     )
+    out = stage(bitmaps, "bitmaps")
+    unstage(lines)
+    return out
 
 
 def kept_text(text: Column, runs: Column) -> Column:
@@ -101,31 +100,31 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(
-    docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")
 ) -> DataFrame:
-    """``docs`` with ``text_col`` cut to the kept lines, plus ``__n_lines`` and ``__n_dropped``.
+    """``docs`` with ``text_col`` cut to the kept lines, plus the two ``counts``: lines before, and lines dropped.
 
     A null text stays null where nothing is dropped from it (it counts as one
-    empty line). All other columns of ``docs`` stay as they are.
+    empty line). All other columns of ``docs`` stay as they are, of whatever
+    name; only columns called as the ``counts`` are replaced.
     """
-    own = bitmaps.select(
-        F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("n_dropped").alias("__n_dropped"),
-        F.col("runs").alias("__runs"),
-    ).hint("shuffle_hash")
-    joined = docs.join(
-        own, (docs[id_col] == own["__id"]) & (F.xxhash64(docs[text_col]) == own["__row"]), "left"
-    )
+    plain = docs.drop(*counts)
+    own_id, row, gone, runs = fresh([*plain.columns, *counts], "id", "row", "gone", "runs")
+    own = bitmaps.select(F.col("id").alias(own_id), F.col("row").alias(row), F.col("n_dropped").alias(gone), F.col("runs").alias(runs)).hint("shuffle_hash")
+    joined = plain.join(own, (plain[id_col] == own[own_id]) & (F.xxhash64(plain[text_col]) == own[row]), "left")
     text = F.col(text_col)
-    kept = F.when(F.col("__runs").isNull(), text).otherwise(kept_text(text, F.col("__runs")))
-    return (
-        joined.withColumn("__n_lines", F.size(lines_of(text)).cast("long"))
-        .withColumn("__n_dropped", F.coalesce(F.col("__n_dropped"), F.lit(0)).cast("long"))
-        .withColumn(text_col, kept)
-        .drop("__id", "__row", "__runs")
+    kept = F.when(F.col(runs).isNull(), text).otherwise(kept_text(text, F.col(runs)))
+    return joined.select(
+        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in plain.columns],
+        F.size(lines_of(text)).cast("long").alias(counts[0]),
+        F.coalesce(F.col(gone), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """``docs`` without repeated lines, the columns unchanged."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col)
-    return out.drop("__n_lines", "__n_dropped")
+    """``docs`` without repeated lines, the columns unchanged, of whatever name.
+
+    Rows that lose every line stay, with an empty text.
+    """
+    counts = tuple(fresh(docs.columns, "n_lines", "n_dropped"))
+    return apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col, counts).drop(*counts)

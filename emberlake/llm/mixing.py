@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import ordered_index, stage
+from emberlake.llm.common import fresh, hot_keys, ordered_index, stage, unstage
 
 # The token pattern, the repeated source weights, the cap on repeats.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -26,7 +26,6 @@ KNAPSACK_BUDGET = 32_768
 WHOLE_BUDGET = 1 << 24  # words up to which the knapsack can cover a whole budget (150 MB), and its steps
 WHOLE_STEPS = 1 << 32
 RANK_ROWS = 1_000
-SALTS = 16
 
 
 def token_count(text: Column) -> Column:
@@ -40,12 +39,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     times its source's size, and the excess is shared again until none is
     above. Each round is one aggregate over the sources.
     """
-    ranked = stage(
-        ordered_index(sizes, [F.col("source").asc_nulls_last()], "__rank").withColumn(
-            "weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("__rank") % len(WEIGHTS) + 1).cast("int"))
-        ),
-        "sources",
-    )
+    (rank,) = fresh(sizes.columns, "rank")
+    numbered = ordered_index(sizes, [F.col("source").asc_nulls_last()], rank)
+    weights = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col(rank) % len(WEIGHTS) + 1).cast("int"))
+    ranked = stage(numbered.withColumn("weight", weights), "sources")
+    unstage(numbered)
     cap = F.col("source_size") * MAX_REPEATS
     total, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
     level, rest = 0.0, total or 0
@@ -59,7 +57,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
             break
         rest, weight = total - capped, open_weight
     target = F.least(cap.cast("double"), F.col("weight") * F.lit(float(level)))
-    return ranked.select("source", "source_size", target.alias("target"))
+    out = ranked.select("source", "source_size", target.alias("target"))
+    out._staged = ranked._staged
+    return out
 
 
 def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
@@ -186,7 +186,9 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     Returns ``id``, ``row`` (hash of the text), ``size`` (words; a null text
     has none), ``source_size``, ``target`` and ``copies`` (0 to 3). A null
     source is a source of its own. Rows of size 0 are never taken. Repeated
-    rows are taken alike or not, as their count falls. Same input, same mix.
+    rows are taken alike or not, as their count falls. Same input, same mix. An
+    empty table gives no rows; ids may be null or repeat. The result reads two
+    staged tables, which stay until it has been used.
     """
     rows = stage(
         docs.select(
@@ -208,14 +210,15 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
         .applyInPandas(_fit, "skey string, size long, n long, source_size long, target double, repeats int, extra long"),
         "plan",
     )
-    plan = plan.withColumn("buckets", F.ceil(F.col("n") / RANK_ROWS).cast("int"))
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    unstage(targets, lengths)
+    key = ["skey", "size"]
+    hot = hot_keys(plan, plan.columns, "n", rows.count())  # lengths that would crowd a task: broadcast
+    cold = rows.join(hot.select(*key), key, "left_anti").join(plan.join(hot.select(*key), key, "left_anti").hint("merge"), key)
     draw = F.xxhash64(F.lit(seed), "id", "row")
     planned = (
-        rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(SALTS)).cast("int"))
-        .join(salted.hint("merge"), ["skey", "size", "salt"])  # the salted plan grows with the lengths: never broadcast
+        cold.unionByName(rows.join(hot, key).select(*cold.columns))
         .withColumn("draw", draw)
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(2), "draw"), F.col("buckets")).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(2), "draw"), F.ceil(F.col("n") / RANK_ROWS)).cast("int"))
     )
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     bucket_rows = planned.where(split).groupBy("skey", "size", "bucket").agg(F.count("*").alias("held"))
@@ -237,17 +240,17 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, columns unchanged.
+    """``docs`` as the mix takes them: each row as often as it is taken, columns unchanged, of whatever name.
 
     Repeated rows (same id and text) share their copies evenly.
     """
-    copies = mixed.groupBy("id", "row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__held"))
-    copies = copies.where(F.col("__copies") > 0).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__copies", "__held").hint("shuffle_hash")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["__id"]) & (F.xxhash64(docs[text_col]) == copies["__row"]))
-    turn = F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.lit(0)))
-    single = joined.where(F.col("__held") == 1).withColumn("__times", F.col("__copies"))
-    shared = joined.where(F.col("__held") > 1).withColumn("__turn", turn)
-    each = F.floor(F.col("__copies") / F.col("__held")) + (F.col("__turn") <= F.col("__copies") % F.col("__held")).cast("int")
-    shared = shared.withColumn("__times", each).drop("__turn")
-    both = single.unionByName(shared).where(F.col("__times") > 0)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    own_id, row, taken, held, turn, copy = fresh(docs.columns, "id", "row", "taken", "held", "turn", "copy")
+    copies = mixed.groupBy(F.col("id").alias(own_id), F.col("row").alias(row)).agg(F.sum("copies").alias(taken), F.count("*").alias(held))
+    copies = copies.where(F.col(taken) > 0).hint("shuffle_hash")
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies[own_id]) & (F.xxhash64(docs[text_col]) == copies[row]))
+    single = joined.where(F.col(held) == 1).withColumn(turn, F.lit(1))
+    shared = joined.where(F.col(held) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(own_id, row).orderBy(F.lit(0))))
+    times = F.floor(F.col(taken) / F.col(held)) + (F.col(turn) <= F.col(taken) % F.col(held)).cast("int")
+    each = single.unionByName(shared).withColumn(copy, times.cast("int")).where(F.col(copy) > 0)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return each.select(*own, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(turn)).select(*own)

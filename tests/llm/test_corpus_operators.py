@@ -14,7 +14,9 @@ from emberlake.llm import ann, bpe, fingerprints, importance, langid, line_dedup
 from emberlake.llm.queries import op5_sharding, op8_ann, op10_mixing
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, size string, label double"
+# Names that operators use within.
+CLASHES = "gone runs n_lines n_dropped hash taken held turn copy copies kept_id n rank part before unit shard key text_id bands wanted draw share toxicity lang_pred token_ids decoded fingerprint __n".split()
+SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, size string, label double, " + ", ".join(f"{c} int" for c in CLASHES)
 LONG = "word " * 60_000
 AWKWARD = [
     (1, "alpha beta gamma delta epsilon zeta\nshared line of text\n", "en", "s1", "x", 1, "a", 0.5),
@@ -29,6 +31,9 @@ AWKWARD = [
 ]
 
 
+AWKWARD = [r + tuple(range(len(CLASHES))) for r in AWKWARD]
+
+
 @pytest.fixture(scope="module")
 def awkward(spark):
     return spark.createDataFrame(AWKWARD, SCHEMA)
@@ -67,12 +72,11 @@ def brute_lines(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("share", [256, 2])
-def test_lines_match_brute_force(spark, documents, awkward, monkeypatch, share):
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
-    for docs in (documents.select("doc_id", "text"), awkward):
+def test_lines_match_brute_force(spark, documents, awkward):
+    hot = spark.createDataFrame([(i % 2_000, f"a line that everyone has\nown line number {i % 1_500}") for i in range(6_000)], "doc_id long, text string")
+    for docs in (documents.select("doc_id", "text"), awkward, hot):
         got = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-        rows = [(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"] or "") for r in got.collect()]
+        rows = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()]
         assert sorted(rows, key=repr) == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
@@ -95,6 +99,7 @@ def test_bpe_equals_library(documents):
     draw = random.Random(1)
     odd = ["", None, " ", "　a\x1c\x85 ​", "'re 'RE <|endoftext|>", "\x00\x01", "日本 é é 🎉👨‍👩‍👧", "a" * 5000]
     odd.append("".join(draw.choice("abcdeäöß") for _ in range(9000)))
+    odd += ["ab" * 4000 + "a" * 333, "".join(draw.choice(["the", "ing", "tion", "e", "er"]) for _ in range(6000)), "日本語" * 3000]
     odd += ["".join(chr(draw.choice([draw.randrange(1, 0x250), draw.randrange(0x1F300, 0x1F700), 32, 10, 0x2028])) for _ in range(200)) for _ in range(40)]
     odd += list(texts_of(documents).values())
     for text, ids in zip(odd, own.encode_batch(odd)):
@@ -102,6 +107,26 @@ def test_bpe_equals_library(documents):
         assert own.decode(ids) == (text or "").encode()
 
 
+def test_bpe_long_rows_equal_single_merges():
+    """Vocabularies in which a merge can make a pair of a lesser rank."""
+    draw = random.Random(8)
+    for _ in range(60):
+        tokens = sorted({bytes(draw.choice(b"ab") for _ in range(draw.randrange(2, 6))) for _ in range(14)})
+        draw.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        own = bpe.BpeCodec(ranks, r".+")
+        for _ in range(5):
+            data = bytes(draw.choice(b"ab") for _ in range(draw.randrange(2, 60)))
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while True:
+                found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+                if not found:
+                    break
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert own._merge_long(own.byte_ids[np.frombuffer(data, np.uint8)]).tolist() == [ranks[x] for x in parts]
+
+
 def test_bpe_on_awkward_tables(awkward, empty):
     _, library = codec()
     out = bpe.encode(awkward, path("byte_bpe_multi_50k.tiktoken"), PATTERN)
@@ -311,7 +336,20 @@ def test_fingerprints_on_awkward_tables(spark, awkward, empty):
     assert fingerprints.edit_likeness(empty).count() == 0
     one = fingerprints.edit_likeness(spark.createDataFrame([(9, "one two three four five six")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
-    assert fingerprints.fingerprints(awkward).columns == [*awkward.columns, "fingerprint"]
+    out = fingerprints.fingerprints(awkward)
+    assert out.columns == [*awkward.drop("fingerprint").columns, "fingerprint"] and out.count() == len(AWKWARD)
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 20_000, 1 << 28])
+def test_fingerprints_of_any_slices_are_equal(spark, documents, slice_bytes):
+    rows = documents.select(F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")).alias("doc_id"), "text")
+    got = fingerprints.edit_likeness(rows, slice_bytes=slice_bytes).select("id", F.md5("edited").alias("e")).collect()
+    order = sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
+    own = {r["id"]: r["e"] for r in got if r["id"] is not None}
+    assert len(got) == len(order)
+    for a, b in zip(order, order[1:]):
+        if b["doc_id"] is not None:
+            assert own[a["doc_id"]] == hashlib.md5(fingerprints.edited_text(a["text"], b["text"]).encode()).hexdigest()
 
 
 # importance resampling
@@ -326,6 +364,27 @@ def test_importance_prefers_target_text(spark):
     assert sum(r["id"] % 2 for r in got if r["selected"]) > 180
 
 
+def test_importance_equals_plain_models(spark):
+    draw = random.Random(6)
+    texts = {i: " ".join(draw.choice("ab cd ef gh ij kl mn".split()) for _ in range(draw.randrange(0, 9))) for i in range(60)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    grams = lambda t: importance.ngram_buckets([t])[0].tolist()
+    words = "ab cd ef".split()
+    assert len(grams("ab cd ef")) == 5 and set(grams("ab cd ef")) == {b for w in [*words, "ab cd", "cd ef"] for b in grams(w) if len(w) == 2 or b not in {x for v in words for x in grams(v)}}
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(grams(t))
+        if i % 3 == 0:
+            target.update(grams(t))
+    size, one = importance.BUCKETS, importance.SMOOTHING
+    ratio = lambda b: np.log((target[b] + one) / (sum(target.values()) + one * size)) - np.log((raw[b] + one) / (sum(raw.values()) + one * size))
+    got = importance.resample(docs, docs.where("doc_id % 3 = 0"), keep=0.5).collect()
+    for r in got:
+        assert r["log_weight"] == pytest.approx(sum(ratio(b) for b in grams(texts[r["id"]])))
+    assert sum(r["selected"] for r in got) == 30
+    assert min(r["gumbel_key"] for r in got if r["selected"]) > max(r["gumbel_key"] for r in got if not r["selected"])
+
+
 def test_importance_on_awkward_tables(spark, awkward, empty):
     got = importance.resample(awkward, awkward.where("lang = 'en'")).collect()
     assert len(got) == len(AWKWARD)
