@@ -58,6 +58,28 @@ def test_token_stage_equals_library(spark, docs):
         assert r["round_trip"] and r["token_ids"] == library.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"])
 
 
+@pytest.mark.parametrize("name", ["language", "lines", "near", "mix", "tokens"])
+def test_stages_on_awkward_rows(spark, name):
+    docs = spark.createDataFrame(AWKWARD, SCHEMA)
+    out = STAGE[name](spark, docs, SF)
+    rows = out.collect()
+    if name != "tokens":
+        assert out.columns == docs.columns
+        given = {r["doc_id"]: r for r in docs.collect()}
+        for r in rows:  # every other column is the document's own
+            assert [r[c] for c in docs.columns if c != "text"] == [given[r["doc_id"]][c] for c in docs.columns if c != "text"]
+    ids = sorted((r["doc_id"] for r in rows), key=repr)
+    want = {
+        "language": [1, 2, 6, 7, 7, None], "lines": [1, 2, 3, 4, 5, 6, 7, 7, None],
+        "near": [1, 2, 3, 4, 5, 6, None], "tokens": [1, 2, 3, 4, 5, 6, 7, 7, None],
+    }
+    if name in want:
+        assert ids == sorted(want[name], key=repr)
+    else:
+        assert 3 not in ids and 4 not in ids
+    assert STAGE[name](spark, docs.where("false"), SF).count() == 0
+
+
 def test_run_on_awkward_rows(spark, tmp_path):
     for rows, folder in ((AWKWARD, "some"), ([], "none")):
         spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
