@@ -103,7 +103,10 @@ def join_spread(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     total = rows.count()
     if total <= 1_000:  # no key can be hot
         return rows.join(lookup, key, how)
-    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("__n")), [key], "__n", total)
+    (n,) = fresh([key], "n")
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias(n)), [key], n, total)
+    if hot.isEmpty():
+        return rows.join(lookup, key, how)
     picked = F.broadcast(lookup.join(hot, key, "left_semi"))  # a row for each hot key at most
     warm = rows.join(hot, key, "left_semi").join(picked, key, how)
     return rows.join(hot, key, "left_anti").join(lookup, key, how).unionByName(warm)

@@ -129,19 +129,24 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, st
 
     ``y`` holds the margin each row has to reach, with its side as the sign.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge
+    w, bias, active = np.zeros(x.shape[1]), 0.0, None
+    keep = np.eye(x.shape[1] + 1) * ridge
     keep[-1, -1] = 1e-6
-    active = None
     for _ in range(steps):
-        violating = np.sign(y) * (x @ w) < np.abs(y)
+        violating = np.sign(y) * (x @ w.astype(x.dtype) + bias) < np.abs(y)
         if active is not None and (violating == active).all():
             break
-        active = violating
-        xa, ya, ca = x[active], y[active], cost[active]
-        w = np.linalg.solve(keep + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ ya)
-    return w[:-1], float(w[-1])
+        active, left, right = violating, keep.copy(), np.zeros(len(keep))
+        use = np.flatnonzero(active)
+        for i in range(0, len(use), 4_096):  # few rows at a time in double precision
+            rows = use[i : i + 4_096]
+            own = np.hstack([x[rows].astype(np.float64), np.ones((len(rows), 1))])
+            weighted = own * cost[rows, None]
+            left += weighted.T @ own
+            right += weighted.T @ y[rows]
+        solved = np.linalg.solve(left, right)
+        w, bias = solved[:-1], float(solved[-1])
+    return w, bias
 
 
 def variants(word: str, draw: np.random.Generator) -> list[str]:
@@ -247,8 +252,9 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | Non
     def margins(weights: np.ndarray, bias: float) -> np.ndarray:
         return np.maximum.reduceat(z @ weights.astype(np.float32), first) + bias
 
-    mean = np.stack([np.bincount(rows.owner, z[first, j][rows.words], len(rows.labels)) for j in range(z.shape[1])], axis=1)
-    mean /= np.diff(rows.begins)[:, None]
+    mean = np.empty((len(rows.labels), z.shape[1]), np.float32)
+    for j in range(z.shape[1]):
+        mean[:, j] = np.bincount(rows.owner, z[first, j][rows.words], len(rows.labels)) / np.diff(rows.begins)
     weights, bias = _svm(mean, np.where(rows.labels == 1, 1.0, -1.0), np.where(rows.labels == 1, n_clean / n_toxic, 1.0))
     decided, accused = np.zeros(len(vocabulary), dtype=bool), np.zeros(len(vocabulary), dtype=bool)
     for turn in range(ROUNDS):
