@@ -12,6 +12,7 @@ at least and a clean one has none. A text scores as its worst sentence.
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -215,7 +216,11 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | Non
     words that decide sentences are the rows of the next machine; a word that
     decided a clean sentence once stays a row.
     """
-    parsed = [(label, [[n for t in tokens_of(s) if (n := normalise(t))] for s in sentences]) for label, sentences in bags]
+    plain: dict[str, str] = {}  # one string a word
+    for token in (t for _, sentences in bags for s in sentences for t in tokens_of(s)):
+        if token not in plain:
+            plain[token] = sys.intern(normalise(token))
+    parsed = [(label, [list({n for t in tokens_of(s) if (n := plain[t])}) for s in sentences]) for label, sentences in bags]
     held = [_least_sentence(own) % 6 == 0 for _, own in parsed]  # a sixth, for calibration; copies fall together
     train = [b for b, h in zip(parsed, held) if not h]
     if {label for label, _ in train} != {0, 1}:
@@ -240,13 +245,16 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | Non
     nystroem = vector[:, solid] / np.sqrt(value[solid])
 
     def features(words: list[str]) -> np.ndarray:
-        parts = [kernel(subsequence_features(words[i : i + 512]), landmarks) @ nystroem for i in range(0, len(words), 512)]
-        return np.vstack(parts).astype(np.float32) if parts else np.zeros((0, int(solid.sum())), np.float32)
+        out = np.empty((len(words), int(solid.sum())), np.float32)
+        for i in range(0, len(words), 512):
+            out[i : i + 512] = kernel(subsequence_features(words[i : i + 512]), landmarks) @ nystroem
+        return out
 
     pieces, owner = _split(vocabulary)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))  # like lengths make narrow matrices
     z = np.empty((len(pieces), int(solid.sum())), np.float32)
-    z[order] = features([pieces[i] for i in order])
+    for i in range(0, len(order), 4_096):
+        z[order[i : i + 4_096]] = features([pieces[j] for j in order[i : i + 4_096]])
     first = np.searchsorted(owner, np.arange(len(vocabulary)))
 
     def margins(weights: np.ndarray, bias: float) -> np.ndarray:
@@ -256,6 +264,7 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 0) -> ToxicityModel | Non
     for j in range(z.shape[1]):
         mean[:, j] = np.bincount(rows.owner, z[first, j][rows.words], len(rows.labels)) / np.diff(rows.begins)
     weights, bias = _svm(mean, np.where(rows.labels == 1, 1.0, -1.0), np.where(rows.labels == 1, n_clean / n_toxic, 1.0))
+    del mean
     decided, accused = np.zeros(len(vocabulary), dtype=bool), np.zeros(len(vocabulary), dtype=bool)
     for turn in range(ROUNDS):
         margin = margins(weights, bias)
