@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberlake.sources.tables import staged
+
 MODES = ("off", "exact", "bm25", "fuzzy", "semantic", "entity-aware")
 
 
@@ -41,12 +43,14 @@ def entity_aware_hits(ranked: DataFrame, overlap: Column, floor: float = 0.95, k
 def cascade(queries: DataFrame, tiers: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """Run each tier on the queries that no earlier tier answered.
 
-    A tier maps queries to (query_id, entry_id, similarity). Returns every
-    query with ``hit``, ``method``, ``entry_id`` and ``similarity``.
+    A tier maps queries to (query_id, entry_id, similarity). Its hits are staged
+    once: later tiers and the result read them, so plans grow by a scan a tier.
+    Returns every query with ``hit``, ``method``, ``entry_id`` and ``similarity``.
     """
     left, parts = queries, []
     for name, tier in tiers:
         hits = tier(left).select("query_id", "entry_id", F.col("similarity").cast("double").alias("similarity"), F.lit(name).alias("method"))
+        hits = staged(hits)
         parts.append(hits)
         left = left.join(hits.select("query_id"), "query_id", "left_anti")
     hits = parts[0]

@@ -108,7 +108,10 @@ def fuzzy_matches(index: DataFrame, asked: DataFrame, distance: int = 1) -> Data
     wanted = keys.select("word").distinct()
     postings = index.select("entry_id", "words", F.explode(F.array_distinct("words")).alias("word")).join(wanted, "word", "left_semi")
     found = postings.join(keys, "word").dropDuplicates(["query_id", "entry_id"])
-    least = F.transform("groups", lambda g: F.array_min(F.transform(F.filter(g, lambda x: F.array_contains("words", x["word"])), lambda x: x["edits"])))
-    scored = found.withColumn("least", least).where(~F.exists("least", lambda x: x.isNull()))
+    # The few near words that an entry holds, found once by hash; groups are checked against them alone.
+    near = F.flatten(F.transform("groups", lambda g: F.transform(g, lambda x: x["word"])))
+    found = found.withColumn("held", F.array_intersect(near, "words"))
+    least = F.transform("groups", lambda g: F.array_min(F.transform(F.filter(g, lambda x: F.array_contains("held", x["word"])), lambda x: x["edits"])))
+    scored = found.where(F.size("held") > 0).withColumn("least", least).where(~F.exists("least", lambda x: x.isNull()))
     total = F.aggregate("least", F.lit(0.0), lambda s, x: s + 1 / (1 + x))
     return scored.select("query_id", "entry_id", F.round(total, 6).alias("score"))

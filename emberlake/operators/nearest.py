@@ -1,7 +1,9 @@
 """Exact nearest rows by dot product: a stated query set against all rows, in blocks.
 
-Rows and queries are dealt into blocks; each pair of blocks is one group, whose
-similarities are one matrix product. Only the k best of each block leave it.
+A set of rows of checked size (the exemplars of a policy) is one broadcast
+matrix that meets the queries where they are. Larger sets and queries are dealt
+into blocks; each pair of blocks is one group, whose similarities are one matrix
+product. Only the k best of each block leave it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 8_192
+BROADCAST_BYTES = 16 << 20
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -46,6 +49,21 @@ def _block(k: int, floor: float | None, skip_self: bool):
     return run
 
 
+def _against(rows: pa.Table, search):
+    """Batches of queries against rows held whole, each length of vectors by itself."""
+    sizes = rows.column("__dim").to_numpy()
+    held = {int(n): rows.filter(pa.array(sizes == n)) for n in np.unique(sizes)}
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("__dim").to_numpy()
+            for n in np.unique(own):
+                if int(n) in held:
+                    yield from search(pa.Table.from_batches([batch.filter(pa.array(own == n))]), held[int(n)]).to_batches()
+
+    return run
+
+
 def nearest(
     queries: DataFrame, rows: DataFrame, k: int, floor: float | None = None, skip_self: bool = False, on: Sequence[str] = ()
 ) -> DataFrame:
@@ -56,19 +74,21 @@ def nearest(
     places, ties go to the smaller ``rid``. Vectors must be valid and of one
     length within ``on`` and their own length.
     """
-    n_rows, n_queries = rows.count(), queries.count()
+    columns = [F.col(c) for c in on]
+    shape = lambda name: [F.col(name).cast("long").alias(name), F.col("v").cast("array<double>").alias("v"), F.size("v").alias("__dim"), *columns]
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()
+    best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid")
+    schema = "qid long, rid long, similarity double"
+    if not on and n_bytes <= BROADCAST_BYTES:
+        found = queries.select(*shape("qid")).mapInArrow(_against(rows.select(*shape("rid")).toArrow(), _block(k, floor, skip_self)), schema)
+        return found.withColumn("rank", F.row_number().over(best))
+    n_queries = queries.count()
     blocks, parts = -(-n_rows // BLOCK_ROWS) or 1, -(-n_queries // BLOCK_ROWS) or 1
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = [F.col(c) for c in on]
-    shape = lambda name: [F.col(name).cast("long").alias(name), F.col("v").cast("array<double>").alias("v"), F.size("v").alias("__dim"), *columns]
     left = queries.select(*shape("qid")).withColumn("__q", deal("qid", parts)).withColumn("__r", every(blocks))
     right = rows.select(*shape("rid")).withColumn("__r", deal("rid", blocks)).withColumn("__q", every(parts))
     keys = ["__dim", "__q", "__r", *on]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k, floor, skip_self), "qid long, rid long, similarity double")
-    best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k, floor, skip_self), schema)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-
-def rank_column(by: Sequence[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

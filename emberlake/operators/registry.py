@@ -27,7 +27,7 @@ def resolvable(states: DataFrame, now: Column) -> DataFrame:
 
 def resolve_config(rows: DataFrame, defaults: DataFrame, on: Sequence[str], aliases: dict[str, Sequence[str]]) -> DataFrame:
     """Fill settings from a row's aliases in order, then from the defaults of its group; blanks do not count."""
-    joined = rows.join(F.broadcast(defaults), list(on), "left")
+    joined = rows.join(defaults, list(on), "left")
     out = [F.coalesce(*[F.nullif(F.col(a).cast("string"), F.lit("")) for a in names]).alias(name) for name, names in aliases.items()]
     return joined.select(*rows.columns, *out)
 

@@ -172,37 +172,30 @@ def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     return lexical.best_match(lexical.lexical_matches(index, words, "BM25", ("source",)))
 
 
-MISSPELT = r"regexp_replace(text, '([a-z]{3})([a-z])([a-z]{2})', '\1x\3')"
-
-
-@query(rf"""
-WITH d AS (SELECT doc_id AS entry_id, list_distinct(list_filter({TOKENS}, lambda w: regexp_full_match(w, '[ -~]+'))) AS words FROM documents),
-q AS (SELECT item_id AS query_id, list_distinct(list_filter(list_transform(regexp_extract_all({MISSPELT}, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)), lambda w: regexp_full_match(w, '[ -~]+'))) AS asked FROM benchmark),
-v AS (SELECT DISTINCT unnest(words) AS word FROM d), t AS (SELECT DISTINCT unnest(asked) AS token FROM q),
-near AS (SELECT token, word, levenshtein(token, word) AS edits FROM t, v WHERE abs(length(token) - length(word)) <= 1 AND levenshtein(token, word) <= 1),
-p AS (SELECT entry_id, unnest(words) AS word FROM d),
-hit AS (SELECT query_id, entry_id, token, min(edits) AS least FROM (SELECT query_id, unnest(asked) AS token FROM q) JOIN near USING (token) JOIN p USING (word) GROUP BY ALL),
-m AS (SELECT query_id, entry_id, round(sum(1.0 / (1 + least)), 6) AS score, count(*) AS n FROM hit GROUP BY ALL),
-r AS (SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rn FROM m JOIN q USING (query_id) WHERE n = len(asked))
-SELECT query_id, entry_id, score FROM r WHERE rn = 1""")
+MISSPELT = "(?s)^(.*?)([a-z]{3})([a-z])([a-z]{2})"
+
+
+@query()
 def fuzzy_top1(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = lambda c: F.filter(c, lambda w: F.regexp_like(w, F.lit("^[ -~]+$")))
-    index = lexical.lexical_index(entries(spark, d), "entry_id", "text").withColumn("words", ascii_only(F.col("words")))
-    bent = asked(spark, d).withColumn("text", F.regexp_replace("text", "(?s)^(.*?)([a-z]{3})([a-z])([a-z]{2})", "$1$2x$4"))
-    words = lexical.query_words(bent, "query_id", "text").withColumn("asked", ascii_only(F.col("asked")))
-    return lexical.best_match(lexical.fuzzy_matches(index, words, 1))
+    """Questions with a letter wrong against all words of all documents (DuckDB's edit distance counts bytes, so there is no SQL)."""
+    index = lexical.lexical_index(entries(spark, d), "entry_id", "text")
+    bent = asked(spark, d).withColumn("text", F.regexp_replace("text", MISSPELT, "$1$2x$4"))
+    return lexical.best_match(lexical.fuzzy_matches(index, lexical.query_words(bent, "query_id", "text"), 1))
 
 
 # Vectors
 
 
 def unit_vectors(spark: SparkSession, d: str, name: str, *keep: str) -> DataFrame:
+    """Unit vectors; as queries (``qid``) the stated set of every fifth."""
     rows = read_table(spark, d, "embeddings")
+    if name == "qid":
+        rows = rows.where("vec_id % 5 = 0")
     return rows.select(F.col("vec_id").alias(name), vectors.normalised(F.col("embedding")).alias("v"), *keep).where(F.col("v").isNotNull())
 
 
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings"
-PAIRS = f"u AS ({UNIT}), pairs AS (SELECT a.vec_id AS qid, b.vec_id AS rid, round(list_dot_product(a.v, b.v), 9) AS similarity, a.label AS qlabel, b.label AS rlabel FROM u a JOIN u b ON a.vec_id <> b.vec_id), near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, rid) AS rank FROM pairs)"
+PAIRS = f"u AS ({UNIT}), pairs AS (SELECT a.vec_id AS qid, b.vec_id AS rid, round(list_dot_product(a.v, b.v), 9) AS similarity, a.label AS qlabel, b.label AS rlabel FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0), near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, rid) AS rank FROM pairs)"
 
 
 @query(f"WITH {PAIRS} SELECT qid, rid, rank, round(similarity, 6) AS similarity FROM near WHERE rank <= 8")
@@ -234,22 +227,29 @@ def entity_aware_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 
 CASCADE = f"""
-WITH {PAIRS}, q AS (SELECT vec_id AS query_id, label FROM embeddings),
-t1 AS (SELECT query_id, min(doc_id) AS entry_id FROM q JOIN documents ON doc_id = query_id AND n_chars % 3 = 0 GROUP BY query_id),
-t2 AS (SELECT qid AS query_id, rid AS entry_id, similarity FROM near WHERE rank = 1 AND similarity >= 0.4 AND qid NOT IN (SELECT query_id FROM t1)),
-h AS (SELECT query_id, entry_id, 1.0::DOUBLE AS similarity, 'exact' AS method FROM t1 UNION ALL SELECT query_id, entry_id, similarity, 'semantic' FROM t2)"""
+WITH {PAIRS}, q AS (SELECT item_id AS query_id, {CLEAN} AS k FROM benchmark),
+e AS (SELECT k, min(entry_id) AS entry_id FROM (SELECT doc_id AS entry_id, {CLEAN} AS k FROM documents) GROUP BY k),
+lex AS ({_lexical_sql(BM25)}),
+t1 AS (SELECT query_id, entry_id FROM q JOIN e USING (k)),
+t2 AS (SELECT query_id, entry_id FROM lex WHERE query_id NOT IN (SELECT query_id FROM t1)),
+t3 AS (SELECT qid AS query_id, rid AS entry_id, similarity FROM near WHERE rank = 1 AND similarity >= 0.4 AND qid IN (SELECT query_id FROM q) AND qid NOT IN (SELECT query_id FROM t1 UNION ALL SELECT query_id FROM t2)),
+h AS (SELECT query_id, entry_id, 1.0::DOUBLE AS similarity, 'exact' AS method FROM t1 UNION ALL SELECT query_id, entry_id, NULL, 'bm25' FROM t2 UNION ALL SELECT query_id, entry_id, similarity, 'semantic' FROM t3)"""
 
 
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    queries = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("entry_key"))
-    held = read_table(spark, d, "documents").where("n_chars % 3 = 0").select(F.col("doc_id").alias("entry_id"), F.col("doc_id").cast("string").alias("entry_key"))
-    rows = unit_vectors(spark, d, "rid")
+    """Questions against the documents: by key, then by words, then by the vector of the question's number."""
+    held, rows = entries(spark, d), unit_vectors(spark, d, "rid")
+
+    def words(left: DataFrame) -> DataFrame:
+        index = lexical.lexical_index(held, "entry_id", "text")
+        found = lexical.best_match(lexical.lexical_matches(index, lexical.query_words(left, "query_id", "text"), "BM25"))
+        return found.select("query_id", "entry_id", F.lit(None).alias("similarity"))
 
     def semantic(left: DataFrame) -> DataFrame:
         mine = unit_vectors(spark, d, "qid").join(left.select(F.col("query_id").alias("qid")), "qid", "left_semi")
         return nearest.nearest(mine, rows, 1, floor=0.4, skip_self=True).select(F.col("qid").alias("query_id"), F.col("rid").alias("entry_id"), "similarity")
 
-    return tiers.cascade(queries, [("exact", lambda left: tiers.exact_hits(left, held)), ("semantic", semantic)])
+    return tiers.cascade(asked(spark, d), [("exact", lambda left: tiers.exact_hits(left, held)), ("bm25", words), ("semantic", semantic)])
 
 
 @query(CASCADE + " SELECT q.query_id, h.query_id IS NOT NULL AS hit, method, entry_id, round(similarity, 6) AS similarity FROM q LEFT JOIN h USING (query_id)")
@@ -384,11 +384,14 @@ def redact_body(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "pages").select("page_id", masking.redact_body(F.col("html")).alias("body"))
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine, true AS valid FROM embeddings")
+@query("""WITH z AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: x::DOUBLE * 0) ELSE embedding::DOUBLE[] END AS v FROM embeddings)
+SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE round(list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) END AS cosine, vec_id % 7 <> 0 AS valid FROM z""")
 def vector_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Norm, similarity to the first vector and validity, with every seventh vector made zero."""
     rows = read_table(spark, d, "embeddings")
-    first = rows.where("vec_id = 0").select(F.col("embedding").alias("sentinel"))
-    v, s = F.col("embedding"), F.col("sentinel")
+    first = rows.where("vec_id = 0").select(F.col("embedding").alias("sentinel"))  # one row
+    v, s = F.col("v"), F.col("sentinel")
+    rows = rows.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.col("vec_id") % 7 == 0, x * 0).otherwise(x)).alias("v"))
     return rows.crossJoin(F.broadcast(first)).select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(vectors.cosine(v, s), 6).alias("cosine"), vectors.valid(v).alias("valid"))
 
 

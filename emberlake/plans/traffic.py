@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlake.operators import chat, logs, registry
 from emberlake.plans.recall import PROMOTE, REPLAY, TTL, seconds
 from emberlake.sources import sinks
-from emberlake.sources.tables import read_table
+from emberlake.sources.tables import read_table, shared_dir
 from emberlake.streaming import lifecycle as streams
 
 QUERIES, SQL = {}, {}
@@ -150,12 +150,7 @@ def key_touches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="emberlake-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str, *keys: str) -> DataFrame:

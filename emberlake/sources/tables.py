@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
@@ -30,6 +33,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine alone, where unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or os.path.join(tempfile.gettempdir(), f"emberlake-{os.getpid()}")).rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: computed once, whatever reads it."""
+    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def migrate(entries: DataFrame, domain: str = "general") -> DataFrame:
     """Old entries with the later columns filled in: signature, domain, entities, scope; ``migrated`` marks them.
 

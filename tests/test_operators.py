@@ -50,13 +50,41 @@ def test_fuzzy(spark, distance, want):
         lexical.fuzzy_matches(index, words_of(spark, "a"), 4)
 
 
+def test_fuzzy_equals_brute_force(spark):
+    """Whole words of any script: edit distance in characters, rarest token first."""
+    draw = random.Random(12)
+    known = ["größe", "grösse", "café", "cafe", "naïve", "niño", "nino", "日本", "日本語", "tree", "trees", "free", "x"]
+    texts = [" ".join(draw.choice(known) for _ in range(draw.randrange(0, 7))) for _ in range(40)]
+    asked = [" ".join(draw.choice([*known, "cafés", "trée", "groesse"]) for _ in range(draw.randrange(1, 4))) for _ in range(30)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for q, question in enumerate(asked):
+        for e, text in enumerate(texts):
+            least = [min((edits(t, w) for w in text.split()), default=9) for t in set(question.split())]
+            if max(least) <= 1:
+                want.add((q, e, round(sum(1 / (1 + n) for n in least), 6)))
+    got = lexical.fuzzy_matches(index_of(spark, *texts), words_of(spark, *asked))
+    assert {(r["query_id"], r["entry_id"], r["score"]) for r in got.collect()} == want
+
+
 def test_nearest_blocks_agree(spark, monkeypatch):
     draw = random.Random(4)
     rows = [(i, [draw.gauss(0, 1) for _ in range(6)], i % 2) for i in range(60)] + [(100, [1.0] + [0.0] * 5, 0), (101, [1.0] + [0.0] * 5, 0)]
     frame = spark.createDataFrame(rows, "id long, v array<double>, s int")
     run = lambda **k: sorted(map(tuple, nearest.nearest(frame.withColumnRenamed("id", "qid"), frame.withColumnRenamed("id", "rid"), 3, **k).select("qid", "rid", "similarity", "rank").collect()))
     whole = run(skip_self=True, on=["s"])
+    held = run(skip_self=True)
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 0)
+    assert run(skip_self=True) == held
     assert run(skip_self=True, on=["s"]) == whole
     brute = []
     for q, a, s in rows:
@@ -74,6 +102,16 @@ def test_modes():
             cascade.resolve_modes(bad)
 
 
+def test_cascade_plan_grows_by_a_scan_a_tier(spark):
+    queries = spark.range(4).withColumnRenamed("id", "query_id")
+    tier = lambda left: left.where("query_id = 1").select("query_id", F.lit(7).alias("entry_id"), F.lit(0.5).alias("similarity"))
+    scans = []
+    for n in (1, 3, 5):
+        plan = cascade.cascade(queries, [(f"t{i}", tier) for i in range(n)])._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        scans.append(plan)
+    assert scans == [2, 4, 6]
+
+
 def test_cascade_first_hit_wins(spark):
     queries = spark.range(4).withColumnRenamed("id", "query_id")
     seen = []
