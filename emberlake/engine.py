@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import text, vectors
 from emberlake.operators import cascade, lexical, nearest
 from emberlake.sources import sinks
-from emberlake.sources.tables import CACHE_ENTRY, SCHEMA_VERSION, migrate
+from emberlake.sources.tables import CACHE_ENTRY, SCHEMA_VERSION, migrate, staged
+
+
+def _entities(rows: DataFrame) -> Column:
+    """Lower-cased identifiers of rows, none where the column is missing or null."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.transform("entities", lambda x: F.lower(text.clean_edges(x))), none) if "entities" in rows.columns else none
+
+
+def _domain(rows: DataFrame) -> Column:
+    return F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("general")) if "domain" in rows.columns else F.lit("general")
 
 
 class RecallEngine:
@@ -47,24 +57,34 @@ class RecallEngine:
     def set(self, rows: DataFrame, now: int) -> None:
         """Store (text, response, scope, embedding): hits 1, a fresh expiry; the last row of a key wins.
 
-        Without tiers nothing is stored; without a semantic tier no vector is.
+        ``entities`` (array of identifiers) and ``domain`` are stored where the
+        rows have them; a blank domain is ``general``. Without tiers nothing is
+        stored; without a semantic or entity-aware tier no vector is.
         """
         if not self.tiers:
             return
         clean = text.clean(F.col("text"))
+        given = _entities(rows)
         vector = vectors.normalised(F.col("embedding")).cast("array<float>") if {"semantic", "entity-aware"} & set(self.tiers) else F.lit(None).cast("array<float>")
         fresh = rows.select(
-            text.entry_key(F.col("scope"), clean).alias("entry_key"), text.scope_tag(F.col("scope")).alias("scope"), F.lit("general").alias("domain"),
-            clean.alias("text"), "response", F.lit("{}").alias("metadata"), F.lit("[]").alias("entities"), F.lit("none").alias("entity_sig"),
+            text.entry_key(F.col("scope"), clean).alias("entry_key"), text.scope_tag(F.col("scope")).alias("scope"), _domain(rows).alias("domain"),
+            clean.alias("text"), "response", F.lit("{}").alias("metadata"), F.to_json(given).alias("entities"), text.entity_signature(given).alias("entity_sig"),
             vector.alias("embedding"), F.lit(1).alias("hits"), F.lit(now).cast("long").alias("ts"), F.lit(now + self.ttl).cast("long").alias("expires_at"),
             F.lit(SCHEMA_VERSION).alias("schema_version"),
         )
         self._write(sinks.upsert(self.entries(), fresh, ["entry_key"], [F.desc("ts"), F.desc("response")]))
 
     def search(self, queries: DataFrame, now: int) -> DataFrame:
-        """Answers for (query_id, text, scope, embedding): hit, method, similarity and response."""
+        """Answers for (query_id, text, scope, embedding): hit, method, similarity and response.
+
+        The entity-aware tier also reads ``entities`` and ``domain`` of queries
+        that have them: of the ten nearest entries of the scope and domain the
+        first that shares an entity and reaches the floor answers.
+        """
         held = self.entries().where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-        held = held.withColumn("entry_id", F.xxhash64("entry_key"))
+        # Keys are numbered for the search: a hash of them could let one entry answer for another.
+        numbers = staged(held.select("entry_key").withColumn("entry_id", F.monotonically_increasing_id()))
+        held = held.join(numbers, "entry_key")
         clean = queries.withColumn("text", text.clean(F.col("text"))).withColumn("entry_key", text.entry_key(F.col("scope"), F.col("text")))
         clean = clean.withColumn("scope", text.scope_tag(F.col("scope")))
 
@@ -86,8 +106,17 @@ class RecallEngine:
             found = nearest.nearest(mine, rows, 1, floor=self.floor, on=["scope"])
             return found.select(F.col("qid").alias("query_id"), F.col("rid").alias("entry_id"), "similarity")
 
-        known = {"exact": lambda left: cascade.exact_hits(left, held), "bm25": lexical_tier(False), "fuzzy": lexical_tier(True), "semantic": semantic}
-        tiers = [(t, known[t]) for t in self.tiers if t in known]
+        def entity_aware(left: DataFrame) -> DataFrame:
+            domain, own = _domain(left), _entities(left)
+            mine = left.select(F.col("query_id").alias("qid"), vectors.normalised(F.col("embedding")).alias("v"), "scope", domain.alias("domain"), own.alias("asked")).where("v is not null")
+            rows = held.select(F.col("entry_id").alias("rid"), F.col("embedding").alias("v"), "scope", "domain").where("v is not null")
+            found = nearest.nearest(mine.drop("asked"), rows, 10, on=["scope", "domain"])
+            kept = held.select(F.col("entry_id").alias("rid"), F.from_json("entities", "array<string>").alias("kept"))
+            ranked = found.join(mine.select("qid", "asked"), "qid").join(kept, "rid").withColumnsRenamed({"qid": "query_id", "rid": "entry_id"})
+            return cascade.entity_aware_hits(ranked, text.entities_overlap(F.col("asked"), F.col("kept")), self.floor)
+
+        known = {"entity-aware": entity_aware, "exact": lambda left: cascade.exact_hits(left, held), "bm25": lexical_tier(False), "fuzzy": lexical_tier(True), "semantic": semantic}
+        tiers = [(t, known[t]) for t in self.tiers]
         if not tiers:
             return queries.select("query_id", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("response"))
         hits = cascade.cascade(clean, tiers)

@@ -26,6 +26,20 @@ def test_set_search_purge(spark, tmp_path):
     assert engine.purge("S") == 1 and engine.purge() == 1 and engine.entries().count() == 0
 
 
+def test_entity_aware_tier(spark, tmp_path):
+    engine = RecallEngine(spark, f"{tmp_path}/aware", "entity-aware", exact_tier=False, floor=0.9)
+    more = ", entities array<string>, domain string"
+    rows = [("a", "A", None, [1.0, 0.0], ["Paris"], None), ("b", "B", None, [1.0, 0.1], ["Rome"], ""), ("c", "C", None, [0.0, 1.0], None, None), ("d", "D", None, [1.0, 0.0], ["Paris"], "law")]
+    engine.set(spark.createDataFrame(rows, ENTRY + more), 100)
+    assert {(r["domain"], r["entity_sig"] == "none", r["entities"]) for r in engine.entries().collect()} == {("general", False, '["paris"]'), ("general", False, '["rome"]'), ("general", True, "[]"), ("law", False, '["paris"]')}
+    asked = [(1, "x", None, [1.0, 0.0], [" rome"], None), (2, "x", None, [0.0, 1.0], ["rome"], None), (3, "x", None, [0.0, 1.0], [], None), (4, "x", None, [1.0, 0.0], ["PARIS"], "law"), (5, "x", "s", [1.0, 0.0], ["paris"], None), (6, "x", None, [1.0, 1.0], ["paris"], None)]
+    got = {r["query_id"]: (r["method"], r["response"]) for r in engine.search(spark.createDataFrame(asked, QUERY + more), 200).collect()}
+    none = (None, None)
+    assert got == {1: ("entity-aware", "B"), 2: none, 3: ("entity-aware", "C"), 4: ("entity-aware", "D"), 5: none, 6: none}
+    plain = engine.search(spark.createDataFrame([(1, "x", None, [0.0, 1.0])], QUERY), 200).first()
+    assert plain["response"] == "C"
+
+
 def test_models_see_each_text_once(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", None, "bad"])], "id int, t string")
 
