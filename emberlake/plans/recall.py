@@ -9,7 +9,7 @@ from emberlake.functions import masking, text, vectors
 from emberlake.operators import cascade as tiers
 from emberlake.operators import lexical, lifecycle, nearest
 from emberlake.sources import sinks
-from emberlake.sources.tables import migrate, read_table
+from emberlake.sources.tables import migrate, read_table, spread
 
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g'))"
@@ -87,7 +87,7 @@ def gateway_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents")
+    rows = spread(read_table(spark, d, "documents"))
     return rows.select(F.col("doc_id").alias("entry_id"), "text", "source", "lang", text.entry_key(F.lit(None).cast("string"), text.clean(F.col("text"))).alias("entry_key"))
 
 
@@ -374,7 +374,7 @@ def breaker_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents")
+    rows = spread(read_table(spark, d, "documents"))
     masked = masking.redact(F.col("text"))
     return rows.select("doc_id", F.sha2(masked.cast("binary"), 256).alias("masked_sha"), (masked != F.col("text")).alias("changed"))
 
