@@ -94,12 +94,26 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, total: int) -> Data
     return F.broadcast(spark.createDataFrame(rows, narrow.schema))
 
 
+def _measured(df: DataFrame) -> int:
+    """Spark's own estimate of a table's bytes: the size of the files of a staged one."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 where broadcasts are off."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def join_spread(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join of staged ``rows`` with a table of one row a key, such that no hot key lands in one task.
 
-    Hot keys are counted first (``hot_keys``); their few rows of ``lookup`` are
-    broadcast, the others meet in a shuffle. ``how`` is inner or left.
+    A lookup that Spark measures under its broadcast threshold is broadcast
+    whole, and nothing is shuffled. For others hot keys are counted first
+    (``hot_keys``); their few rows of ``lookup`` are broadcast, the rest meet
+    in a shuffle. ``how`` is inner or left.
     """
+    if _measured(lookup) <= _broadcast_limit(rows.sparkSession):
+        return rows.join(F.broadcast(lookup), key, how)
     total = rows.count()
     if total <= 1_000:  # no key can be hot
         return rows.join(lookup, key, how)
