@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlake.functions import text, vectors
-from emberlake.operators import cascade, lexical, nearest
+from emberlake.operators import cascade, lexical, nearest, seams
 from emberlake.sources import sinks
 from emberlake.sources.tables import CACHE_ENTRY, SCHEMA_VERSION, migrate, staged
 
@@ -29,10 +30,17 @@ class RecallEngine:
     Versions are whole tables, so a failed write leaves the last one in place.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, mode: str | Sequence[str] = "semantic", exact_tier: bool = True, floor: float = 0.85, min_score: float = 0.0, ttl: int = 86_400) -> None:
+    def __init__(self, spark: SparkSession, folder: str, mode: str | Sequence[str] = "semantic", exact_tier: bool = True, floor: float = 0.85, min_score: float = 0.0, ttl: int = 86_400, extractor: seams.Model | None = None) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.tiers = cascade.resolve_modes(mode, exact_tier)
         self.floor, self.min_score, self.ttl = floor, min_score, ttl
+        self.extractor = extractor if "entity-aware" in self.tiers else None
+
+    def _extracted(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``entities`` from the extractor where there is one; null where it failed."""
+        if self.extractor is None:
+            return rows
+        return seams.apply_model(rows.drop("entities"), "text", "entities", T.ArrayType(T.StringType()), self.extractor)
 
     def _versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -59,10 +67,13 @@ class RecallEngine:
 
         ``entities`` (array of identifiers) and ``domain`` are stored where the
         rows have them; a blank domain is ``general``. Without tiers nothing is
-        stored; without a semantic or entity-aware tier no vector is.
+        stored; without a semantic or entity-aware tier no vector is. With an
+        ``extractor`` (entity-aware tiers only) entities are its answers.
         """
         if not self.tiers:
             return
+        if self.extractor is not None:  # a row whose entities could not be found is not stored
+            rows = self._extracted(rows).where(F.col("entities").isNotNull())
         clean = text.clean(F.col("text"))
         given = _entities(rows)
         vector = vectors.normalised(F.col("embedding")).cast("array<float>") if {"semantic", "entity-aware"} & set(self.tiers) else F.lit(None).cast("array<float>")
@@ -107,6 +118,8 @@ class RecallEngine:
             return found.select(F.col("qid").alias("query_id"), F.col("rid").alias("entry_id"), "similarity")
 
         def entity_aware(left: DataFrame) -> DataFrame:
+            if self.extractor is not None:  # a failure is a miss of this tier alone
+                left = self._extracted(left).where(F.col("entities").isNotNull())
             domain, own = _domain(left), _entities(left)
             mine = left.select(F.col("query_id").alias("qid"), vectors.normalised(F.col("embedding")).alias("v"), "scope", domain.alias("domain"), own.alias("asked")).where("v is not null")
             rows = held.select(F.col("entry_id").alias("rid"), F.col("embedding").alias("v"), "scope", "domain").where("v is not null")

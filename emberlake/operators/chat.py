@@ -51,6 +51,12 @@ def segments(messages: DataFrame, request: str, turn: str, role: str, text: str,
     return rows.where(F.coalesce(F.col("text"), F.lit("")) != "")
 
 
+def unguardable(messages: DataFrame, request: str, role: str, text: str, roles: tuple[str, ...]) -> DataFrame:
+    """Requests (request_id) with a message of the checked roles that a guard cannot read."""
+    hidden = messages.where(F.col(role).isin(*roles) & unreadable(F.col(text)))
+    return hidden.select(F.col(request).alias("request_id")).distinct()
+
+
 def cacheable(enabled: Column, n: Column, bypass: Column) -> Column:
     """Requests may use the cache if it is on, one choice is asked for, and no bypass field is set."""
     return F.coalesce(enabled, F.lit(False)) & (F.coalesce(n, F.lit(1)) == 1) & ~F.arrays_overlap(F.coalesce(bypass, F.array().cast("array<string>")), F.array(*map(F.lit, BYPASS_FIELDS)))

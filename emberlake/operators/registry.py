@@ -25,6 +25,21 @@ def resolvable(states: DataFrame, now: Column) -> DataFrame:
     return states.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def rotations(issued: DataFrame, owner: str, key: str, ts: str, grace_seconds: int) -> DataFrame:
+    """Each owner's keys in order of issue: a new key replaces the one before, which still resolves for the grace.
+
+    Returns owner, key, ``replaced_by`` and ``expires_at``, both null for the key in force.
+    """
+    order = Window.partitionBy(owner).orderBy(ts, key)
+    ends = F.lead(ts).over(order) + F.make_interval(secs=F.lit(grace_seconds))
+    return issued.select(owner, key, F.lead(key).over(order).alias("replaced_by"), ends.alias("expires_at"))
+
+
+def idle(rows: DataFrame, last_used: str, now: Column, days: int = 30) -> DataFrame:
+    """Rows last used more than ``days`` before ``now``: what an age sweep deletes. Never used rows stay."""
+    return rows.where(F.col(last_used) < now - F.make_interval(days=F.lit(days)))
+
+
 def resolve_config(rows: DataFrame, defaults: DataFrame, on: Sequence[str], aliases: dict[str, Sequence[str]]) -> DataFrame:
     """Fill settings from a row's aliases in order, then from the defaults of its group; blanks do not count."""
     joined = rows.join(defaults, list(on), "left")

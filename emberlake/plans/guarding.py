@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.functions import replies, text
+from emberlake.functions import replies, text, vectors
 from emberlake.operators import chat, guard, nearest
 from emberlake.plans.recall import PAIRS, unit_vectors
 from emberlake.sources.policy import parse_policy
@@ -123,6 +123,11 @@ def guard_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return _loo(spark, d).select("qid", "label", F.round("score", 6).alias("score"), F.round("nearest", 6).alias("nearest"))
 
 
+@query(f"WITH {VOTED} SELECT coalesce(round(avg((score > {ALLOW} AND score < {BLOCK})::INT), 6), 0) AS judge_rate, count(*) AS n FROM voted")
+def guard_judge_rate(spark: SparkSession, d: str) -> DataFrame:
+    return guard.judge_rate(voted(spark, d), ALLOW, BLOCK).withColumn("judge_rate", F.round("judge_rate", 6))
+
+
 PROBLEM = f"CASE WHEN own_label = 'disallowed' AND score = 0 THEN 'floor_too_high' WHEN own_label = 'allowed' AND score >= {BLOCK} THEN 'allowed_at_block' WHEN own_label = 'disallowed' AND score <= {ALLOW} THEN 'disallowed_at_allow' END"
 
 
@@ -132,6 +137,12 @@ def guard_separability(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("problem").agg(F.count("*").alias("n"), F.count(F.when(F.col("in_band"), 1)).alias("in_band"))
 
 
+@query(f"WITH {VOTED}, w AS (SELECT qid, {PROBLEM} AS problem FROM voted) SELECT row_number() OVER (ORDER BY qid) AS place, qid, problem, count(*) OVER () AS n_problems FROM w WHERE problem IS NOT NULL ORDER BY qid LIMIT 5")
+def guard_separability_report(spark: SparkSession, d: str) -> DataFrame:
+    report = guard.separability_report(_loo(spark, d), ALLOW, BLOCK)
+    return report.select(F.col("place").cast("long").alias("place"), "qid", "problem", "n_problems")
+
+
 @query(f"WITH {VOTED} SELECT round(min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), 6) AS min_disallowed, round(max(score) FILTER (WHERE own_label = 'allowed'), 6) AS max_allowed, coalesce(max(score) FILTER (WHERE own_label = 'allowed') >= min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), false) AS overlap FROM voted")
 def threshold_suggestion(spark: SparkSession, d: str) -> DataFrame:
     found = guard.threshold_suggestion(_loo(spark, d))
@@ -254,3 +265,28 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Texts made safe for a judge's prompt, with bells for spaces and three quotes put in before."""
     spoilt = F.concat(F.translate("text", " ", "\x07"), F.lit('"""' + '"x"'))
     return read_table(spark, d, "benchmark").select("item_id", F.sha2(text.sanitize_for_judging(spoilt).cast("binary"), 256).alias("prompt_sha"))
+
+
+TASK = "a shop"
+
+
+@query(f"""WITH c AS (SELECT string_agg('- ' || r_name || ': about ' || r_name, chr(10) ORDER BY r_name) AS topics FROM region)
+SELECT item_id, sha256('Setting: {TASK}' || chr(10) || 'Topics:' || chr(10) || topics || chr(10) || 'Examples:' || chr(10) || '- (allowed) "' || text || '"' || chr(10) || '{guard.JUDGE_TASK}') AS system_sha, sha256(text) AS user_sha FROM benchmark, c""")
+def judge_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The two messages of a judge, the regions as topics in any order of rows."""
+    topic = F.struct(F.col("r_name").alias("name"), F.concat(F.lit("about "), "r_name").alias("description"))
+    topics = read_table(spark, d, "region").agg(F.collect_list(topic).alias("topics"))
+    example = F.array(F.struct(F.lit("allowed").alias("label"), F.col("text")))
+    prompt = guard.judge_prompt(F.col("text"), F.lit(TASK), F.col("topics"), example)
+    rows = read_table(spark, d, "benchmark").crossJoin(F.broadcast(topics)).select("item_id", prompt.alias("p"))  # one row
+    return rows.select("item_id", *[F.sha2(F.col(f"p.{part}").cast("binary"), 256).alias(f"{part}_sha") for part in ("system", "user")])
+
+
+@query()
+def guard_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation through the whole guard: the policy's exemplars, the stand-in embedder, no judge."""
+    policy = parse_policy(POLICY).frame(spark).select(F.col("ord").cast("long").alias("rid"), vectors.trigram_embedding(F.col("text")).alias("v"), "label", F.col("category_id").alias("category"), "text", "action", F.lit(None).cast("string").alias("description"))
+    messages = read_table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), "turn", "role", F.col("text").alias("content"))
+    embed = lambda rows: rows.withColumn("vector", vectors.trigram_embedding(F.col("piece")))
+    out = guard.check_requests(messages, policy, embed, floor=FLOOR, allow=ALLOW, block=BLOCK, max_chars=MAX_CHARS, max_segments=MAX_SEGMENTS)
+    return out.select("request_id", "action", "reason", F.round("final_score", 6).alias("final_score"), "category")

@@ -204,6 +204,13 @@ def knn_top_k(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "rid", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, rid) AS place FROM pairs WHERE qlabel = rlabel) SELECT qid, rid, place AS rank, round(similarity, 6) AS similarity FROM own WHERE place <= 3")
+def semantic_in_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest three of the query's own domain; the label stands for the domain."""
+    found = nearest.nearest(unit_vectors(spark, d, "qid", "label"), unit_vectors(spark, d, "rid", "label"), 3, skip_self=True, on=["label"])
+    return found.select("qid", "rid", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {PAIRS} SELECT qid, rid, round(similarity, 6) AS similarity FROM near WHERE rank = 1 AND similarity >= 0.4")
 def semantic_threshold(spark: SparkSession, d: str) -> DataFrame:
     found = nearest.nearest(unit_vectors(spark, d, "qid"), unit_vectors(spark, d, "rid"), 1, floor=0.4, skip_self=True)

@@ -127,6 +127,37 @@ def key_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
+@query(f"""WITH k AS (SELECT o_custkey, arg_max({KEY_ACTION}, (o_orderdate, o_orderkey)) AS last_action, max(o_orderdate) AS moment FROM orders GROUP BY o_custkey)
+SELECT o_custkey, last_action FROM k WHERE last_action = 'issue' OR (CASE last_action WHEN 'revoke' THEN moment ELSE moment + INTERVAL 1 HOUR END) > TIMESTAMP '1998-01-01'""")
+def live_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that still resolve at a stated time."""
+    rows = read_table(spark, d, "orders").withColumn("action", F.expr(KEY_ACTION))
+    states = registry.key_states(rows, "o_custkey", "o_orderdate", "o_orderkey", "action", 3600)
+    return registry.resolvable(states, F.expr("TIMESTAMP '1998-01-01'")).select("o_custkey", "last_action")
+
+
+@query("SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS replaced_by, lead(o_orderdate) OVER w + INTERVAL 1 HOUR AS expires_at FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def key_rotation(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a customer's new key: the one before resolves for one more hour."""
+    out = registry.rotations(read_table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderdate", 3600)
+    return out.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING max(o_orderdate) < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY")
+def idle_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without an order in the 90 days before a stated time."""
+    used = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_used"), F.count("*").alias("n"))
+    return registry.idle(used, "last_used", F.expr("TIMESTAMP '1998-01-01'"), 90).select("o_custkey", "n")
+
+
+@query("SELECT owner, key, row_number() OVER (PARTITION BY owner ORDER BY o_orderdate, key) AS place FROM (SELECT DISTINCT l_suppkey AS owner, l_orderkey AS key FROM lineitem) JOIN orders ON key = o_orderkey")
+def key_set_places(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of each supplier's key set, once each, with their place."""
+    sets = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("key"))
+    rows = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderdate")
+    return registry.members(sets, rows, "key", ["o_orderdate", "key"]).select("owner", "key", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ''), n_name) AS model FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def config_resolution(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("own"))

@@ -40,6 +40,20 @@ def test_entity_aware_tier(spark, tmp_path):
     assert plain["response"] == "C"
 
 
+def test_failed_extraction_is_not_stored_and_misses(spark, tmp_path):
+    def extractor(texts):
+        if any("broken" in t for t in texts):
+            raise ValueError("no answer")
+        return [["paris"] for _ in texts]
+
+    engine = RecallEngine(spark, f"{tmp_path}/extracted", ["entity-aware", "bm25"], exact_tier=False, floor=0.9, extractor=extractor)
+    engine.set(spark.createDataFrame([("red apple", "A", None, [1.0, 0.0]), ("broken pear", "B", None, [0.0, 1.0])], ENTRY), 100)
+    assert [(r["response"], r["entities"]) for r in engine.entries().collect()] == [("A", '["paris"]')]
+    asked = [(1, "fine", None, [1.0, 0.0]), (2, "broken", None, [1.0, 0.0]), (3, "apple red", None, [0.0, 1.0])]
+    got = {r["query_id"]: r["method"] for r in engine.search(spark.createDataFrame(asked, QUERY), 200).collect()}
+    assert got == {1: "entity-aware", 2: None, 3: "bm25"}
+
+
 def test_models_see_each_text_once(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", None, "bad"])], "id int, t string")
 

@@ -177,6 +177,41 @@ def test_worst_window_takes_the_first_of_ties(spark):
     assert guard.worst_window(rows).first()["position"] == 1
 
 
+def test_guard_chain(spark):
+    vectors = {"bad": [1.0, 0.0], "good": [0.0, 1.0], "between": [0.6, 0.8]}
+    kinds = [(0, [1.0, 0.0], "disallowed", "insult", "you fool", "block", "rude words"), (1, [0.0, 1.0], "allowed", "insult", "hello", "block", None)]
+    exemplars = spark.createDataFrame(kinds, "rid long, v array<double>, label string, category string, text string, action string, description string")
+    rows = [
+        (1, 0, "user", "bad"), (1, 1, "user", "good"), (2, 0, "user", "good"), (3, 0, "user", "between"), (3, 1, "assistant", "bad"),
+        (4, 0, "user", '[{"type": "image", "text": ""}]'), (4, 1, "user", "bad"), (5, 0, "assistant", "bad"), (6, 0, "user", "x" * 200),
+        (7, 0, "user", "unknown"), (7, 1, "user", "bad"), (8, 0, "user", None), (9, 0, "user", "between"), (9, 1, "user", "between"),
+    ]
+    messages = spark.createDataFrame(rows, "request_id long, turn int, role string, content string")
+
+    def embed(pieces):
+        known = F.create_map(*[x for k, v in vectors.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        return pieces.withColumn("vector", known[F.col("piece")])
+
+    def outcomes(mode, judge=None):
+        got = guard.check_requests(messages, exemplars, embed, mode, floor=0.1, allow=0.4, block=0.85, top_k=2, max_chars=10, max_segments=3, judge=judge)
+        return {r["request_id"]: (r["action"], r["reason"], r["judge_invoked"]) for r in got.collect()}
+
+    broken = {4: ("error", "unguardable_content", False), 6: ("error", "input_too_large", False), 7: ("error", "embed_malformed", False)}
+    calm = {2: ("allow", None, False), 5: ("allow", None, False), 8: ("allow", None, False)}
+    plain = outcomes("embedding-only")
+    assert plain == broken | calm | {1: ("block", None, False), 3: ("flag", None, False), 9: ("flag", None, False)}
+
+    def judge(prompts):  # runs on the workers
+        assert all("rude words" in p and "between" in p for p in prompts)
+        return ['{"confidence": 0.9}'] * len(prompts)
+
+    assert outcomes("cascade", judge) == plain | {3: ("block", None, True), 9: ("block", None, True)}
+    unread = ("error", "judge_unparseable", False)
+    assert outcomes("cascade", lambda prompts: ["no idea"] * len(prompts)) == plain | {3: unread, 9: unread}
+    silent = ("error", "judge_unreachable", False)
+    assert outcomes("cascade") == plain | {3: silent, 9: silent}
+
+
 GOOD = {"categories": [{"category_id": "a", "disallowed_exemplars": ["x"], "allowed_exemplars": ["y"]}]}
 
 
