@@ -49,7 +49,10 @@ def trigram_embedding(text: Column, dim: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     grams = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
     axis = F.transform(grams, lambda g: F.conv(F.substring(F.sha2(g.cast("binary"), 256), 1, 8), 16, 10).cast("long") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(axis, lambda a: a == d)).cast("double"))
-    empty = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.when(d == 0, 1.0).otherwise(0.0))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.size(grams) > 0, F.transform(counts, lambda x: x / length)).otherwise(empty)
+    # Bound once a row: an expression named inside a lambda is computed at every step of it.
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    axes = F.sequence(F.lit(0), F.lit(dim - 1))
+    tally = lambda own: F.transform(axes, lambda d: F.size(F.filter(own, lambda a: a == d)).cast("double"))
+    unit = lambda c: bound(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(c, lambda x: x / n))
+    empty = F.transform(axes, lambda d: F.when(d == 0, 1.0).otherwise(0.0))
+    return bound(axis, lambda own: F.when(F.size(own) > 0, bound(tally(own), unit)).otherwise(empty))
