@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ann, bpe, fingerprints, importance, langid, line_dedup, mixing, near_dedup, sharding, toxicity
+from emberlake.llm import ann, bpe, filter_audit, fingerprints, importance, langid, line_dedup, mixing, near_dedup, periodic, sharding, simhash, toxicity
 from emberlake.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -97,6 +97,47 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def with_periodic_tail(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every document whose crc32 of the id ends in 0 repeats a stretch of words up to its end.
+
+    With g the rest of that number, n words, a = g % n and p = 1 + (n - a) // (3 + g % 8),
+    each word from a on is that of a + (i - a) % p.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", crc.alias("h"), F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')").alias("words"))
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    turns = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), turns))
+    altered = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), altered).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tail(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs")
+    # Of the greatest length the first start, then the least period: structs compare field by field.
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size(runs).cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.less")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +146,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_line_dedup, op5_sharding, op6_fingerprints, op7_importance, op8_ann, op9_langid, op10_mixing, pipeline)
+    for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_line_dedup, op5_sharding, op6_fingerprints, op7_importance, op8_ann, op9_langid, op10_mixing, op11_runs, op12_simhash, op13_filter_audit, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,5 +168,43 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op13_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), fails AS (
+  SELECT doc_id, part,
+    (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+    (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT AS c,
+    regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e
+  FROM texts
+), known AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS bad FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+  FROM fails LEFT JOIN known USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [p.l, q.l, r.l, s.l, t.l] AS names, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5
+), steps AS (
+  SELECT array_to_string(names, '') AS filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE mask & (own | before) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (WHERE mask & own <> 0 AND mask & before <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = own) AS unique_fails,
+    sum(good) FILTER (WHERE mask & own <> 0 AND mask & before = 0) AS good_lost,
+    sum(bad) FILTER (WHERE mask & own <> 0 AND mask & before = 0) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM counted
 """,
 }
