@@ -10,7 +10,6 @@ column, and rows without mergeable pairs leave the matrix.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import dealt, extended, prepare
-from emberlake.llm.textkit import mix64, slices
+from emberlake.llm.common import with_texts
+from emberlake.llm.textkit import mix64
 
 NO_RANK = np.int32(2**31 - 1)
 LONG_ROW = 4096
@@ -223,23 +222,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     it may have under the two new names are replaced. The rank file is read
     where the query is built and travels as a broadcast of its fixed size.
     """
-    prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    plain = dealt(docs.drop("token_ids", "decoded"))
-    names = [*plain.columns, "token_ids", "decoded"]
-    schema = extended(plain, token_ids=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str | None]) -> list[pa.Array]:
         codec = _codec(ranks, pattern)
-        for part in slices(batches, text_col):
-            ids = codec.encode_batch(part.column(text_col).to_pylist())
-            decoded = [codec.decode(x) for x in ids]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
-            more = [pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
-
-    return plain.mapInArrow(run, schema)
+        ids = codec.encode_batch(texts)
+        decoded = [codec.decode(x) for x in ids]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
+        return [pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.binary())]
+
+    return with_texts(docs, text_col, make, token_ids=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
 
 
 def ids_digest(ids: str = "token_ids"):

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from emberlake.llm.textkit import slices
+
 
 # Session settings that bound disk and memory, each with Spark's default that it replaces:
 # a query's shuffle files go when it has ended, and batches for Python stay small
@@ -70,6 +73,11 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(taken: Sequence[str], *names: str) -> list[str]:
     """``names``, each with as many underscores before it as set it apart from ``taken`` in any case of letters."""
     used, out = {c.lower() for c in taken}, []
@@ -144,6 +152,26 @@ def extended(df: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in columns.items()]])
 
 
+def with_texts(docs: DataFrame, text_col: str, make: Callable[[list[str | None]], Sequence[pa.Array]], **columns: T.DataType) -> DataFrame:
+    """``docs`` with the ``columns`` that ``make`` gives for the texts of a slice of an Arrow batch.
+
+    Columns go through Arrow under plain names and have their own again after
+    it, so they may be called anything; those called as the new ones are replaced.
+    """
+    prepare(docs.sparkSession)
+    kept = dealt(docs.drop(*columns))
+    names, place = kept.columns, kept.columns.index(text_col)
+    plain = kept.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = extended(plain, **columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, f"c{place}"):
+            made = make(part.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*names, *columns)
+
+
 def id_remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids give null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

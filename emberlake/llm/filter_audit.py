@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import prepare, stage, unstage
+from emberlake.llm.common import column, prepare, stage, unstage
 
 FILTERS = "ABCDE"
 COPY = FILTERS.index("E")
@@ -106,8 +106,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tota
     type that Python orders, as numbers and strings are.
     """
     prepare(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    rows = docs.where(column(id_col).isNotNull()).select(column(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     if total_bytes is None:
         total_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PART_BYTES))
@@ -163,9 +163,9 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty table has no parts and gives no rows. Other columns do not matter.
     """
     prepare(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"),
+        column(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(column(part_col).cast("string"), F.lit("")).alias("part"),
         text_failures(text).alias("mask"), F.octet_length(text).cast("long").alias("bytes"),
     )
     rows = stage(rows, "masks")

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import dealt, extended, prepare, unit_hash
-from emberlake.llm.textkit import mix64, shingle_hashes, slices
+from emberlake.llm.common import prepare, unit_hash, with_texts
+from emberlake.llm.textkit import mix64, shingle_hashes
 
 SAMPLES = 64
 SHINGLE = 5
@@ -123,16 +123,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
     zeros. Equal texts have equal fingerprints. A column called ``name`` is
     replaced; all others stay.
     """
-    prepare(docs.sparkSession)
-    plain = dealt(docs.drop(name))
-    names = [*plain.columns, name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            made = to_hex(sample_texts(part.column(text_col).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=names)
-
-    return plain.mapInArrow(run, extended(plain, **{name: T.StringType()}))
+    return with_texts(docs, text_col, lambda texts: [pa.array(to_hex(sample_texts(texts)), pa.string())], **{name: T.StringType()})
 
 
 def _slice_heads(rows: DataFrame, slice_bytes: int) -> np.ndarray:

@@ -9,7 +9,6 @@ limit under which a prediction is rejected is set on rows held back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import dealt, extended, prepare, unit_hash
-from emberlake.llm.textkit import slices
+from emberlake.llm.common import unit_hash, with_texts
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -144,24 +142,18 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reje
     (it keeps its score). A model without languages calls everything ``und``.
     Columns of ``docs`` under the two names are replaced; all others stay.
     """
-    prepare(docs.sparkSession)
-    plain = dealt(docs.drop("lang_pred", "lang_score"))
-    names = [*plain.columns, "lang_pred", "lang_score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            texts = part.column(text_col).to_pylist()
-            letters = np.array([_has_letter(t) for t in texts], dtype=bool)
-            if model.languages:
-                p = model.probabilities(texts)
-                best, score = p.argmax(axis=1), np.where(letters, p.max(axis=1), 0.0)
-                known = letters & ((score >= model.limit) | (not reject))
-                pred = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-            else:
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=names)
-
-    return plain.mapInArrow(run, extended(plain, lang_pred=T.StringType(), lang_score=T.DoubleType()))
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        letters = np.array([_has_letter(t) for t in texts], dtype=bool)
+        if not model.languages:
+            return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+        p = model.probabilities(texts)
+        best, score = p.argmax(axis=1), np.where(letters, p.max(axis=1), 0.0)
+        known = letters & ((score >= model.limit) | (not reject))
+        pred = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)]
+        return [pa.array(pred, pa.string()), pa.array(score)]
+
+    return with_texts(docs, text_col, make, lang_pred=T.StringType(), lang_score=T.DoubleType())
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import fresh, hot_keys, stage, unstage
+from emberlake.llm.common import column, fresh, hot_keys, stage, unstage
 
 # The white space stripped from both ends of a line.
 LINE_SPACE = " \t\n\x0b\x0c\r"
@@ -88,15 +88,17 @@ def keep_bitmaps(
 
 def kept_text(text: Column, runs: Column) -> Column:
     """The lines outside ``runs``, joined by newlines, in time linear in lines and runs."""
-    lines = lines_of(text)
 
-    def keep(i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"])
-        end = F.when(i == F.size(runs), F.size(lines)).otherwise(F.get(runs, i)["start"])
-        return F.slice(lines, start + 1, end - start)
+    def kept(lines: Column) -> Column:
+        def keep(i: Column) -> Column:
+            start = F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"])
+            end = F.when(i == F.size(runs), F.size(lines)).otherwise(F.get(runs, i)["start"])
+            return F.slice(lines, start + 1, end - start)
 
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), keep))
-    return F.when(F.size(runs) > 0, F.array_join(parts, "\n")).otherwise(text)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), keep)), "\n")
+
+    bound = F.transform(F.array(lines_of(text)), kept)[0]  # the lines are split once, not at every run
+    return F.when(F.size(runs) > 0, bound).otherwise(text)
 
 
 def apply_bitmaps(
@@ -110,12 +112,12 @@ def apply_bitmaps(
     """
     plain = docs.drop(*counts)
     own_id, row, gone, runs = fresh([*plain.columns, *counts], "id", "row", "gone", "runs")
-    own = bitmaps.select(F.col("id").alias(own_id), F.col("row").alias(row), F.col("n_dropped").alias(gone), F.col("runs").alias(runs)).hint("shuffle_hash")
+    own = bitmaps.select(F.col("id").alias(own_id), F.col("row").alias(row), F.col("n_dropped").alias(gone), F.col("runs").alias(runs))
     joined = plain.join(own, (plain[id_col] == own[own_id]) & (F.xxhash64(plain[text_col]) == own[row]), "left")
     text = F.col(text_col)
     kept = F.when(F.col(runs).isNull(), text).otherwise(kept_text(text, F.col(runs)))
     return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in plain.columns],
+        *[kept.alias(c) if c == text_col else column(c) for c in plain.columns],
         F.size(lines_of(text)).cast("long").alias(counts[0]),
         F.coalesce(F.col(gone), F.lit(0)).cast("long").alias(counts[1]),
     )

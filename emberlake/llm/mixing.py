@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import fresh, hot_keys, ordered_index, stage, unstage
+from emberlake.llm.common import column, fresh, hot_keys, ordered_index, stage, unstage
 
 # The token pattern, the repeated source weights, the cap on repeats.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -246,11 +246,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
     """
     own_id, row, taken, held, turn, copy = fresh(docs.columns, "id", "row", "taken", "held", "turn", "copy")
     copies = mixed.groupBy(F.col("id").alias(own_id), F.col("row").alias(row)).agg(F.sum("copies").alias(taken), F.count("*").alias(held))
-    copies = copies.where(F.col(taken) > 0).hint("shuffle_hash")
+    copies = copies.where(F.col(taken) > 0)
     joined = docs.join(copies, docs[id_col].eqNullSafe(copies[own_id]) & (F.xxhash64(docs[text_col]) == copies[row]))
     single = joined.where(F.col(held) == 1).withColumn(turn, F.lit(1))
     shared = joined.where(F.col(held) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(own_id, row).orderBy(F.lit(0))))
     times = F.floor(F.col(taken) / F.col(held)) + (F.col(turn) <= F.col(taken) % F.col(held)).cast("int")
     each = single.unionByName(shared).withColumn(copy, times.cast("int")).where(F.col(copy) > 0)
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [column(c) for c in docs.columns]
     return each.select(*own, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(turn)).select(*own)

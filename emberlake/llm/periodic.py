@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import dealt, prepare
+from emberlake.llm.common import column, dealt, prepare
 from emberlake.llm.textkit import mix64, slices
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
@@ -256,6 +256,6 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if min_exponent < 2:
         raise ValueError("a run has two periods at least")
     prepare(docs.sparkSession)
-    rows = dealt(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = dealt(docs).select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_found(min_length, min_exponent), f"id {kind}, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")

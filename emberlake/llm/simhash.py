@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import dealt, join_spread, prepare, stage, unstage
+from emberlake.llm.common import column, dealt, join_spread, prepare, stage, unstage
 from emberlake.llm.near_dedup import components
 from emberlake.llm.textkit import slices
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text, or one of white space, has the fingerprint 0.
     """
     prepare(docs.sparkSession)
-    rows = dealt(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = dealt(docs).select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprinted(words, seed), "id long, bits long")
 
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     gives none. No link is lost whatever the number of copies. The result is
     staged; what led to it is deleted.
     """
-    made = stage(fingerprints(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, words, seed), "fingerprints")
+    made = stage(fingerprints(docs.where(column(id_col).isNotNull()), id_col, text_col, words, seed), "fingerprints")
     least = stage(made.groupBy("bits").agg(F.min("id").alias("least")), "distinct")
     # Nodes are fingerprints, numbered in no order; their components take the least id of their members.
     found = stage(links(least.select("bits"), radius), "links")

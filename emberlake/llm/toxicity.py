@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import combinations
 from zlib import crc32
 
@@ -24,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import bounded_sample, dealt, extended, prepare
-from emberlake.llm.textkit import slices
+from emberlake.llm.common import bounded_sample, with_texts
 
 DIM = 512
 DECAY = 0.6
@@ -348,32 +346,25 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text")
     or have no letters score as an empty text does, near 0; without a model all
     score 0. A column called ``toxicity`` is replaced; all others stay.
     """
-    prepare(docs.sparkSession)
-    plain = dealt(docs.drop("toxicity"))
-    names = [*plain.columns, "toxicity"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = defaultdict(lambda: -2.0)
-        for part in slices(batches, text_col):
-            texts = part.column(text_col).to_pylist()
-            if model is None:
-                made = np.zeros(len(texts))
-            else:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                owned = [tokens_of(t) if t else () for t in texts]
-                new = set().union(*owned) - known.keys()
-                by_word: dict[str, list[str]] = {}
-                for t in new:
-                    by_word.setdefault(normalise(t), []).append(t)
-                by_word.pop("", None)
-                known.update(dict.fromkeys(new, -2.0))
-                words = list(by_word)
-                for w, m in zip(words, model.margins(words)):
-                    for t in by_word[w]:
-                        known[t] = m
-                worst = np.array([max(map(known.__getitem__, own), default=-2.0) for own in owned])
-                made = model.probability(worst)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made)], names=names)
-
-    return plain.mapInArrow(run, extended(plain, toxicity=T.DoubleType()))
+    known: dict[str, float] = defaultdict(lambda: -2.0)
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        if model is None:
+            return [pa.array(np.zeros(len(texts)))]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        owned = [tokens_of(t) if t else () for t in texts]
+        new = set().union(*owned) - known.keys()
+        by_word: dict[str, list[str]] = {}
+        for t in new:
+            by_word.setdefault(normalise(t), []).append(t)
+        by_word.pop("", None)
+        known.update(dict.fromkeys(new, -2.0))
+        words = list(by_word)
+        for w, m in zip(words, model.margins(words)):
+            for t in by_word[w]:
+                known[t] = m
+        worst = np.array([max(map(known.__getitem__, own), default=-2.0) for own in owned])
+        return [pa.array(model.probability(worst))]
+
+    return with_texts(docs, text_col, make, toxicity=T.DoubleType())

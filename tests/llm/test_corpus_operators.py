@@ -15,8 +15,8 @@ from emberlake.llm.queries import op5_sharding, op8_ann, op10_mixing
 
 SF = "/root/testdata/sf0.001"
 # Names that operators use within.
-CLASHES = "gone runs n_lines n_dropped hash taken held turn copy copies kept_id n rank part before unit shard key text_id bands wanted draw share toxicity lang_pred token_ids decoded fingerprint __n".split()
-SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, size string, label double, " + ", ".join(f"{c} int" for c in CLASHES)
+CLASHES = "gone runs n_lines n_dropped hash taken held turn copy copies kept_id n rank part before unit shard key text_id bands wanted draw share toxicity lang_pred token_ids decoded fingerprint __n a.b c``d".split()
+SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, size string, label double, " + ", ".join(f"`{c}` int" for c in CLASHES)
 LONG = "word " * 60_000
 AWKWARD = [
     (1, "alpha beta gamma delta epsilon zeta\nshared line of text\n", "en", "s1", "x", 1, "a", 0.5),
