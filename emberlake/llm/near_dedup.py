@@ -13,10 +13,10 @@ text is paired with the bucket's least id and with its neighbour in the order
 of another hash, not with every other text; texts that fail against the least id
 are compared again among themselves, with the least id among them, for up to
 ``ROUNDS`` more rounds. Buckets that then still hold several components are
-settled exactly: few pairs are compared one by one, and the members of a crowd
-meet by a prefix join on their rarest shingles, which no pair of the threshold
-escapes. Every two texts that share a band are thus linked, connected over
-others, or proven to be under the threshold.
+settled exactly: few pairs are compared one by one, and what lies outside a
+crowd's largest component is compared with all of the crowd in blocks, as matrix
+products that pass on only what joins components. Every two texts that share a
+band are thus linked, connected over others, or proven to be under the threshold.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlake.llm.common import dealt, fresh, join_spread, stage, unstage
+from emberlake.llm.common import column, dealt, fresh, join_spread, stage, unstage
 from emberlake.llm.textkit import mix64, shingle_hashes, slices
 
 SHINGLE = 5
@@ -40,8 +40,8 @@ ROWS = COORDINATES // BANDS
 BUCKET_ROWS = 5_000
 ROUNDS = 2  # of comparisons with heads before what is left is settled exactly
 DIRECT = 4  # pairs a member up to which a bucket's rest is compared one by one
-SLOTS = 1 << 18  # counters of shingles that order the prefixes of a crowd: 2 MB in a worker
-PAIR_ROWS = 1_000_000
+CROWD_ROWS = 256  # texts of a block in which a crowd is compared
+ELEMENT_COLUMNS = 4_096  # shared shingles in a slice of a block's matrix
 LAYER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -200,61 +200,110 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _crossing(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) that share a key and lie in different components, from (key, id, comp, size, index).
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of (key, id, comp) that share a key and lie in different components; for keys of few such pairs.
 
-    Of each pair the smaller text must be indexed and the sizes must allow
-    ``threshold``. Members of a key's largest component meet only those outside
-    it, so a component costs nothing among itself; the pairs of a hot key are salted.
+    Members of a key's largest component meet only those outside it, so a
+    component costs nothing among itself.
     """
-    tallies = rows.groupBy("key", "comp").agg(F.count("*").alias("m"), F.count_if("index").alias("indexed"))
-    keys = tallies.groupBy("key").agg(
-        F.max(F.struct("m", "comp")).alias("largest"), F.sum("m").alias("n"), F.sum("indexed").alias("indexed")
-    ).where((F.col("n") > F.col("largest.m")) & (F.col("indexed") > 0))
-    keys = keys.select("key", F.col("largest.comp").alias("major"), F.ceil(F.col("n") * F.col("indexed") / PAIR_ROWS).cast("int").alias("salts"))
-    held = rows.join(keys, "key").withColumn("minor", F.col("comp") != F.col("major"))
-    left = held.where("index").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("wx"), F.col("minor").alias("mx")
-    )
-    right = held.select(
-        "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("wy"), F.col("minor").alias("my")
-    )
-    may = (F.col("cx") != F.col("cy")) & (F.col("wx") <= F.col("wy")) & (F.col("wx") >= F.col("wy") * threshold - 1e-6)
-    sides = [(left.where("mx"), right), (left.where("not mx"), right.where("my"))]
-    met = [a.join(b, ["key", "salt"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for a, b in sides]
-    return met[0].unionByName(met[1]).distinct()
-
+    keys = _tallied(rows).where("n > m").select("key", "major")
+    held = join_spread(rows, keys, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    left = held.where("minor").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
+    right = held.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "minor")
+    met = left.join(right, "key").where((F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _tallied(rows: DataFrame) -> DataFrame:
+    """(key, n, major, m, within): members of each key, its largest component, and the pairs inside components, doubled."""
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    made = counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"), F.sum(F.col("m") * F.col("m")).alias("within"))
+    return made.select("key", "n", F.col("top.comp").alias("major"), F.col("top.m").alias("m"), "within")
+
+
+def _elements(shingles: pa.ListArray, again: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multisets as sets: (element, owner, size by owner), the k-th copy of a shingle being an element of its own."""
+    owners, values, n = [], [], len(shingles)
+    for row in range(n):
+        h = shingles[row].values.to_numpy()
+        w = _weights(len(h), again[row].values.to_numpy())
+        copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        values.append(mix64(np.repeat(h.view(np.uint64), w) + copy.astype(np.uint64) * LAYER))
+        owners.append(np.full(len(copy), row))
+    values, owners = np.concatenate(values), np.concatenate(owners)
+    return values, owners, np.bincount(owners, minlength=n)
+
+
+def _overlaps(values: np.ndarray, owners: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each owner of ``left`` shares with each of ``right``: matrix products over slices of the elements."""
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    column, owners = (np.cumsum(counts > 1) - 1)[column[shared]], owners[shared]
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, ELEMENT_COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + ELEMENT_COLUMNS])
+        held = np.zeros((n, ELEMENT_COLUMNS), np.float32)
+        held[owners[low:high], column[low:high] - begin] = 1
+        out += held[left] @ held[right].T
+    return out
 
-def _postings(held: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, size, index): the shingles of each text by which all its partners of ``threshold`` can be found.
 
-    Shingles are ordered from rare to frequent by counters of their hash; any
-    one order of all texts is exact. Of two texts with enough in common one
-    shingle lies in the prefix of both, and in the shorter, indexed prefix of
-    the smaller text.
+def _settled(threshold: float):
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comps = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        left, right = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("left", "right"))
+        listed = [rows.column(c).combine_chunks() for c in ("shingles", "again")]
+        values, owners, sizes = _elements(*[c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in listed])
+        shared = _overlaps(values, owners, left, right, len(ids))
+        score = shared / (sizes[left][:, None] + sizes[right][None, :] - shared)
+        at, to = np.nonzero((score >= threshold) & (comps[left][:, None] != comps[right][None, :]))
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        made = []
+        for a, b in zip(left[at].tolist(), right[to].tolist()):
+            x, y = root(int(comps[a])), root(int(comps[b]))
+            if x != y:  # the links of a block that join its components, no others
+                top[max(x, y)] = min(x, y)
+                made.append(sorted((int(ids[a]), int(ids[b]))))
+        made = np.array(made, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _crowd_links(rows: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """Links (a < b) that join the components of (key, id, comp) in each key, by comparing its blocks.
+
+    A key's members outside its largest component are dealt into blocks of
+    ``CROWD_ROWS``, those inside it into others. Each block of the former is
+    compared with every block, each two as one matrix product: no pair becomes a
+    row, and only the links that join components leave a block.
     """
-    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
-    counted = held.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).count().toArrow()
-    slots = np.zeros(SLOTS, np.int64)
-    slots[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                s, again = (batch.column(c)[row].values.to_numpy() for c in ("shingles", "again"))
-                w = _weights(len(s), again)
-                seen = slots[s & (SLOTS - 1)]
-                order = np.lexsort((s, seen))
-                begin, total = np.cumsum(w[order]) - w[order], int(w.sum())
-                use = (begin < np.floor(total * (1 - threshold) + 1e-6) + 1) & (seen[order] > 1)
-                index = begin < np.floor(total * (1 - threshold) / (1 + threshold) + 1e-6) + 1
-                n = int(use.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[order[use]].astype(np.int64)), pa.array(np.full(n, batch.column("id")[row].as_py())), pa.array(np.full(n, total)), pa.array(index[use])],
-                    names=["key", "id", "size", "index"],
-                )
-
-    return held.select("id", "shingles", "again").where(F.size("shingles") > 0).mapInArrow(prefixes, "key long, id long, size long, index boolean")
+    parts = lambda n: F.ceil(n / CROWD_ROWS).cast("int")
+    keys = stage(_tallied(rows).select("key", "major", parts(F.col("n") - F.col("m")).alias("outer"), parts(F.col("m")).alias("inner")), "crowds")
+    held = join_spread(rows, keys, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    held = held.withColumn("place", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    block = lambda inside, i, j, left, right: F.struct(F.lit(inside).alias("inside"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    place, yes, no = F.col("place"), F.lit(True), F.lit(False)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outer = F.concat(
+        F.transform(upto("outer"), lambda k: block(False, F.least(place, k), F.greatest(place, k), place <= k, place >= k)),
+        F.transform(upto("inner"), lambda k: block(True, place, k, yes, no)),
+    )
+    inner = F.transform(upto("outer"), lambda k: block(True, k, place, no, yes))
+    dealt_out = held.select("key", "id", "comp", F.explode(F.when(F.col("minor"), outer).otherwise(inner)).alias("b")).select("key", "id", "comp", "b.*")
+    whole = dealt_out.join(features.select("id", "shingles", "again"), "id")
+    found = whole.groupBy("key", "inside", "i", "j").applyInArrow(_settled(threshold), "a long, b long")
+    out = stage(found.distinct(), "crowd")
+    unstage(keys)
+    return out
 
 
 def _links(banded: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -298,17 +347,16 @@ def _links(banded: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold
     # What the rounds left: pairs of a bucket whose members are not connected.
     crowded = members.where("n > 2").select(F.col("band").alias("key"), "id").join(roots, "id", "left")
     crowded = keep(crowded.select("key", "id", F.coalesce("root", "id").alias("comp")), "crowded")
-    tallies = crowded.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within"))
+    tallies = _tallied(crowded)
     open_pairs = (F.col("n") * F.col("n") - F.col("within")) / 2
     tallies = keep(tallies.where(open_pairs > 0).select("key", (open_pairs > DIRECT * F.col("n")).alias("dense")), "open")
-    few = crowded.join(tallies.where("not dense"), "key", "left_semi").withColumn("size", F.lit(1)).withColumn("index", F.lit(True))
-    left = _crossing(few, 1.0)
-    dense = keep(crowded.join(tallies.where("dense"), "key", "left_semi").select("id", "comp").distinct(), "dense")
+    few = keep(crowded.join(tallies.where("not dense"), "key", "left_semi"), "few")
+    left = keep(_crossing(few).join(found, ["a", "b"], "left_anti"), "left")
+    more = _scored(left, held).where(F.col("score") >= threshold).select("a", "b")
+    dense = keep(crowded.join(tallies.where("dense"), "key", "left_semi"), "dense")
     if dense.limit(1).count():
-        postings = keep(_postings(held.join(dense, "id", "left_semi"), threshold).join(dense, "id"), "postings")
-        left = left.unionByName(_crossing(postings, threshold)).distinct()
-    left = keep(left.join(found, ["a", "b"], "left_anti"), "left")
-    more = keep(_scored(left, held).where(F.col("score") >= threshold).select("a", "b"), "more")
+        more = more.unionByName(keep(_crowd_links(dense, held, threshold), "crowds"))
+    more = keep(more, "more")
     if more.limit(1).count():
         scratch += [links, roots]
         links = stage(links.unionByName(more).distinct(), "links")
@@ -356,8 +404,8 @@ def near_duplicates(
     """One row per id: its class of near-duplicates and its links.
 
     Returns ``id`` (cast to long), ``class_id`` (the least id of its class),
-    ``text_id`` (the least id with an equal text) and ``n_links`` (verified
-    links of its text to other texts). Two texts are linked if their five-word
+    ``text_id`` (the least id with an equal text) and ``n_links`` (the links of
+    its text to other texts that joining its class took). Two texts are linked if their five-word
     shingles, compared as lower-cased multisets by 64-bit hashes, have a
     generalised Jaccard similarity of at least ``threshold``; classes are the
     connected components of links and equal texts. A null text or one without
@@ -385,7 +433,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     """
     classes = near_duplicates(docs, threshold, id_col, text_col)
     own_id, own, rest = fresh(docs.columns, "kept_id", "row", "n")
-    gone = classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(own_id)).hint("shuffle_hash")
+    gone = classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(own_id))
     left = docs.join(gone, docs[id_col].cast("long") == gone[own_id], "left_anti")
     often = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(own_id)).agg(F.count("*").alias(rest)).where(F.col(rest) > 1)
     often = stage(often.select(own_id), "repeated")
@@ -394,5 +442,5 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col:
         return left
     once = left.join(often, left[id_col].cast("long") == often[own_id], "left_anti")
     several = left.join(often, left[id_col].cast("long") == often[own_id])
-    best = several.groupBy(own_id).agg(F.min_by(F.struct(*[several[c] for c in docs.columns]), F.coalesce(F.md5(several[text_col].cast("binary")), F.lit("~"))).alias(own))
+    best = several.groupBy(own_id).agg(F.min_by(F.struct(*[column(c) for c in docs.columns]), F.coalesce(F.md5(several[text_col].cast("binary")), F.lit("~"))).alias(own))
     return once.unionByName(best.select(f"{own}.*"))
