@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe, langid, line_dedup, mixing, near_dedup
-from emberlake.llm.common import fresh, stage, table, unstage
+from emberlake.llm.common import column, fresh, stage, table, unstage
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,10 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = langid.train(docs)
     own, score = fresh(docs.columns, "doc_lang", "doc_lang_score")
-    seen = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")], *[F.col(c).alias(n) for c, n in (("lang_pred", own), ("lang_score", score)) if c in docs.columns])
+    seen = docs.select(*[column(c) for c in docs.columns if c not in ("lang_pred", "lang_score")], *[F.col(c).alias(n) for c, n in (("lang_pred", own), ("lang_score", score)) if c in docs.columns])
     kept = langid.identify(seen, model).where(F.col("lang_pred") != langid.UNKNOWN)
     back = {"lang_pred": own, "lang_score": score}
-    return kept.select(*[F.col(f"`{back.get(c, c)}`").alias(c) for c in docs.columns])
+    return kept.select(*[column(back.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), counts=(held, gone)).where(F.col(gone) < F.col(held))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
