@@ -1,17 +1,18 @@
-"""The cache as a table: set, search, purge and migrate over a folder of versions."""
+"""The cache as a table: set, search, purge and migrate over a folder of changes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlake.functions import text, vectors
-from emberlake.operators import cascade, lexical, nearest, seams
-from emberlake.sources import sinks
-from emberlake.sources.tables import CACHE_ENTRY, SCHEMA_VERSION, migrate, staged
+from emberlake.operators import cascade, lexical, lifecycle, nearest, seams
+from emberlake.sources import sinks, text_index
+from emberlake.sources.entry_table import COMPACT_AFTER, DELETE, PUT, TOUCH, EntryTable
+from emberlake.sources.tables import CACHE_ENTRY, SCHEMA_VERSION, exists, migrate, numbered, staged, unstage
 
 
 def _entities(rows: DataFrame) -> Column:
@@ -25,42 +26,76 @@ def _domain(rows: DataFrame) -> Column:
 
 
 class RecallEngine:
-    """A cache of answers in a folder; every write makes a new version, the newest is read.
+    """A cache of answers in a folder: a table of changes with compacted bases, and a text index beside it.
 
-    Versions are whole tables, so a failed write leaves the last one in place.
+    A write appends its entries and the index of their texts, a search appends
+    what it touched; a failed one leaves no whole batch, so nothing changes.
+    ``permanent_hits`` (0: never) is the number of hits from which an entry no
+    longer expires. ``last`` has the counters of the last call: lookups by
+    result, writes and extractions.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, mode: str | Sequence[str] = "semantic", exact_tier: bool = True, floor: float = 0.85, min_score: float = 0.0, ttl: int = 86_400, extractor: seams.Model | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, folder: str, mode: str | Sequence[str] = "semantic", exact_tier: bool = True, floor: float = 0.85, min_score: float = 0.0,
+        ttl: int = 86_400, extractor: seams.Model | None = None, permanent_hits: int = 0, compact_after: int = COMPACT_AFTER, memo_ttl: int = 3_600,
+    ) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.tiers = cascade.resolve_modes(mode, exact_tier)
         self.floor, self.min_score, self.ttl = floor, min_score, ttl
         self.extractor = extractor if "entity-aware" in self.tiers else None
+        self.table = EntryTable(spark, self.folder, ttl, permanent_hits, compact_after)
+        self.memo = seams.Memo(spark, f"{self.folder}/memo", T.ArrayType(T.StringType()), memo_ttl)
+        self.last: dict[str, int] = {}
 
-    def _extracted(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``entities`` from the extractor where there is one; null where it failed."""
+    def _extracted(self, rows: DataFrame, now: int) -> DataFrame:
+        """Rows with ``entities`` from the extractor where there is one; null where it failed. What it found is kept."""
         if self.extractor is None:
             return rows
-        return seams.apply_model(rows.drop("entities"), "text", "entities", T.ArrayType(T.StringType()), self.extractor)
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in done)
+        out, counts = self.memo.apply(rows.drop("entities"), "text", "entities", self.extractor, now)
+        for name, n in counts.items():
+            self.last[name] = self.last.get(name, 0) + n
+        return out
 
     def entries(self) -> DataFrame:
-        """The newest version, empty at first."""
-        held = self._versions()
-        if not held:
-            return self.spark.createDataFrame([], CACHE_ENTRY)
-        return self.spark.read.schema(CACHE_ENTRY).parquet(f"{self.folder}/v{held[-1]}")
+        """The current entries, expired ones too; empty at first."""
+        return self.table.entries().select(*CACHE_ENTRY.fieldNames())
+
+    def _put(self, rows: DataFrame, now: int) -> int:
+        """Append writes of entries, one a key, and the index of their texts; how many."""
+        number = (self.table.batches() or [0])[-1] + 1
+        # Unique while a batch has under 2^15 partitions of under 2^28 rows: the batch, the partition, the row.
+        place = F.monotonically_increasing_id()
+        unique = F.shiftleft(F.lit(number).cast("long"), 43) + F.shiftleft(F.shiftright(place, 33), 28) + place.bitwiseAND(F.lit((1 << 28) - 1))
+        rows = staged(rows.withColumn("entry_id", unique))
+        n = rows.count()
+        if n:
+            if {"bm25", "fuzzy"} & set(self.tiers):
+                text_index.build(rows, f"{self.folder}/text/c{number}", "entry_id", "text", ["scope"])
+            self.table.append(rows.withColumns({"kind": F.lit(PUT), "at": F.lit(now), "count": F.lit(1)}), number)
+        unstage(rows)
+        return n
 
-    def _write(self, rows: DataFrame) -> None:
-        number = (self._versions() or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+    def _index(self) -> text_index.TextIndex:
+        """The text index of all entries: the last compacted part, and those of the writes after it."""
+        whole = (numbered(self.spark, f"{self.folder}/text", "b") or [0])[-1]
+        made = set(self.table.batches())
+        parts = [f"{self.folder}/text/b{whole}"] if whole else []
+        later = [f"{self.folder}/text/c{n}" for n in sorted(made) if n > whole]
+        return text_index.TextIndex(self.spark, parts + [f for f in later if exists(self.spark, f"{f}/made/_SUCCESS")])
+
+    def compact(self) -> None:
+        """Merge the changes into the next base, and the parts of the text index into one."""
+        numbers = self.table.batches()
+        self.table.compact()
+        if numbers and {"bm25", "fuzzy"} & set(self.tiers):
+            folder = f"{self.folder}/text/b{numbers[-1]}"
+            text_index.build(self.table.entries(), folder, "entry_id", "text", ["scope"])
+            self.spark.range(0).write.mode("append").parquet(folder)  # marks the part as whole
+
+    def _maintain(self) -> None:
+        base = (numbered(self.spark, f"{self.folder}/base", "b") or [0])[-1]
+        if sum(n > base for n in self.table.batches()) >= self.table.compact_after:
+            self.compact()
 
     def set(self, rows: DataFrame, now: int) -> None:
         """Store (text, response, scope, embedding): hits 1, a fresh expiry; the last row of a key wins.
@@ -72,8 +107,9 @@ class RecallEngine:
         """
         if not self.tiers:
             return
+        self.last = {}
         if self.extractor is not None:  # a row whose entities could not be found is not stored
-            rows = self._extracted(rows).where(F.col("entities").isNotNull())
+            rows = self._extracted(rows, now).where(F.col("entities").isNotNull())
         clean = text.clean(F.col("text"))
         given = _entities(rows)
         vector = vectors.normalised(F.col("embedding")).cast("array<float>") if {"semantic", "entity-aware"} & set(self.tiers) else F.lit(None).cast("array<float>")
@@ -83,31 +119,33 @@ class RecallEngine:
             vector.alias("embedding"), F.lit(1).alias("hits"), F.lit(now).cast("long").alias("ts"), F.lit(now + self.ttl).cast("long").alias("expires_at"),
             F.lit(SCHEMA_VERSION).alias("schema_version"),
         )
-        self._write(sinks.upsert(self.entries(), fresh, ["entry_key"], [F.desc("ts"), F.desc("response")]))
+        self.last["writes"] = self._put(sinks.latest(fresh, ["entry_key"], [F.desc("ts"), F.desc("response")]), now)
+        self._maintain()
 
     def search(self, queries: DataFrame, now: int) -> DataFrame:
         """Answers for (query_id, text, scope, embedding): hit, method, similarity and response.
 
         The entity-aware tier also reads ``entities`` and ``domain`` of queries
         that have them: of the ten nearest entries of the scope and domain the
-        first that shares an entity and reaches the floor answers.
+        first that shares an entity and reaches the floor answers. A hit counts,
+        renews the entry's expiry and may make it permanent.
         """
-        held = self.entries().where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-        # Keys are numbered for the search: a hash of them could let one entry answer for another.
-        numbers = staged(held.select("entry_key").withColumn("entry_id", F.monotonically_increasing_id()))
-        held = held.join(numbers, "entry_key")
+        self.last = {}
+        held = lifecycle.live(self.table.entries(), F.lit(now))
         clean = queries.withColumn("text", text.clean(F.col("text"))).withColumn("entry_key", text.entry_key(F.col("scope"), F.col("text")))
         clean = clean.withColumn("scope", text.scope_tag(F.col("scope")))
 
         def lexical_tier(fuzzy: bool):
             def run(left: DataFrame) -> DataFrame:
-                index = lexical.lexical_index(held, "entry_id", "text", "scope")
+                index = self._index()
                 asked = lexical.query_words(left, "query_id", "text", "scope")
+                if not index.folders:
+                    return left.where("false").select("query_id", F.lit(0).cast("long").alias("entry_id"), F.lit(None).cast("double").alias("similarity"))
                 if fuzzy:
-                    pairs = lexical.fuzzy_matches(index, asked).join(index.select("entry_id", "scope"), "entry_id").join(asked.select("query_id", "scope"), ["query_id", "scope"])
+                    found = lexical.best_match(lexical.indexed_fuzzy(index, asked, scoped=("scope",), live=held), self.min_score)
                 else:
-                    pairs = lexical.lexical_matches(index, asked, "BM25", ("scope",))
-                return lexical.best_match(pairs, self.min_score).select("query_id", "entry_id", F.lit(None).cast("double").alias("similarity"))
+                    found = lexical.indexed_best(index, asked, "BM25", self.min_score, scoped=("scope",), live=held)
+                return found.select("query_id", "entry_id", F.lit(None).cast("double").alias("similarity"))
 
             return run
 
@@ -119,7 +157,7 @@ class RecallEngine:
 
         def entity_aware(left: DataFrame) -> DataFrame:
             if self.extractor is not None:  # a failure is a miss of this tier alone
-                left = self._extracted(left).where(F.col("entities").isNotNull())
+                left = self._extracted(left, now).where(F.col("entities").isNotNull())
             domain, own = _domain(left), _entities(left)
             mine = left.select(F.col("query_id").alias("qid"), vectors.normalised(F.col("embedding")).alias("v"), "scope", domain.alias("domain"), own.alias("asked")).where("v is not null")
             rows = held.select(F.col("entry_id").alias("rid"), F.col("embedding").alias("v"), "scope", "domain").where("v is not null")
@@ -133,23 +171,33 @@ class RecallEngine:
         if not tiers:
             return queries.select("query_id", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("response"))
         hits = cascade.cascade(clean, tiers)
-        answers = held.select("entry_id", "response")
-        return hits.join(answers, "entry_id", "left").select("query_id", "hit", "method", "similarity", "response")
-
-    def purge(self, scope: str | None = None) -> int:
-        """Delete everything, or one scope; the number of entries that went."""
-        rows = self.entries()
-        tag = rows.select(text.scope_tag(F.lit(scope)).alias("t")).first() if scope is not None else None
-        gone = rows if scope is None else rows.where(F.col("scope") == text.scope_tag(F.lit(scope)))
+        answers = held.select("entry_id", "entry_key", F.col("scope").alias("entry_scope"), "response")
+        seen = Observation()
+        out = hits.join(answers, "entry_id", "left").observe(seen, F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), *[F.count_if(F.col("method") == t).alias(f"hits_{t}") for t in self.tiers])
+        out = staged(out)
+        unstage(*hits._parts)
+        self.last |= seen.get
+        if self.last["hits"]:
+            touched = out.where("hit").groupBy("entry_id", "entry_key", F.col("entry_scope").alias("scope")).count()
+            self.table.append(touched.withColumns({"kind": F.lit(TOUCH), "at": F.lit(now)}))
+            self._maintain()
+        return out.select("query_id", "hit", "method", "similarity", "response")
+
+    def purge(self, scope: str | None = None, now: int = 0) -> int:
+        """Delete everything, or one scope, of which alone the stored folder is read; the number of entries that went."""
+        if scope is None:
+            rows = self.table.entries()
+        else:
+            tag = self.spark.range(1).select(text.scope_tag(F.lit(scope))).first()[0]
+            rows = self.table.of_scope(tag)
+        gone = staged(rows.select("entry_key", "entry_id", "scope"))
         n = gone.count()
         if n:
-            self._write(rows.where("false") if tag is None else rows.where(F.col("scope") != tag["t"]))
+            self.table.append(gone.withColumns({"kind": F.lit(DELETE), "at": F.lit(now)}))
+        unstage(gone)
         return n
 
-    def migrate(self) -> int:
+    def migrate(self, now: int = 0) -> int:
         """Fill the later columns of old entries; how many had to be."""
-        rows = migrate(self.entries())
-        n = rows.where("migrated").count()
-        if n:
-            self._write(rows.drop("migrated").select(*CACHE_ENTRY.fieldNames()))
-        return n
+        rows = migrate(self.table.entries())
+        return self._put(rows.where("migrated").select(*CACHE_ENTRY.fieldNames()), now)

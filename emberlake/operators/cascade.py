@@ -57,7 +57,9 @@ def cascade(queries: DataFrame, tiers: Sequence[tuple[str, Callable[[DataFrame],
     for more in parts[1:]:
         hits = hits.unionByName(more)
     out = queries.select("query_id").join(hits, "query_id", "left")
-    return out.select("query_id", F.col("method").isNotNull().alias("hit"), "method", "entry_id", "similarity")
+    out = out.select("query_id", F.col("method").isNotNull().alias("hit"), "method", "entry_id", "similarity")
+    out._parts = parts  # staged; whoever has read the result may delete them
+    return out
 
 
 def miss_reason(hit: Column, best_score: Column, floor: float) -> Column:

@@ -10,10 +10,12 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlake.sources.tables import numbered, staged
+
 BATCH = 64
 
 Model = Callable[[Sequence[str]], Sequence[object]]
@@ -62,6 +64,41 @@ def apply_model(rows: DataFrame, text: str, out: str, kind: T.DataType, model: M
     return rows.join(results, rows[text] == results["__text"], "left").drop("__text")
 
 
+class Memo:
+    """What a model answered, kept in a folder: a text that was answered within ``ttl`` seconds is not sent again.
+
+    Answers are appended, one short batch a call that had new ones; failures
+    (null) are not kept, empty lists are. Of several answers to a text the newest counts.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, kind: T.DataType, ttl: int = 3_600) -> None:
+        self.spark, self.folder, self.ttl = spark, folder.rstrip("/"), ttl
+        self.schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("answer", kind), T.StructField("at", T.LongType())])
+
+    def answers(self, now: int) -> DataFrame:
+        """(text, answer) of what is fresh at ``now``; an answer is stale from ``ttl`` seconds on."""
+        numbers = numbered(self.spark, self.folder, "m")
+        if not numbers:
+            return self.spark.createDataFrame([], self.schema).drop("at")
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/m{n}" for n in numbers])
+        fresh = rows.where((F.col("at") > now - self.ttl) & (F.col("at") <= now))
+        return fresh.groupBy("text").agg(F.max_by("answer", "at").alias("answer"))
+
+    def apply(self, rows: DataFrame, text: str, out: str, model: Model, now: int) -> tuple[DataFrame, dict[str, int]]:
+        """``rows`` with ``out`` from the memo or, for the rest, from the model; and counts of the distinct texts by outcome."""
+        wanted = rows.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct()
+        known = staged(wanted.join(self.answers(now), "text", "left"))
+        fresh = known.where("answer is null").select("text")
+        asked = staged(apply_model(fresh, "text", "answer", self.schema["answer"].dataType, model))
+        kept = asked.where("answer is not null").withColumn("at", F.lit(now).cast("long"))
+        n_known, n_asked, n_kept = known.where("answer is not null").count(), asked.count(), kept.count()
+        if n_kept:
+            kept.write.mode("overwrite").parquet(f"{self.folder}/m{(numbered(self.spark, self.folder, 'm') or [0])[-1] + 1}")
+        answers = known.where("answer is not null").unionByName(asked).withColumnsRenamed({"text": "__memo_text", "answer": out})
+        joined = rows.join(answers, rows[text] == answers["__memo_text"], "left").drop("__memo_text")
+        return joined, {"memo_hits": n_known, "extracted": n_kept, "extractor_errors": n_asked - n_kept}
+
+
 def checked_vectors(rows: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
     """Adds ``problem`` to embedded rows: null, wrong length, or not finite; null where the vector is fine."""
     from emberlake.functions.vectors import valid

@@ -31,25 +31,34 @@ def label_of(c: str):
     return F.when(F.col(c) < 3, "disallowed").otherwise("allowed")
 
 
-def neighbours(spark: SparkSession, d: str, k: int = TOP_K) -> DataFrame:
-    """Each vector's nearest others, with the label and category of both."""
-    found = nearest.nearest(unit_vectors(spark, d, "qid"), unit_vectors(spark, d, "rid"), k, skip_self=True)
+def neighbours(spark: SparkSession, d: str, k: int = TOP_K, every: bool = False) -> DataFrame:
+    """Each query's nearest exemplars, with the label and category of both.
+
+    Every fifth vector is a query and the others are exemplars; with ``every``
+    all are exemplars, and each is held against the others.
+    """
+    exemplars = unit_vectors(spark, d, "rid")
+    if not every:
+        exemplars = exemplars.where("rid % 5 <> 0")
+    found = nearest.nearest(unit_vectors(spark, d, "qid", every=every), exemplars, k, skip_self=True)
     labels = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), label_of("label").alias("label"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
     own = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), label_of("label").alias("own_label"))
     return found.join(labels, "rid").join(own, "qid")
 
 
-VOTED = f"""{PAIRS}, nb AS (SELECT qid, rid, rank, similarity, CASE WHEN rlabel < 3 THEN 'disallowed' ELSE 'allowed' END AS label, 'c' || rlabel AS category, CASE WHEN qlabel < 3 THEN 'disallowed' ELSE 'allowed' END AS own_label FROM near WHERE rank <= {TOP_K}),
+VOTES = f"""nb AS (SELECT qid, rid, rank, similarity, CASE WHEN rlabel < 3 THEN 'disallowed' ELSE 'allowed' END AS label, 'c' || rlabel AS category, CASE WHEN qlabel < 3 THEN 'disallowed' ELSE 'allowed' END AS own_label FROM near WHERE rank <= {TOP_K}),
 voted AS (SELECT qid, own_label,
   CASE WHEN coalesce(sum(greatest(similarity, 0)) FILTER (WHERE similarity >= {FLOOR}), 0) > 0 THEN coalesce(sum(greatest(similarity, 0)) FILTER (WHERE similarity >= {FLOOR} AND label = 'disallowed'), 0) / sum(greatest(similarity, 0)) FILTER (WHERE similarity >= {FLOOR}) ELSE 0.0 END AS score,
   arg_min(category, rank) FILTER (WHERE similarity >= {FLOOR} AND label = 'disallowed') AS best_category,
   count(*) FILTER (WHERE similarity >= {FLOOR}) AS n_scored,
   CASE WHEN count(*) FILTER (WHERE similarity >= {FLOOR}) > 0 THEN list_slice(list(rank ORDER BY rank) FILTER (WHERE similarity >= {FLOOR}), 1, 3) ELSE list_slice(list(rank ORDER BY rank), 1, 3) END AS top
   FROM nb GROUP BY qid, own_label)"""
+VOTED = PAIRS.replace("a.vec_id % 5 = 0", "a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0") + ", " + VOTES
+VOTED_EVERY = PAIRS.replace(" WHERE a.vec_id % 5 = 0", "") + ", " + VOTES
 
 
-def voted(spark: SparkSession, d: str, floor: float = FLOOR) -> DataFrame:
-    return guard.vote(neighbours(spark, d), floor, ("qid", "own_label"))
+def voted(spark: SparkSession, d: str, floor: float = FLOOR, every: bool = False) -> DataFrame:
+    return guard.vote(neighbours(spark, d, every=every), floor, ("qid", "own_label"))
 
 
 @query(f"WITH {VOTED} SELECT qid, round(score, 6) AS score, best_category, n_scored FROM voted")
@@ -113,56 +122,56 @@ def guard_worst_window(spark: SparkSession, d: str) -> DataFrame:
 
 def _loo(spark: SparkSession, d: str) -> DataFrame:
     """Every exemplar against all others: its vote and its nearest similarity."""
-    near = neighbours(spark, d)
+    near = neighbours(spark, d, every=True)
     best = near.groupBy("qid").agg(F.max("similarity").alias("nearest"))
     return guard.vote(near, FLOOR, ("qid", "own_label")).join(best, "qid").withColumnRenamed("own_label", "label")
 
 
-@query(f"WITH {VOTED}, b AS (SELECT qid, max(similarity) AS nearest FROM nb GROUP BY qid) SELECT qid, own_label AS label, round(score, 6) AS score, round(nearest, 6) AS nearest FROM voted JOIN b USING (qid)")
+@query(f"WITH {VOTED_EVERY}, b AS (SELECT qid, max(similarity) AS nearest FROM nb GROUP BY qid) SELECT qid, own_label AS label, round(score, 6) AS score, round(nearest, 6) AS nearest FROM voted JOIN b USING (qid)")
 def guard_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return _loo(spark, d).select("qid", "label", F.round("score", 6).alias("score"), F.round("nearest", 6).alias("nearest"))
 
 
-@query(f"WITH {VOTED} SELECT coalesce(round(avg((score > {ALLOW} AND score < {BLOCK})::INT), 6), 0) AS judge_rate, count(*) AS n FROM voted")
+@query(f"WITH {VOTED_EVERY} SELECT coalesce(round(avg((score > {ALLOW} AND score < {BLOCK})::INT), 6), 0) AS judge_rate, count(*) AS n FROM voted")
 def guard_judge_rate(spark: SparkSession, d: str) -> DataFrame:
-    return guard.judge_rate(voted(spark, d), ALLOW, BLOCK).withColumn("judge_rate", F.round("judge_rate", 6))
+    return guard.judge_rate(voted(spark, d, every=True), ALLOW, BLOCK).withColumn("judge_rate", F.round("judge_rate", 6))
 
 
 PROBLEM = f"CASE WHEN own_label = 'disallowed' AND score = 0 THEN 'floor_too_high' WHEN own_label = 'allowed' AND score >= {BLOCK} THEN 'allowed_at_block' WHEN own_label = 'disallowed' AND score <= {ALLOW} THEN 'disallowed_at_allow' END"
 
 
-@query(f"WITH {VOTED} SELECT {PROBLEM} AS problem, count(*) AS n, count(*) FILTER (WHERE score > {ALLOW} AND score < {BLOCK}) AS in_band FROM voted GROUP BY 1")
+@query(f"WITH {VOTED_EVERY} SELECT {PROBLEM} AS problem, count(*) AS n, count(*) FILTER (WHERE score > {ALLOW} AND score < {BLOCK}) AS in_band FROM voted GROUP BY 1")
 def guard_separability(spark: SparkSession, d: str) -> DataFrame:
     rows = guard.separability(_loo(spark, d), ALLOW, BLOCK)
     return rows.groupBy("problem").agg(F.count("*").alias("n"), F.count(F.when(F.col("in_band"), 1)).alias("in_band"))
 
 
-@query(f"WITH {VOTED}, w AS (SELECT qid, {PROBLEM} AS problem FROM voted) SELECT row_number() OVER (ORDER BY qid) AS place, qid, problem, count(*) OVER () AS n_problems FROM w WHERE problem IS NOT NULL ORDER BY qid LIMIT 5")
+@query(f"WITH {VOTED_EVERY}, w AS (SELECT qid, {PROBLEM} AS problem FROM voted) SELECT row_number() OVER (ORDER BY qid) AS place, qid, problem, count(*) OVER () AS n_problems FROM w WHERE problem IS NOT NULL ORDER BY qid LIMIT 5")
 def guard_separability_report(spark: SparkSession, d: str) -> DataFrame:
     report = guard.separability_report(_loo(spark, d), ALLOW, BLOCK)
     return report.select(F.col("place").cast("long").alias("place"), "qid", "problem", "n_problems")
 
 
-@query(f"WITH {VOTED} SELECT round(min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), 6) AS min_disallowed, round(max(score) FILTER (WHERE own_label = 'allowed'), 6) AS max_allowed, coalesce(max(score) FILTER (WHERE own_label = 'allowed') >= min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), false) AS overlap FROM voted")
+@query(f"WITH {VOTED_EVERY} SELECT round(min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), 6) AS min_disallowed, round(max(score) FILTER (WHERE own_label = 'allowed'), 6) AS max_allowed, coalesce(max(score) FILTER (WHERE own_label = 'allowed') >= min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), false) AS overlap FROM voted")
 def threshold_suggestion(spark: SparkSession, d: str) -> DataFrame:
     found = guard.threshold_suggestion(_loo(spark, d))
     return found.select(F.round("min_disallowed", 6).alias("min_disallowed"), F.round("max_allowed", 6).alias("max_allowed"), "overlap")
 
 
-@query(f"WITH {VOTED}, e AS (SELECT own_label AS l, CASE WHEN score >= {BLOCK} THEN 'block' WHEN score <= {ALLOW} THEN 'allow' ELSE 'flag' END AS a FROM voted) SELECT round(count(*) FILTER (WHERE l = 'disallowed' AND a = 'block') / greatest(count(*) FILTER (WHERE l = 'disallowed'), 1), 6) AS catch_rate, round(count(*) FILTER (WHERE l = 'disallowed' AND a <> 'allow') / greatest(count(*) FILTER (WHERE l = 'disallowed'), 1), 6) AS catch_or_flag, round(count(*) FILTER (WHERE l = 'allowed' AND a = 'block') / greatest(count(*) FILTER (WHERE l = 'allowed'), 1), 6) AS false_alarm, round(count(*) FILTER (WHERE l = 'allowed' AND a = 'flag') / greatest(count(*) FILTER (WHERE l = 'allowed'), 1), 6) AS benign_flag, count(*) AS n FROM e")
+@query(f"WITH {VOTED_EVERY}, e AS (SELECT own_label AS l, CASE WHEN score >= {BLOCK} THEN 'block' WHEN score <= {ALLOW} THEN 'allow' ELSE 'flag' END AS a FROM voted) SELECT round(count(*) FILTER (WHERE l = 'disallowed' AND a = 'block') / greatest(count(*) FILTER (WHERE l = 'disallowed'), 1), 6) AS catch_rate, round(count(*) FILTER (WHERE l = 'disallowed' AND a <> 'allow') / greatest(count(*) FILTER (WHERE l = 'disallowed'), 1), 6) AS catch_or_flag, round(count(*) FILTER (WHERE l = 'allowed' AND a = 'block') / greatest(count(*) FILTER (WHERE l = 'allowed'), 1), 6) AS false_alarm, round(count(*) FILTER (WHERE l = 'allowed' AND a = 'flag') / greatest(count(*) FILTER (WHERE l = 'allowed'), 1), 6) AS benign_flag, count(*) AS n FROM e")
 def guard_eval(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None)
-    rows = voted(spark, d).withColumn("judge_score", none.cast("double")).withColumn("category_action", none.cast("string"))
+    rows = voted(spark, d, every=True).withColumn("judge_score", none.cast("double")).withColumn("category_action", none.cast("string"))
     done = guard.evaluation(guard.decide(rows, "embedding-only", ALLOW, BLOCK).withColumnRenamed("own_label", "label"))
     return done.select(*[F.round(c, 6).alias(c) for c in ("catch_rate", "catch_or_flag", "false_alarm", "benign_flag")], "n")
 
 
-@query(f"""WITH {VOTED}, f AS (SELECT (20 + 5 * i) / 100.0::DOUBLE AS floor FROM range(9) t(i)),
+@query(f"""WITH {VOTED_EVERY}, f AS (SELECT (20 + 5 * i) / 100.0::DOUBLE AS floor FROM range(9) t(i)),
 v AS (SELECT floor, qid, own_label, coalesce(sum(greatest(similarity, 0)) FILTER (WHERE similarity >= floor AND label = 'disallowed') / nullif(sum(greatest(similarity, 0)) FILTER (WHERE similarity >= floor), 0), 0) AS score FROM nb, f GROUP BY ALL)
 SELECT floor, round(avg((own_label = 'disallowed' AND score >= {BLOCK})::INT) / avg((own_label = 'disallowed')::INT), 6) AS catch_rate, round(min(score) FILTER (WHERE own_label = 'disallowed'), 6) AS min_violation, round(max(score) FILTER (WHERE own_label = 'allowed'), 6) AS max_benign, min(score) FILTER (WHERE own_label = 'disallowed') > max(score) FILTER (WHERE own_label = 'allowed') AS separable FROM v GROUP BY floor""")
 def guard_floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     floors = spark.range(9).select(((F.lit(20) + 5 * F.col("id")) / 100.0).alias("floor"))
-    near = neighbours(spark, d).crossJoin(F.broadcast(floors))  # nine rows
+    near = neighbours(spark, d, every=True).crossJoin(F.broadcast(floors))  # nine rows
     votes = F.col("similarity") >= F.col("floor")
     weight = F.greatest("similarity", F.lit(0.0))
     total = F.sum(F.when(votes, weight))

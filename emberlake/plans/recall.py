@@ -10,6 +10,7 @@ from emberlake.operators import cascade as tiers
 from emberlake.operators import lexical, lifecycle, nearest
 from emberlake.sources import sinks
 from emberlake.sources.tables import migrate, read_table, spread
+from emberlake.sources.text_index import TextIndex, stored
 
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g'))"
@@ -133,9 +134,13 @@ IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
 BM25 = f"{IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(c.words) / mean))"
 
 
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the documents, shared by all lexical queries over the same files."""
+    return stored(entries(spark, d), read_table(spark, d, "documents"), "entry_id", "text", ["source"])
+
+
 def _lexical(spark: SparkSession, d: str, scorer: str, least: float = 0.0) -> DataFrame:
-    index = lexical.lexical_index(entries(spark, d), "entry_id", "text")
-    return lexical.best_match(lexical.lexical_matches(index, lexical.query_words(asked(spark, d), "query_id", "text"), scorer), least)
+    return lexical.indexed_best(text_index(spark, d), lexical.query_words(asked(spark, d), "query_id", "text"), scorer, least)
 
 
 @query(_lexical_sql(BM25))
@@ -165,11 +170,10 @@ def lexical_min_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_lexical_sql(BM25, scoped=True))
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
-    scopes = read_table(spark, d, "documents").select("source").distinct()
-    items = asked(spark, d).crossJoin(scopes).withColumn("query_id", F.col("query_id") * 1000 + F.substring("source", 4, 9).cast("long"))
-    index = lexical.lexical_index(entries(spark, d), "entry_id", "text", "source")
-    words = lexical.query_words(items, "query_id", "text", "source")
-    return lexical.best_match(lexical.lexical_matches(index, words, "BM25", ("source",)))
+    """The best entry of every source for each question: one search, the best of each scope taken after it."""
+    words = lexical.query_words(asked(spark, d), "query_id", "text")
+    found = lexical.indexed_best(text_index(spark, d), words, "BM25", by=("source",))
+    return found.select((F.col("query_id") * 1000 + F.substring("source", 4, 9).cast("long")).alias("query_id"), "entry_id", "score")
 
 
 MISSPELT = "(?s)^(.*?)([a-z]{3})([a-z])([a-z]{2})"
@@ -178,18 +182,17 @@ MISSPELT = "(?s)^(.*?)([a-z]{3})([a-z])([a-z]{2})"
 @query()
 def fuzzy_top1(spark: SparkSession, d: str) -> DataFrame:
     """Questions with a letter wrong against all words of all documents (DuckDB's edit distance counts bytes, so there is no SQL)."""
-    index = lexical.lexical_index(entries(spark, d), "entry_id", "text")
     bent = asked(spark, d).withColumn("text", F.regexp_replace("text", MISSPELT, "$1$2x$4"))
-    return lexical.best_match(lexical.fuzzy_matches(index, lexical.query_words(bent, "query_id", "text"), 1))
+    return lexical.best_match(lexical.indexed_fuzzy(text_index(spark, d), lexical.query_words(bent, "query_id", "text"), 1))
 
 
 # Vectors
 
 
-def unit_vectors(spark: SparkSession, d: str, name: str, *keep: str) -> DataFrame:
-    """Unit vectors; as queries (``qid``) the stated set of every fifth."""
+def unit_vectors(spark: SparkSession, d: str, name: str, *keep: str, every: bool = False) -> DataFrame:
+    """Unit vectors; as queries (``qid``) the stated set of every fifth, unless ``every`` is asked for."""
     rows = read_table(spark, d, "embeddings")
-    if name == "qid":
+    if name == "qid" and not every:
         rows = rows.where("vec_id % 5 = 0")
     return rows.select(F.col("vec_id").alias(name), vectors.normalised(F.col("embedding")).alias("v"), *keep).where(F.col("v").isNotNull())
 
@@ -248,8 +251,7 @@ def _cascade(spark: SparkSession, d: str) -> DataFrame:
     held, rows = entries(spark, d), unit_vectors(spark, d, "rid")
 
     def words(left: DataFrame) -> DataFrame:
-        index = lexical.lexical_index(held, "entry_id", "text")
-        found = lexical.best_match(lexical.lexical_matches(index, lexical.query_words(left, "query_id", "text"), "BM25"))
+        found = lexical.indexed_best(text_index(spark, d), lexical.query_words(left, "query_id", "text"), "BM25")
         return found.select("query_id", "entry_id", F.lit(None).alias("similarity"))
 
     def semantic(left: DataFrame) -> DataFrame:

@@ -47,11 +47,44 @@ def shared_dir(spark: SparkSession) -> str:
     return (root or os.path.join(tempfile.gettempdir(), f"emberlake-{os.getpid()}")).rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, system = _path(spark, path)
+    return system.exists(found)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    found, system = _path(spark, path)
+    system.delete(found, True)
+
+
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``prefix``N whose writing ended, in order."""
+    found, system = _path(spark, folder)
+    if not system.exists(found):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(found)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._staged)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, whatever reads it."""
     path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def migrate(entries: DataFrame, domain: str = "general") -> DataFrame:
