@@ -48,3 +48,22 @@ def above_daily_mean(events: DataFrame, ts: str, bad: Column, factor: float = 2.
     hourly = events.groupBy(F.date_trunc("hour", ts).alias("hour")).agg(F.count(F.when(bad, 1)).alias("bad"))
     mean = F.avg("bad").over(Window.partitionBy(F.to_date("hour")))
     return hourly.withColumn("daily_mean", F.round(mean, 6)).withColumn("alert", F.col("bad") > factor * mean)
+
+
+def sliding_rates(events: DataFrame, ts: str, bad: Column, width: str, slide: str, ratio: float) -> DataFrame:
+    """Bad share of every window of ``width`` that starts each ``slide``, and whether it passes ``ratio``; for streams with a watermark too."""
+    by = events.groupBy(F.window(ts, width, slide).alias("w")).agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("bad"))
+    rate = F.col("bad") / F.col("n")
+    return by.select(F.col("w.start").alias("window_start"), "n", "bad", F.round(rate, 6).alias("rate"), (rate > ratio).alias("alert"))
+
+
+def above_moving_mean(events: DataFrame, ts: str, bad: Column, width_s: int, back_s: int, factor: float, labels: Sequence[str] = ()) -> DataFrame:
+    """Windows of ``width_s`` seconds whose bad count is over ``factor`` times the mean of those that began in the ``back_s`` seconds before and in it.
+
+    Events are counted by window first, so what is ordered is one row a window and label.
+    """
+    start = (F.floor(F.col(ts).cast("timestamp").cast("double") / width_s) * width_s).cast("long")
+    counted = events.groupBy(*labels, start.alias("start_s")).agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("bad"))
+    mean = F.avg("bad").over(Window.partitionBy(*labels).orderBy("start_s").rangeBetween(-back_s, 0))
+    rows = counted.withColumn("mean", mean)
+    return rows.select(*labels, "start_s", "n", "bad", F.round("mean", 6).alias("moving_mean"), (F.col("bad") > factor * F.col("mean")).alias("alert"))

@@ -1,8 +1,8 @@
-"""All queries of the recall and guard operators, and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from emberlake.plans import guarding, recall, traffic
+from emberlake.plans import guarding, recall, stored, traffic
 
-QUERIES = {**recall.QUERIES, **guarding.QUERIES, **traffic.QUERIES}
-SQL = {**recall.SQL, **guarding.SQL, **traffic.SQL}
+QUERIES = {**recall.QUERIES, **guarding.QUERIES, **traffic.QUERIES, **stored.QUERIES}
+SQL = {**recall.SQL, **guarding.SQL, **traffic.SQL, **stored.SQL}

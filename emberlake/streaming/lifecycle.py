@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberlake.operators import logs
 from emberlake.operators.lifecycle import breaker_step
 
 
@@ -75,9 +75,9 @@ def replay_hits(events: DataFrame, ttl: float, threshold: int) -> DataFrame:
     return _keyed(events, ["key"], step, "key string, ts double, id long, hit boolean", "last double, hits int, forever boolean")
 
 
-def window_metrics(events: DataFrame, ts: str, labels: Sequence[str], width: str, late: str) -> DataFrame:
-    """Counts by tumbling window and labels; rows later than ``late`` are dropped with their window's state."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width), *labels).agg(F.count("*").alias("value")).select(F.col("window.start").alias("window_start"), *labels, "value")
+def sliding_rates(events: DataFrame, ts: str, bad: Column, width: str, slide: str, ratio: float, late: str) -> DataFrame:
+    """``logs.sliding_rates`` of a stream: a window is given out once the watermark, ``late`` behind the newest event, has passed it."""
+    return logs.sliding_rates(events.withWatermark(ts, late), ts, bad, width, slide, ratio)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
