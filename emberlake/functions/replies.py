@@ -1,10 +1,15 @@
-"""Tolerant parsing of model replies: judge verdicts and extracted entities."""
+"""Tolerant parsing of model replies: judge verdicts and extracted entities.
+
+A reply is a list of candidate spans, tried in turn: the text without its code
+fence, then what a brace opens in it. Fields are read by a table of accepted
+keys and coercions, each of which gives a value or the name of a problem.
+"""
 
 from __future__ import annotations
 
 import json
-import math
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,76 +21,102 @@ CONFIDENCE_KEYS = ("confidence", "score", "probability")
 RATIONALE_KEYS = ("rationale", "reason", "explanation")
 CATEGORY_KEYS = ("category", "category_id", "matched_category")
 SLACK = 1e-3
-_FENCE = re.compile(r"^```[a-zA-Z0-9_-]*\s*|\s*```$")
+FENCED = re.compile(r"```[a-zA-Z0-9_-]*\s*(.*?)\s*(?:```)?", re.DOTALL)
 
 
-def _object(text: str | None, greedy: bool) -> tuple[dict | None, str | None]:
-    """The JSON object of a reply, or why there is none. ``greedy`` takes the span to the last brace."""
-    if not text or not text.strip():
-        return None, "empty"
-    text = text.strip()
-    if text.startswith("```"):
-        text = _FENCE.sub("", text).strip()
-    try:
-        found = json.loads(text)
-    except ValueError:
-        start, end = text.find("{"), text.rfind("}")
-        if start < 0 or (greedy and end < start):
-            return None, "no_object"
+class Problem(str):
+    """Why a reply or a field gives nothing."""
+
+
+def _strict(span: str) -> object:
+    return json.loads(span)
+
+
+def _leading(span: str) -> object:
+    """The value a span begins with; what follows it does not matter."""
+    return json.JSONDecoder().raw_decode(span)[0]
+
+
+def _candidates(body: str, to_last_brace: bool) -> Iterator[tuple[str, Callable[[str], object]]]:
+    yield body, _strict
+    opened, closed = body.find("{"), body.rfind("}")
+    if opened >= 0 and not to_last_brace:
+        yield body[opened:], _leading
+    elif 0 <= opened <= closed:
+        yield body[opened : closed + 1], _strict
+
+
+def _object(reply: str | None, to_last_brace: bool) -> dict | Problem:
+    body = (reply or "").strip()
+    if fenced := FENCED.fullmatch(body):
+        body = fenced[1]
+    if not body:
+        return Problem("empty")
+    tried = 0
+    for span, parse in _candidates(body, to_last_brace):
+        tried += 1
         try:
-            found = json.loads(text[start : end + 1]) if greedy else json.JSONDecoder().raw_decode(text[start:])[0]
+            value = parse(span)
         except ValueError:
-            return None, "invalid_json"
-    return (found, None) if isinstance(found, dict) else (None, "not_an_object")
+            continue
+        return value if isinstance(value, dict) else Problem("not_an_object")
+    return Problem("invalid_json" if tried > 1 else "no_object")
 
 
-def _verdict(text: str | None) -> dict:
-    out = {"confidence": None, "rationale": None, "category": None, "error": None}
-    found, out["error"] = _object(text, greedy=False)
-    if found is None:
-        return out
-    first = lambda keys: next((found[k] for k in keys if k in found), None)
-    value = first(CONFIDENCE_KEYS)
+def _share(value: object) -> float | Problem:
+    """A number from 0 to 1, or its text; a little over the ends counts as the end."""
     try:
-        number = None if value is None or isinstance(value, (bool, list, dict)) else float(value)
+        number = float(value) if isinstance(value, (int, float, str)) and not isinstance(value, bool) else float("nan")
     except ValueError:
-        number = None
-    if number is None or math.isnan(number):
-        out["error"] = "no_confidence"
-    elif not -SLACK <= number <= 1 + SLACK:
-        out["error"] = "out_of_range"
-    else:
-        reason, category = first(RATIONALE_KEYS), first(CATEGORY_KEYS)
-        out["confidence"] = min(1.0, max(0.0, number))
-        out["rationale"] = "" if reason is None else str(reason).strip()
-        out["category"] = category.strip() if isinstance(category, str) and category else None
-    return out
-
-
-def _entities(text: str | None) -> list[dict] | None:
-    found, _ = _object(text, greedy=True)
-    items = None if found is None else found.get("entities", [])
-    if not isinstance(items, list):
+        number = float("nan")
+    if number != number:
+        return Problem("no_confidence")
+    return min(1.0, max(0.0, number)) if abs(number - 0.5) <= 0.5 + SLACK else Problem("out_of_range")
+
+
+def _said(value: object) -> str:
+    return "" if value is None else str(value).strip()
+
+
+def _named(value: object) -> str | None:
+    return value.strip() if isinstance(value, str) and value else None
+
+
+FIELDS = {"confidence": (CONFIDENCE_KEYS, _share), "rationale": (RATIONALE_KEYS, _said), "category": (CATEGORY_KEYS, _named)}
+
+
+def _verdict(reply: str | None) -> dict:
+    found = _object(reply, to_last_brace=False)
+    if isinstance(found, Problem):
+        return {"error": str(found)}
+    read = {name: coerce(next((found[k] for k in keys if k in found), None)) for name, (keys, coerce) in FIELDS.items()}
+    return next(({"error": str(v)} for v in read.values() if isinstance(v, Problem)), read)
+
+
+def _entity(item: object) -> dict | None:
+    if not isinstance(item, dict):
         return None
-    out = []
-    for item in items:
-        if isinstance(item, dict):
-            identifier, kind = item.get("identifier") or item.get("text"), item.get("type")
-            if identifier and kind:
-                out.append({"text": str(item.get("text", identifier)), "type": str(kind), "identifier": str(identifier)})
-    return out
+    known = {"identifier": item.get("identifier") or item.get("text"), "type": item.get("type")}
+    return {"text": str(item.get("text", known["identifier"]))} | {k: str(v) for k, v in known.items()} if all(known.values()) else None
+
+
+def _entities(reply: str | None) -> list[dict] | None:
+    found = _object(reply, to_last_brace=True)
+    items = None if isinstance(found, Problem) else found.get("entities", [])
+    return [e for e in map(_entity, items) if e] if isinstance(items, list) else None
 
 
-_VERDICT = T.StructType([T.StructField("confidence", T.DoubleType()), *[T.StructField(n, T.StringType()) for n in ("rationale", "category", "error")]])
-_ENTITY = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "type", "identifier")])
+def _strings(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
 
 
-@F.pandas_udf(_VERDICT)
+@F.pandas_udf(T.StructType([T.StructField("confidence", T.DoubleType()), *_strings("rationale", "category", "error")]))
 def _verdicts(replies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_verdict(r) for r in replies], columns=["confidence", "rationale", "category", "error"])
+    empty = dict.fromkeys([*FIELDS, "error"])
+    return pd.DataFrame([empty | _verdict(r) for r in replies], columns=list(empty))
 
 
-@F.pandas_udf(T.ArrayType(_ENTITY))
+@F.pandas_udf(T.ArrayType(T.StructType(_strings("text", "type", "identifier"))))
 def _entity_lists(replies: pd.Series) -> pd.Series:
     return pd.Series([_entities(r) for r in replies], dtype=object)
 

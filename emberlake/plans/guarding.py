@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlake.functions import replies, text, vectors
 from emberlake.operators import chat, guard, nearest
 from emberlake.plans.recall import PAIRS, unit_vectors
-from emberlake.sources.policy import parse_policy
+from emberlake.sources.policy import parse_policy, policy_tables
 from emberlake.sources.tables import read_table
 
 FLOOR, ALLOW, BLOCK, TOP_K = 0.25, 0.35, 0.75, 8
@@ -244,9 +244,25 @@ categories:
 """
 
 
-@query("SELECT * FROM (VALUES (0, 'insult', 'disallowed', 'you are worthless', 'block'), (1, 'insult', 'disallowed', 'what a moron', 'block'), (2, 'insult', 'allowed', 'you are kind', 'block'), (3, 'advice', 'disallowed', 'which stock should i buy', 'flag'), (4, 'advice', 'allowed', 'what is a stock', 'flag'), (5, 'advice', 'allowed', 'how do markets work', 'flag')) t(ord, category_id, label, text, action)")
+@query("""WITH c AS (SELECT r_regionkey AS id, n_name, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'block' ELSE 'flag' END AS action FROM nation JOIN region ON n_regionkey = r_regionkey),
+e AS (SELECT id, n_name AS category_id, action, unnest(['disallowed', 'allowed']) AS label, unnest([n_name || ' is bad', n_name || ' is good']) AS text, unnest([0, 1]) AS nth, n_nationkey FROM c),
+fine AS (SELECT id, bool_or(action = 'block') AS ok FROM c GROUP BY id)
+SELECT id, CASE WHEN ok THEN (row_number() OVER (PARTITION BY id ORDER BY n_nationkey, nth) - 1)::INT END AS ord, category_id, label, text, action, CASE WHEN NOT ok THEN 'no category blocks' END AS problem FROM e JOIN fine USING (id) WHERE ok
+UNION ALL SELECT 10 + r_regionkey, NULL, NULL, NULL, NULL, NULL, 'policy.categories is empty' FROM region
+UNION ALL SELECT 20 + r_regionkey, NULL, NULL, NULL, NULL, NULL, 'policy has no field ' || r_name FROM region""")
 def policy_exemplars(spark: SparkSession, d: str) -> DataFrame:
-    return parse_policy(POLICY).frame(spark)
+    """Policies as rows, one for each region with its nations as categories, and broken ones beside them: exemplars and problems."""
+    nations = read_table(spark, d, "nation")
+    one = lambda kind: F.array(F.concat("n_name", F.lit(f" is {kind} ")))
+    category = F.struct(
+        "n_nationkey", F.struct(F.col("n_name").alias("category_id"), F.when(F.col("n_nationkey") % 2 == 0, "block").otherwise("flag").alias("action"), one("bad").alias("disallowed_exemplars"), one("good").alias("allowed_exemplars")).alias("c")
+    )
+    listed = nations.groupBy(F.col("n_regionkey").alias("id")).agg(F.sort_array(F.collect_list(category)).alias("l"))
+    good = listed.select("id", F.to_json(F.struct(F.col("l.c").alias("categories"))).alias("document"))
+    regions = read_table(spark, d, "region")
+    empty = regions.select((F.col("r_regionkey") + 10).alias("id"), F.lit('{"categories": []}').alias("document"))
+    odd = regions.select((F.col("r_regionkey") + 20).alias("id"), F.concat(F.lit('{"categories": [{"category_id": "c", "disallowed_exemplars": ["x"]}], "'), "r_name", F.lit('": 1}')).alias("document"))
+    return policy_tables(good.unionByName(empty).unionByName(odd), "id", "document")
 
 
 # Replies

@@ -132,3 +132,10 @@ def test_entities(spark):
     get = lambda t: one(spark, replies.extracted_entities(F.col("t")), t=t)
     assert [e["identifier"] for e in get('x {"entities": [{"type": "P", "text": "Ann"}, {"type": "P"}, 3, {"type": "Q", "identifier": "q1"}]} y')] == ["Ann", "q1"]
     assert get('{"entities": []}') == [] and get("nope") is None and get('{"entities": 3}') is None
+
+
+def test_reply_fields(spark):
+    got = one(spark, replies.judge_verdict(F.col("t")), t='{"confidence": 0.7, "reason": null, "matched_category": " c "} {"confidence": 0}')
+    assert tuple(got) == (0.7, "", "c", None)
+    assert one(spark, replies.judge_verdict(F.col("t")), t='{"confidence": 1e999}')["error"] == "out_of_range"
+    assert one(spark, replies.extracted_entities(F.col("t")), t='{"entities": []} and {more}') is None  # to the last brace

@@ -1,5 +1,6 @@
 """Retrieval, guard, lifecycle, chat, log, registry and policy operators."""
 
+import json
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlake.operators import cascade, chat, guard, lexical, lifecycle, logs, nearest, registry
 from emberlake.sources import sinks
-from emberlake.sources.policy import GuardParams, PolicyError, guard_params, index_key, params_hash, parse_policy
+from emberlake.sources.policy import GuardParams, PolicyError, guard_params, index_key, params_hash, parse_policy, policy_tables
 from emberlake.sources.tables import migrate
 from emberlake.streaming import lifecycle as streams
 
@@ -401,3 +402,15 @@ def test_logs(spark):
     assert [r["line"] for r in logs.exposition(logs.counters(rows, ["k"]), "n_total", ["k"]).orderBy("line").collect()] == ['n_total{k="a"} 2', 'n_total{k="b"} 1']
     with pytest.raises(ValueError):
         logs.newest(rows, "k", "v", 501)
+
+
+def test_policies_as_rows(spark):
+    rows = [(1, json.dumps(GOOD)), (2, json.dumps({**GOOD, "extra": 1})), (3, None), (4, "categories: [")]
+    out = policy_tables(spark.createDataFrame(rows, "tenant int, document string"), "tenant", "document").collect()
+    assert [(r["ord"], r["label"], r["problem"]) for r in out if r["id"] == 1] == [(0, "disallowed", None), (1, "allowed", None)]
+    assert {r["id"]: r["problem"] is not None and r["text"] is None for r in out if r["id"] > 1} == {2: True, 3: True, 4: True}
+
+
+def test_parameter_problems_are_listed_together():
+    with pytest.raises(PolicyError, match="guard.top_k.*guard.mode|guard.mode.*guard.top_k"):
+        guard_params({"top_k": True, "mode": "none"})
