@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import masking, text, vectors
 from emberlake.operators import cascade as tiers
-from emberlake.operators import lexical, lifecycle, nearest
+from emberlake.operators import clusters, lexical, lifecycle, nearest
 from emberlake.sources import sinks
 from emberlake.sources.tables import migrate, read_table, spread
 from emberlake.sources.text_index import TextIndex, stored
@@ -207,6 +207,15 @@ def knn_top_k(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "rid", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {PAIRS} SELECT qid, rid, rank, round(similarity, 6) AS similarity FROM near WHERE rank <= 8")
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same by clusters and their bounds. These vectors have no clusters, so nearly all pairs are compared; clustered ones are pruned."""
+    held = clusters.Clusters(unit_vectors(spark, d, "rid"))
+    found = held.nearest(unit_vectors(spark, d, "qid"), 8, skip_self=True)
+    held.close()
+    return found.select("qid", "rid", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, rid) AS place FROM pairs WHERE qlabel = rlabel) SELECT qid, rid, place AS rank, round(similarity, 6) AS similarity FROM own WHERE place <= 3")
 def semantic_in_domain(spark: SparkSession, d: str) -> DataFrame:
     """The nearest three of the query's own domain; the label stands for the domain."""

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from emberlake.engine import RecallEngine
 from emberlake.functions import vectors
-from emberlake.operators import lexical, seams
+from emberlake.operators import lexical, nearest, seams
+from emberlake.operators.clusters import Clusters
 from emberlake.sources import text_index
 from emberlake.sources.entry_table import EntryTable, mirror
 from emberlake.sources.sinks import DecisionLog
@@ -215,3 +216,23 @@ def test_unit_vectors_of_any_length(spark):
     got = [r[0] for r in rows.select(vectors.normalised(F.col("v"))).collect()]
     assert got[50:] == [None] * 5
     assert np.allclose(np.array(got[:50]), made / np.linalg.norm(made, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("spread, most", [(0.05, 0.25), (5.0, 1.0)])
+def test_pruned_scan_equals_a_full_one(spark, spread, most):
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(20, 16))
+    made = centres[draw.integers(0, 20, 1_200)] + spread * draw.normal(size=(1_200, 16)) / 4
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    made[7] = made[3]  # a tie
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "rid long, v array<double>")
+    queries = rows.where("rid % 10 = 3").withColumnRenamed("rid", "qid")
+    held = Clusters(rows)
+    got = {(r["qid"], r["rank"]): (r["rid"], r["similarity"]) for r in held.nearest(queries, 5, skip_self=True).collect()}
+    want = {(r["qid"], r["rank"]): (r["rid"], r["similarity"]) for r in nearest.nearest(queries, rows, 5, skip_self=True).where("rank <= 5").collect()}
+    assert got == want and len(got) == 600
+    assert held.compared <= most
+    held.close()
+    few = Clusters(rows.limit(3))
+    assert few.nearest(queries, 5).count() == 3 * 120 and Clusters(rows.limit(0)).nearest(queries, 5).count() == 0
+    few.close()
