@@ -25,7 +25,7 @@ from emberlake.llm.textkit import mix64
 NO_RANK = np.int32(2**31 - 1)
 LONG_ROW = 4096
 MATRIX_CELLS = 4_000_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,9 +83,12 @@ class BpeCodec:
         self.ranks = ranks
         self.table = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.token_sizes = np.array([len(t) for t in tokens], np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -176,17 +179,12 @@ class BpeCodec:
                     out[i] = merged
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of each text (null: none), as many as the longest merges leave."""
-        split = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES // 2:  # two generations: pieces still in use move on
-            self.older, self.known = self.known, {}
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        again = new & self.older.keys()
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces that are not known, or take them over from the older generation."""
+        again = pieces & self.older.keys()
         self.known.update((piece, self.older[piece]) for piece in again)
-        new -= again
         todo = []
-        for piece in new:
+        for piece in pieces - again:
             whole = self.ranks.get(piece.encode())
             if whole is None:
                 todo.append(piece)
@@ -194,12 +192,39 @@ class BpeCodec:
                 self.known[piece] = (whole,)
         for piece, ids in zip(todo, self._merge([p.encode() for p in todo])):
             self.known[piece] = tuple(ids.tolist())
-        known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in one array, and where each text's begin (null: none), with the end."""
+        split = [self.split(t) if t else [] for t in texts]
+        if len(self.known) > CACHE_PIECES // 2:  # two generations: pieces still in use move on
+            self.older, self.known = self.known, {}
+        pieces = list(chain.from_iterable(split))
+        got = list(map(self.known.get, pieces))
+        missing = {piece for piece, ids in zip(pieces, got) if ids is None}
+        if missing:
+            self._learn(missing)
+            got = [self.known[piece] if ids is None else ids for piece, ids in zip(pieces, got)]
+        ends = np.zeros(len(got) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, got), np.int64, len(got)), out=ends[1:])
+        ids = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]))
+        return ids, ends[np.concatenate([[0], np.cumsum([len(own) for own in split])]).astype(np.int64)]
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text (null: none), as many as the longest merges leave."""
+        ids, at = self.encode_flat(texts)
+        return [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+
+    def decode_flat(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens, joined, and where those of the id ranges ``at`` begin."""
+        sizes = self.token_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(ends[-1]) + np.repeat(self.token_starts[ids] - ends[:-1], sizes)
+        return self.token_bytes[place], ends[at]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the tokens, joined."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        own = np.array(ids, np.int64)
+        return self.decode_flat(own, np.array([0, len(own)]))[0].tobytes()
 
 
 _codecs: dict[tuple[int, str], BpeCodec] = {}
@@ -226,11 +251,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         codec = _codec(ranks, pattern)
-        ids = codec.encode_batch(texts)
-        decoded = [codec.decode(x) for x in ids]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
-        return [pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.binary())]
+        ids, at = codec.encode_flat(texts)
+        decoded, ends = codec.decode_flat(ids, at)
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(decoded)]
+        return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.Array.from_buffers(pa.binary(), len(texts), buffers)]
 
     return with_texts(docs, text_col, make, token_ids=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
 
