@@ -202,23 +202,21 @@ def _single(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def _ran(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _ran(spark: SparkSession, stream: DataFrame, machine) -> DataFrame:
     at = _shared(spark)
-    schema = stream.schema
-    streams.run_to_end(stream, f"{at}/out", f"{at}/state")
-    return spark.read.schema(schema).parquet(f"{at}/out")
+    return streams.KeyedStream(spark, f"{at}/out", machine).run(stream, f"{at}/state")
 
 
 @query(REPLAY + " SELECT event_id, turn > 1 OR coalesce(n > promo, false) AS hit FROM p")
 def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return _ran(spark, streams.replay_hits(_events(spark, d, "user_id", "event_type"), TTL, PROMOTE)).select(F.col("id").alias("event_id"), "hit")
+    return _ran(spark, _events(spark, d, "user_id", "event_type"), streams.Hits(TTL, PROMOTE)).select(F.col("id").alias("event_id"), F.col("result").alias("hit"))
 
 
 @query()
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    return _ran(spark, streams.rate_limit(_events(spark, d, "event_type"), 10, 3600.0)).select(F.col("id").alias("event_id"), "allowed")
+    return _ran(spark, _events(spark, d, "event_type"), streams.Limit(10, 3600.0)).select(F.col("id").alias("event_id"), F.col("result").alias("allowed"))
 
 
 @query()
 def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
-    return _ran(spark, streams.breaker(_events(spark, d, "user_id"), 86_400.0, 2, 7_200.0)).select(F.col("id").alias("event_id"), "refused")
+    return _ran(spark, _events(spark, d, "user_id"), streams.Breaker(86_400.0, 2, 7_200.0)).select(F.col("id").alias("event_id"), F.col("result").alias("refused"))

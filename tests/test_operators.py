@@ -333,15 +333,36 @@ def test_streams_equal_batch(spark, tmp_path):
     rows = trace(11, 300, 4, 20.0)
     for part, some in enumerate((rows[:100], rows[100:220], rows[220:])):
         frame(spark, some).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p={part}")
-    for name, stream, want in (
-        ("hits", lambda s: streams.replay_hits(s, 60.0, 3), simulate_hits(rows, 60.0, 3)),
-        ("limit", lambda s: streams.rate_limit(s, 4, 60.0), simulate_limit(rows, 4, 60.0)),
-        ("breaker", lambda s: streams.breaker(s, 60.0, 3, 30.0), simulate_breaker(rows, 60.0, 3, 30.0)),
+    for name, machine, want in (
+        ("hits", streams.Hits(60.0, 3), simulate_hits(rows, 60.0, 3)),
+        ("limit", streams.Limit(4, 60.0), simulate_limit(rows, 4, 60.0)),
+        ("breaker", streams.Breaker(60.0, 3, 30.0), simulate_breaker(rows, 60.0, 3, 30.0)),
     ):
         source = spark.readStream.schema("key string, ts double, id long, failed boolean, p int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("p")
-        streams.run_to_end(stream(source), f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
-        out = spark.read.parquet(f"{tmp_path}/{name}").collect()
-        assert {r["id"]: r[3] for r in out} == want
+        held = streams.KeyedStream(spark, f"{tmp_path}/{name}", machine)
+        out = held.run(source, f"{tmp_path}/{name}-state")
+        assert {r["id"]: r["result"] for r in out.collect()} == want
+        again = spark.read.parquet(f"{tmp_path}/in/p=2")
+        held.write(again, 2)  # the last batch once more
+        assert {r["id"]: r["result"] for r in held.results().collect()} == want
+
+
+def test_a_hot_key_is_streamed(spark, tmp_path):
+    rows = spark.range(60_000).select(F.lit("hot").alias("key"), (F.col("id") * 0.5).alias("ts"), "id", F.lit(False).alias("failed"))
+    held = streams.KeyedStream(spark, f"{tmp_path}/hot", streams.Limit(10, 60.0))
+    held.write(rows, 0)
+    assert held.results().where("result").count() == simulate_count(60_000, 0.5, 10, 60.0)
+    assert held.states().select(F.size("saved")).first()[0] <= 10
+
+
+def simulate_count(n, gap, limit, window):
+    log, allowed = [], 0
+    for i in range(n):
+        log = [t for t in log if t >= i * gap - window]
+        if len(log) < limit:
+            log.append(i * gap)
+            allowed += 1
+    return allowed
 
 
 def test_upsert_rebuild_purge(spark):
