@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from emberlake.functions import replies, text
+from emberlake.functions import replies, text, vectors
 from emberlake.operators import chat, nearest, seams
-from emberlake.sources.tables import staged
+from emberlake.sources.tables import numbered, staged
 
 # Modes and window rules.
 GUARD_MODES = ("embedding-only", "cascade", "judge-only", "max")
@@ -131,10 +131,45 @@ def judge_prompt(piece: Column, task: Column, categories: Column, examples: Colu
     return F.struct(system.alias("system"), text.sanitize_for_judging(piece).alias("user"))
 
 
+# The reasons that data can give for a check without a verdict.
+REASONS = (
+    "embed_unreachable", "embed_malformed", "index_build_failed", "dim_mismatch", "judge_unreachable", "judge_unparseable",
+    "input_too_large", "unguardable_content", "config_invalid",
+)
+
+
+VOTES = T.StructType([
+    T.StructField("piece", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("best_category", T.StringType()), T.StructField("n_scored", T.LongType()),
+    T.StructField("top", T.ArrayType(T.IntegerType())),
+    T.StructField("examples", T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType())]))),
+])
+
+
+class KeptVotes:
+    """Votes on windows, kept in a folder under the identity of the exemplars' index and of the parameters.
+
+    A batch of new votes is appended whole; other exemplars or parameters have a folder of their own.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, index_key: str, params_hash: str) -> None:
+        self.spark, self.folder = spark, f"{folder.rstrip('/')}/{index_key}/{params_hash}"
+
+    def votes(self) -> DataFrame:
+        numbers = numbered(self.spark, self.folder, "v")
+        if not numbers:
+            return self.spark.createDataFrame([], VOTES)
+        return self.spark.read.schema(VOTES).parquet(*[f"{self.folder}/v{n}" for n in numbers]).dropDuplicates(["piece"])
+
+    def add(self, votes: DataFrame) -> None:
+        if not votes.isEmpty():
+            number = (numbered(self.spark, self.folder, "v") or [0])[-1] + 1
+            votes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in VOTES.fields]).write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+
+
 def check_requests(
     messages: DataFrame, exemplars: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "embedding-only", floor: float = 0.6,
     allow: float = 0.4, block: float = 0.85, top_k: int = 8, max_chars: int = 16_000, max_segments: int = 32,
-    judge: seams.Model | None = None, task: str = "a customer support assistant", roles: tuple[str, ...] = CHECK_ROLES,
+    judge: seams.Model | None = None, task: str = "a customer support assistant", roles: tuple[str, ...] = CHECK_ROLES, kept: KeptVotes | None = None,
 ) -> DataFrame:
     """The whole guard over (request_id, turn, role, content): one outcome for every request.
 
@@ -144,24 +179,35 @@ def check_requests(
     that one is shown to ``judge``, a batch function of prompts, where the mode
     asks for it. Returns request_id, position, window, action, reason,
     final_score, category and judge_invoked. A request that cannot be checked
-    has the action ``error`` and a reason: unguardable_content,
-    input_too_large, embed_malformed, judge_unreachable or judge_unparseable.
-    A request without text to guard is allowed.
+    has the action ``error`` and one of ``REASONS``, of several broken windows
+    that of the first. A request without text to guard is allowed. With
+    ``kept``, windows that were voted on before are neither embedded nor voted on again.
     """
     hidden = chat.unguardable(messages, "request_id", "role", "content", roles)
     segments = chat.segments(messages, "request_id", "turn", "role", "content", roles).join(hidden, "request_id", "left_anti")
     cut = staged(windows(segments, max_chars, max_segments))
     pieces = cut.where("not refused")
     # Each distinct piece is embedded and voted on once, however many requests repeat it.
-    known = staged(embed(pieces.select("piece").distinct().withColumn("qid", F.monotonically_increasing_id())).select("qid", "piece", "vector"))
-    mine = known.select("qid", F.col("vector").alias("v")).where(F.col("v").isNotNull())
+    pieces_once = pieces.select("piece").distinct()
+    held = kept.votes().join(pieces_once, "piece", "left_semi") if kept is not None else None
+    todo = pieces_once if held is None else pieces_once.join(held, "piece", "left_anti")
+    n_exemplars, dim = exemplars.agg(F.count("v"), F.max(F.size("v"))).first()
+    problem = (
+        F.lit("index_build_failed") if not n_exemplars
+        else F.when(F.col("vector").isNull(), "embed_unreachable").when(~vectors.valid(F.col("vector")), "embed_malformed").when(F.size("vector") != dim, "dim_mismatch")
+    )
+    known = staged(embed(todo.withColumn("qid", F.monotonically_increasing_id())).select("qid", "piece", "vector", problem.alias("problem")))
+    mine = known.where("problem is null").select("qid", F.col("vector").alias("v"))
     near = nearest.nearest(mine, exemplars.select("rid", "v"), top_k).join(exemplars.drop("v"), "rid")
     best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "label", "text"))), 1, 3)
     shown = near.groupBy("qid").agg(best.alias("examples"))
-    votes = staged(known.select("qid", "piece").join(vote(near, floor), "qid", "left").join(shown, "qid", "left"))
+    votes = staged(known.select("qid", "piece", "problem").join(vote(near, floor), "qid", "left").join(shown, "qid", "left").drop("qid"))
+    if kept is not None:
+        kept.add(votes.where("problem is null").drop("problem"))
+        votes = votes.unionByName(held.select(*[c for c in votes.columns if c != "problem"]).withColumn("problem", F.lit(None).cast("string")))
     scored = pieces.select("request_id", "position", "window", "piece", F.struct("position", "window").alias("at")).join(votes, "piece", "left")
-    broken = scored.where(F.col("score").isNull()).select("request_id").distinct()
-    worst = worst_window(scored.join(broken, "request_id", "left_anti"), "request_id", "at")
+    broken = scored.where(F.col("problem").isNotNull()).groupBy("request_id").agg(F.min_by("problem", "at").alias("reason"))
+    worst = worst_window(scored.drop("problem").join(broken, "request_id", "left_anti"), "request_id", "at")
     topics = exemplars.groupBy("category").agg(F.first("action", True).alias("category_action"), F.first("description", True).alias("description"))
     worst = worst.join(topics.select(F.col("category").alias("best_category"), "category_action"), "best_category", "left")
     worst = worst.withColumn("needed", needs_judge(mode, F.col("score"), allow, block))
@@ -179,7 +225,7 @@ def check_requests(
     done = decide(worst, mode, allow, block).withColumn("reason", F.when(F.col("action") == "error", F.coalesce("judge_error", F.lit("judge_unreachable"))))
     out = done.select("request_id", "position", "window", "action", "reason", "final_score", "category", "judge_invoked")
     failed = hidden.withColumn("reason", F.lit("unguardable_content")).unionByName(cut.where("refused").select("request_id", F.lit("input_too_large").alias("reason")))
-    failed = failed.unionByName(broken.withColumn("reason", F.lit("embed_malformed"))).withColumn("action", F.lit("error"))
+    failed = failed.unionByName(broken).withColumn("action", F.lit("error"))
     idle = messages.select("request_id").distinct().join(segments, "request_id", "left_anti").join(hidden, "request_id", "left_anti")
     rest = failed.unionByName(idle.select("request_id", F.lit(None).cast("string").alias("reason"), F.lit("allow").alias("action")))
     return out.unionByName(rest.withColumn("judge_invoked", F.lit(False)), allowMissingColumns=True)

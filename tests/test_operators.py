@@ -197,7 +197,7 @@ def test_guard_chain(spark):
         got = guard.check_requests(messages, exemplars, embed, mode, floor=0.1, allow=0.4, block=0.85, top_k=2, max_chars=10, max_segments=3, judge=judge)
         return {r["request_id"]: (r["action"], r["reason"], r["judge_invoked"]) for r in got.collect()}
 
-    broken = {4: ("error", "unguardable_content", False), 6: ("error", "input_too_large", False), 7: ("error", "embed_malformed", False)}
+    broken = {4: ("error", "unguardable_content", False), 6: ("error", "input_too_large", False), 7: ("error", "embed_unreachable", False)}
     calm = {2: ("allow", None, False), 5: ("allow", None, False), 8: ("allow", None, False)}
     plain = outcomes("embedding-only")
     assert plain == broken | calm | {1: ("block", None, False), 3: ("flag", None, False), 9: ("flag", None, False)}
@@ -213,6 +213,34 @@ def test_guard_chain(spark):
     assert outcomes("cascade") == plain | {3: silent, 9: silent}
 
 
+def test_kept_votes_and_every_reason(spark, tmp_path):
+    kinds = [(0, [1.0, 0.0], "disallowed", "insult", "you fool", "block", None), (1, [0.0, 1.0], "allowed", "insult", "hello", "block", None)]
+    exemplars = spark.createDataFrame(kinds, "rid long, v array<double>, label string, category string, text string, action string, description string")
+    rows = [(1, 0, "user", "bad"), (2, 0, "user", "good"), (3, 0, "user", "short"), (4, 0, "user", "nan"), (5, 0, "user", "none"), (5, 1, "user", "nan"), (6, 0, "user", "x" * 200), (7, 0, "user", '[{"type": "image", "text": ""}]')]
+    messages = spark.createDataFrame(rows, "request_id long, turn int, role string, content string")
+    known = {"bad": [1.0, 0.0], "good": [0.0, 1.0], "short": [1.0], "nan": [float("nan"), 0.0]}
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(pieces):
+        return pieces.mapInPandas(lambda frames: (f.assign(vector=[(seen.add(1), known.get(t))[1] for t in f["piece"]]) for f in frames), "piece string, qid long, vector array<double>")
+
+    def outcomes(kept=None, some=exemplars):
+        got = guard.check_requests(messages, some, embed, floor=0.1, max_chars=10, max_segments=3, kept=kept)
+        return {r["request_id"]: (r["action"], r["reason"]) for r in got.collect()}
+
+    plain = outcomes()
+    assert plain == {1: ("block", None), 2: ("allow", None), **{i: ("error", r) for i, r in ((3, "dim_mismatch"), (4, "embed_malformed"), (5, "embed_unreachable"), (6, "input_too_large"), (7, "unguardable_content"))}}
+    assert {r for _, r in plain.values() if r} <= set(guard.REASONS)
+    built = {i: ("error", "index_build_failed") for i in (1, 2, 3, 4, 5)}
+    assert outcomes(some=exemplars.where("false")) == plain | built
+    kept = guard.KeptVotes(spark, f"{tmp_path}/votes", "index", "params")
+    assert outcomes(kept) == plain and kept.votes().count() == 2
+    before = seen.value
+    assert outcomes(kept) == plain
+    assert seen.value - before == 3  # what was broken is tried again, what was voted on is not
+    assert guard.KeptVotes(spark, f"{tmp_path}/votes", "index", "others").votes().count() == 0
+
+
 GOOD = {"categories": [{"category_id": "a", "disallowed_exemplars": ["x"], "allowed_exemplars": ["y"]}]}
 
 
