@@ -105,7 +105,8 @@ def importance_weights(docs: DataFrame, targets: DataFrame, id_col: str = "doc_i
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = targets.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("wanted")).where("id is not null").distinct()
-    marked = rows.join(wanted, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    # One plan at every size: texts are shuffled once, targets are never broadcast, as they grow with the documents.
+    marked = rows.join(wanted.hint("merge"), "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     counts = dealt(marked).mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
     for row in counts.collect():  # at most BUCKETS rows
