@@ -196,7 +196,11 @@ def check_requests(
         F.lit("index_build_failed") if not n_exemplars
         else F.when(F.col("vector").isNull(), "embed_unreachable").when(~vectors.valid(F.col("vector")), "embed_malformed").when(F.size("vector") != dim, "dim_mismatch")
     )
-    known = staged(embed(todo.withColumn("qid", F.monotonically_increasing_id())).select("qid", "piece", "vector", problem.alias("problem")))
+    embedded = embed(todo.withColumn("qid", F.monotonically_increasing_id()))
+    if n_exemplars and "problem" in embedded.columns:  # told by the endpoint's reader
+        silent = F.col("problem").isin("no_reply", "endpoint_error")
+        problem = F.when(silent, "embed_unreachable").when(F.col("problem").isNotNull(), "embed_malformed").otherwise(problem)
+    known = staged(embedded.select("qid", "piece", "vector", problem.alias("problem")))
     mine = known.where("problem is null").select("qid", F.col("vector").alias("v"))
     near = nearest.nearest(mine, exemplars.select("rid", "v"), top_k).join(exemplars.drop("v"), "rid")
     best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "label", "text"))), 1, 3)
@@ -263,6 +267,39 @@ def separability_report(loo: DataFrame, allow: float, block: float, id_col: str
     return first.crossJoin(F.broadcast(total)).select("place", id_col, "problem", "n_problems", advice.alias("advice"))  # one row
 
 
+def explanation(loo: DataFrame, allow: float, block: float, floor: float, id_col: str = "qid", shown: int = 5, text_col: str | None = None) -> DataFrame:
+    """What to tell an app whose examples are not apart, as one row: n_problems and ``message``, null where all are.
+
+    A first line with the settings and how many examples are affected, a line
+    for each of the first ``shown`` (their text, or id, cut to 80 characters),
+    how many more there are, and what would pass: the floor first while it leaves an
+    example without votes, nothing where an allowed example scores 1, else
+    thresholds on the far side of both extremes, with a warning where they overlap.
+    """
+    report = separability_report(loo, allow, block, id_col, shown)
+    told = F.col(text_col or id_col).cast("string")
+    cut = F.when(F.length(told) > 80, F.concat(F.substring(told, 1, 77), F.lit("..."))).otherwise(told)
+    wrong = report.join(loo.select(id_col, "label", cut.alias("__told")), id_col)  # at most ``shown`` rows
+    line = F.concat_ws("", F.col("place").cast("string"), F.lit(". "), F.col("label"), F.lit(" example '"), F.col("__told"), F.lit("': "), F.col("problem"), F.lit("; "), F.col("advice"))
+    placed = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    lines = wrong.agg(F.transform(placed, lambda x: x["line"]).alias("lines"), F.coalesce(F.max("n_problems"), F.lit(0)).alias("n_problems"))
+    bad, score = F.col("label") == "disallowed", F.col("score")
+    least, most = F.min(F.when(bad & (score > 0), score)), F.max(F.when(~bad, score))
+    total = loo.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(bad & (score == 0.0)), F.lit(False)).alias("unvoted"), least.alias("least"), most.alias("most"))
+    two = lambda c: F.format_number(c, 2)
+    passing = F.concat(F.lit("These thresholds would pass: allow_threshold below "), two("least"), F.lit(", block_threshold above "), two("most"), F.lit("."))
+    overlap = F.when(F.col("least") <= F.col("most"), F.lit(" The examples overlap, so many inputs would lie between: better change the examples.")).otherwise(F.lit(""))
+    closing = (
+        F.when(F.col("unvoted"), F.lit("Lower min_similarity first: no threshold helps an example without neighbours."))
+        .when(F.col("most") >= 1.0, F.lit("No block_threshold passes while an allowed example scores 1.00: reword or remove it."))
+        .otherwise(F.concat(passing, overlap))
+    )
+    head = F.concat(F.lit(f"The policy's examples are not apart with allow_threshold={allow}, block_threshold={block}, min_similarity={floor}: "), F.col("n_problems").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" affected."))
+    more = F.when(F.col("n_problems") > shown, F.concat(F.lit("and "), (F.col("n_problems") - shown).cast("string"), F.lit(" more")))
+    message = F.concat_ws("\n", head, F.col("lines"), more, closing)
+    return lines.crossJoin(F.broadcast(total)).select("n_problems", F.when(F.col("n_problems") > 0, message).alias("message"))  # one row each
+
+
 def threshold_suggestion(loo: DataFrame) -> DataFrame:
     """Least positive disallowed score, largest allowed score, and whether they overlap."""
     low = F.min(F.when((F.col("label") == "disallowed") & (F.col("score") > 0), F.col("score")))

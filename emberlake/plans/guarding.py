@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import replies, text, vectors
-from emberlake.operators import chat, guard, nearest
+from emberlake.operators import chat, embeddings, guard, nearest
 from emberlake.plans.recall import PAIRS, unit_vectors
 from emberlake.sources.policy import parse_policy, policy_tables
 from emberlake.sources.tables import read_table
@@ -146,10 +146,26 @@ def guard_separability(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("problem").agg(F.count("*").alias("n"), F.count(F.when(F.col("in_band"), 1)).alias("in_band"))
 
 
-@query(f"WITH {VOTED_EVERY}, w AS (SELECT qid, {PROBLEM} AS problem FROM voted) SELECT row_number() OVER (ORDER BY qid) AS place, qid, problem, count(*) OVER () AS n_problems FROM w WHERE problem IS NOT NULL ORDER BY qid LIMIT 5")
+ADVICE = "CASE problem WHEN 'floor_too_high' THEN 'lower min_similarity' WHEN 'allowed_at_block' THEN 'block_threshold above ' || printf('%.2f', score) ELSE 'allow_threshold below ' || printf('%.2f', score) END"
+REPORT = f"w AS (SELECT qid, own_label, score, {PROBLEM} AS problem FROM voted), report AS (SELECT row_number() OVER (ORDER BY qid) AS place, qid, own_label, problem, count(*) OVER () AS n_problems, {ADVICE} AS advice FROM w WHERE problem IS NOT NULL ORDER BY qid LIMIT 5)"
+
+
+@query(f"WITH {VOTED_EVERY}, {REPORT} SELECT place, qid, problem, n_problems, advice FROM report")
 def guard_separability_report(spark: SparkSession, d: str) -> DataFrame:
     report = guard.separability_report(_loo(spark, d), ALLOW, BLOCK)
-    return report.select(F.col("place").cast("long").alias("place"), "qid", "problem", "n_problems")
+    return report.select(F.col("place").cast("long").alias("place"), "qid", "problem", "n_problems", "advice")
+
+
+@query(f"""WITH {VOTED_EVERY}, {REPORT},
+l AS (SELECT string_agg(place || '. ' || own_label || ' example ' || chr(39) || qid || chr(39) || ': ' || problem || '; ' || advice, chr(10) ORDER BY place) AS lines, coalesce(max(n_problems), 0) AS n_problems FROM report),
+t AS (SELECT count(*) AS n, coalesce(bool_or(own_label = 'disallowed' AND score = 0), false) AS unvoted, min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0) AS least, max(score) FILTER (WHERE own_label = 'allowed') AS most FROM voted)
+SELECT n_problems, CASE WHEN n_problems > 0 THEN concat_ws(chr(10), 'The policy' || chr(39) || 's examples are not apart with allow_threshold={ALLOW}, block_threshold={BLOCK}, min_similarity={FLOOR}: ' || n_problems || ' of ' || n || ' affected.', lines,
+CASE WHEN n_problems > 5 THEN 'and ' || (n_problems - 5) || ' more' END,
+CASE WHEN unvoted THEN 'Lower min_similarity first: no threshold helps an example without neighbours.' WHEN most >= 1 THEN 'No block_threshold passes while an allowed example scores 1.00: reword or remove it.'
+ELSE 'These thresholds would pass: allow_threshold below ' || printf('%.2f', least) || ', block_threshold above ' || printf('%.2f', most) || '.' || CASE WHEN least <= most THEN ' The examples overlap, so many inputs would lie between: better change the examples.' ELSE '' END END) END AS message FROM l, t""")
+def guard_explanation(spark: SparkSession, d: str) -> DataFrame:
+    """What an app is told about examples that are not apart, over every exemplar."""
+    return guard.explanation(_loo(spark, d), ALLOW, BLOCK, FLOOR)
 
 
 @query(f"WITH {VOTED_EVERY} SELECT round(min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), 6) AS min_disallowed, round(max(score) FILTER (WHERE own_label = 'allowed'), 6) AS max_allowed, coalesce(max(score) FILTER (WHERE own_label = 'allowed') >= min(score) FILTER (WHERE own_label = 'disallowed' AND score > 0), false) AS overlap FROM voted")
@@ -224,6 +240,42 @@ def guard_responses(spark: SparkSession, d: str) -> DataFrame:
     return guard.respond(rows).select("qid", "status", "guardrail")
 
 
+NOTE = "CAST(json_merge_patch('{}', json_object('action', action, 'category', category, 'score', round(final_score, 4), 'judge_invoked', judge_invoked, 'policy', 'abcdef012345', 'request_id', 'r' || qid)) AS VARCHAR)"
+
+
+def sse_sql(id_: str, created: str, text: str, finish: str, usage: str, note: str = "''") -> str:
+    """A reply's stream as one text, for the SQL side."""
+    head = f"'data: {{' || trim(CAST(json_object('id', {id_}, 'object', 'chat.completion.chunk', 'created', {created}, 'model', 'm') AS VARCHAR), '{{}}')"
+    end = "'}' || chr(10) || chr(10)"
+    choice = lambda delta, ended: f"',\"choices\":' || CAST(json_array(json_object('index', 0, 'delta', {delta}, 'finish_reason', {ended})) AS VARCHAR)"
+    spent = "',\"choices\":[],\"usage\":{\"prompt_tokens\":0,\"completion_tokens\":0,\"total_tokens\":0}'"
+    chunks = (("json_object('role', 'assistant')", "NULL", note), (f"json_object('content', {text})", "NULL", "''"), ("json_object()", finish, "''"))
+    lines = [f"{head} || {choice(delta, ended)} || {own} || {end}" for delta, ended, own in chunks]
+    return " || ".join([*lines, f"CASE WHEN {usage} THEN {head} || {spent} || {end} ELSE '' END", "'data: [DONE]' || chr(10) || chr(10)"])
+
+
+def body_sql(id_: str, created: str, text: str, finish: str, name: str, note: str) -> str:
+    """A whole reply of the rows of ``r``, for the SQL side."""
+    choice = f"json_array(json_object('index', 0, 'message', json_object('role', 'assistant', 'content', {text}), 'finish_reason', '{finish}'))"
+    usage = "json_object('prompt_tokens', 0, 'completion_tokens', 0, 'total_tokens', 0)"
+    return f"CAST(json_object('id', {id_}, 'object', 'chat.completion', 'created', {created}, 'model', 'm', 'choices', {choice}, 'usage', {usage}, '{name}', CAST({note} AS JSON)) AS VARCHAR)"
+
+
+_REFUSED = "'I can''t help with that request.'"
+
+
+@query(f"""WITH r AS (SELECT * FROM ({_decided_sql("cascade")}) WHERE action = 'block')
+SELECT qid, {sse_sql("'chatcmpl-guard-' || qid", "qid", _REFUSED, "'content_filter'", "qid % 2 = 0", f"',\"guardrail\":' || {NOTE}")} AS stream, {body_sql("'chatcmpl-guard-' || qid", "qid", _REFUSED, "content_filter", "guardrail", NOTE)} AS body FROM r""")
+def guard_refusal_replies(spark: SparkSession, d: str) -> DataFrame:
+    """What a blocked request is answered, as a whole body and as a stream."""
+    rows = _decided(spark, d, "cascade").where("action = 'block'")
+    none = F.lit(None).cast("string")
+    note = chat.guardrail_note(F.col("action"), F.col("category"), F.col("final_score"), F.col("judge_invoked"), F.lit("abcdef0123456789"), none, F.concat(F.lit("r"), F.col("qid").cast("string")))
+    given = (F.concat(F.lit("chatcmpl-guard-"), F.col("qid").cast("string")), F.col("qid"), F.lit("m"), guard.refusal_text(none, none, none), "content_filter")
+    stream = chat.reply_stream(*given, usage=F.col("qid") % 2 == 0, note=note)
+    return rows.select("qid", F.array_join(stream, "").alias("stream"), chat.reply_body(*given, note=note, name="guardrail").alias("body"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_type ELSE 'I can''t help with that request.' END AS refusal FROM part")
 def guard_refusal_text(spark: SparkSession, d: str) -> DataFrame:
     third = F.col("p_size") % 3
@@ -307,6 +359,27 @@ def judge_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", *[F.sha2(F.col(f"p.{part}").cast("binary"), 256).alias(f"{part}_sha") for part in ("system", "user")])
 
 
+# Replies of an embedding endpoint: batches of 64 vectors, with a fault by the batch's number.
+
+
+@query("""WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS own, (vec_id // 64) % 16 AS fault, count(*) OVER (PARTITION BY vec_id // 64) AS n FROM embeddings),
+p AS (SELECT *, CASE WHEN fault = 2 AND n > 1 THEN 'repeated_index' WHEN fault = 3 THEN 'wrong_count' WHEN fault = 4 AND n > 1 THEN 'mixed_dimensions' WHEN fault = 5 THEN 'endpoint_error' WHEN fault = 6 THEN 'bad_index' WHEN fault = 7 THEN 'no_reply' END AS problem FROM b)
+SELECT vec_id, problem, CASE WHEN problem IS NULL THEN round(own[1] / sqrt(list_dot_product(own, own)), 6) END AS first, CASE WHEN problem IS NULL THEN round(own[-1] / sqrt(list_dot_product(own, own)), 6) END AS last FROM p""")
+def embedding_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector through a reply's JSON and back: out of order, without index, repeated, short, mixed, failed, out of range, missing."""
+    rows = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.expr("vec_id div 64").alias("batch"))
+    requests = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("own"))  # at most 64 rows
+    fault, several = F.col("batch") % 16, F.size("own") > 1
+    index = lambda i: F.when(fault == 2, 0).when(fault == 6, i + 1).when(fault != 1, i)
+    vector = lambda x, i: F.when((fault == 4) & several & (i == 0), F.slice(x["v"], 2, F.size(x["v"]) - 1)).otherwise(x["v"])
+    items = F.transform("own", lambda x, i: F.struct(index(i).alias("index"), vector(x, i).alias("embedding")))
+    dealt = F.when(fault == 1, items).when(fault == 3, F.slice(items, 1, F.size(items) - 1)).otherwise(F.reverse(items))
+    reply = F.when(fault == 5, F.lit('{"error":{"message":"overloaded"}}')).when(fault != 7, F.to_json(F.struct(dealt.alias("data"))))
+    asked = requests.select(F.transform("own", lambda x: x["vec_id"].cast("string")).alias("texts"), reply.alias("reply"))
+    read = embeddings.read_replies(asked, "texts", "reply")
+    return read.select(F.col("text").cast("long").alias("vec_id"), "problem", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"))
+
+
 @query()
 def guard_chain(spark: SparkSession, d: str) -> DataFrame:
     """Every conversation through the whole guard: the policy's exemplars, the stand-in embedder, no judge."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.operators import chat, logs, registry
+from emberlake.plans.guarding import body_sql, sse_sql
 from emberlake.plans.recall import PROMOTE, REPLAY, TTL, seconds
 from emberlake.sources import sinks
 from emberlake.sources.tables import read_table, shared_dir
@@ -49,6 +50,54 @@ def sse_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _stream_lines(spark, d).groupBy("stream_id").agg(F.count("*").alias("n_lines"))
 
 
+def _cached(spark: SparkSession, d: str) -> tuple[DataFrame, tuple]:
+    """Assistant turns as replies that a cache answers, and the arguments of their body or stream."""
+    rows = read_table(spark, d, "conversations").where("role = 'assistant'").withColumn("stream_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return rows, (F.concat(F.lit("chatcmpl-cache-"), F.col("stream_id").cast("string")), F.col("stream_id"), F.lit("m"), F.col("text"), "stop")
+
+
+_REPLIES = "WITH r AS (SELECT conv_id * 1000 + turn AS stream_id, conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant')"
+_ID = "'chatcmpl-cache-' || stream_id"
+_HIT = "CAST(json_object('hit', true, 'similarity', CASE WHEN turn % 2 = 0 THEN (conv_id % 100) / 100.0::DOUBLE END) AS VARCHAR)"
+
+
+@query(f"""{_REPLIES} SELECT stream_id, {sse_sql(_ID, "stream_id", "text", "'stop'", "conv_id % 2 = 0")} AS stream FROM r""")
+def cached_streams(spark: SparkSession, d: str) -> DataFrame:
+    rows, given = _cached(spark, d)
+    return rows.select("stream_id", F.array_join(chat.reply_stream(*given, usage=F.col("conv_id") % 2 == 0), "").alias("stream"))
+
+
+@query(f"""{_REPLIES} SELECT stream_id, {body_sql(_ID, "stream_id", "text", "stop", "semantic_cache", _HIT)} AS body FROM r""")
+def cached_bodies(spark: SparkSession, d: str) -> DataFrame:
+    rows, given = _cached(spark, d)
+    similarity = F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 100) / F.lit(100.0))
+    return rows.select("stream_id", chat.reply_body(*given, note=chat.hit_note(similarity)).alias("body"))
+
+
+@query(f"{_REPLIES} SELECT stream_id, sha256(text) AS content_sha, 'stop' AS finish_reason, CASE WHEN conv_id % 2 = 0 THEN 0 END::BIGINT AS total_tokens, true AS done, trim(text) <> '' AS storable FROM r")
+def cached_stream_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """The streams of ``cached_streams`` read back as a proxy reads them, and whether each may be stored."""
+    rows, given = _cached(spark, d)
+    lines = rows.select("stream_id", F.posexplode(chat.reply_stream(*given, usage=F.col("conv_id") % 2 == 0)).alias("seq", "line"))
+    out = chat.accumulate_stream(lines)
+    return out.select("stream_id", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"), "finish_reason", "total_tokens", "done", chat.may_store(F.col("finish_reason"), F.col("content"), F.lit(False)).alias("storable"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, turn % 4 AS kind FROM conversations),
+x AS (SELECT conv_id, turn, kind, t, CASE kind WHEN 0 THEN t WHEN 1 THEN CASE WHEN t = '' THEN role ELSE t || ' ' || role END ELSE '' END AS cached, CASE kind WHEN 0 THEN t WHEN 1 THEN CASE WHEN t = '' THEN role ELSE t || ' ' || role END WHEN 2 THEN t ELSE '' END AS guarded FROM m)
+SELECT conv_id, turn, sha256(cached) AS cache_sha, sha256(guarded) AS guard_sha, kind = 3 OR (kind = 2 AND trim(t) = '') AS unreadable FROM x""")
+def message_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as plain text, typed parts, parts of an unknown type, and an image alone: what a cache and a guard read of each."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    part = lambda type_, t: F.struct(F.lit(type_).alias("type"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    parts = F.when(kind == 1, F.array(part("text", text), part("image_url", none), part("text", F.col("role")))).when(kind == 2, F.array(part("input_text", text))).otherwise(F.array(part("image_url", none)))
+    rows = read_table(spark, d, "conversations").withColumn("content", F.when(kind == 0, text).otherwise(F.to_json(parts)))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    content = F.col("content")
+    return rows.select("conv_id", "turn", sha(chat.content_text(content)).alias("cache_sha"), sha(chat.guard_text(content)).alias("guard_sha"), chat.unreadable(content).alias("unreadable"))
+
+
 @query("SELECT event_id, value >= 2 AND event_type <> 'error' AND event_id % 5 <> 0 AS cacheable, event_type = 'click' AND event_id % 7 <> 0 AS storable FROM events")
 def cache_gates(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "events")

@@ -441,7 +441,7 @@ def test_sse(spark):
     assert (got[1]["content"], got[1]["finish_reason"], got[1]["total_tokens"], got[1]["done"]) == ("Hey", "stop", 7, True)
     assert (got[2]["content"], got[2]["done"]) == ("", False)
     note = spark.range(1).select(chat.guardrail_note(F.lit("flag"), F.lit(""), F.lit(0.123456), F.lit(False), F.lit("0123456789abcdef"), F.lit(None).cast("string")).alias("n")).first()["n"]
-    assert note == '{"action":"flag","score":0.1235,"policy":"0123456789ab"}'
+    assert note == '{"action":"flag","score":0.1235,"judge_invoked":false,"policy":"0123456789ab"}'
 
 
 def test_logs(spark):
