@@ -37,6 +37,12 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
 
 
+def query_record(text: Column, normalise=clean, **metadata: Column) -> Column:
+    """A query with what it carries along: (text, metadata), the text normalised, the metadata a struct or, without any, null."""
+    carried = F.struct(*[c.alias(n) for n, c in metadata.items()]) if metadata else F.lit(None).cast("struct<>")
+    return F.struct(normalise(text).alias("text"), carried.alias("metadata"))
+
+
 def canonical(text: Column, compose: bool = True) -> Column:
     """The aggressive form: composed, digits folded, lower-cased, apostrophes deleted,
     punctuation spaced, stop words dropped unless nothing else is left."""

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from emberlake.sources.tables import staged
 
 MODES = ("off", "exact", "bm25", "fuzzy", "semantic", "entity-aware")
+REASONS = ("no_candidate", "below_threshold", "extractor_error")  # why a lookup missed
 
 
 def resolve_modes(mode: str | Sequence[str], exact_tier: bool = False) -> list[str]:

@@ -91,6 +91,25 @@ def cache_feed(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {LOOKUPS}, k AS (SELECT *, fresh AND (promo IS NULL OR slot <= promo) AS put FROM p),
+t AS (SELECT coalesce(sum(k) FILTER (WHERE NOT put), 0)::BIGINT AS hits, coalesce(sum(k) FILTER (WHERE put), 0)::BIGINT AS misses, count(*) FILTER (WHERE put) AS writes FROM k)
+SELECT unnest(['cache_lookups_total{{result="hit",reason="hit"}} ' || hits, 'cache_lookups_total{{result="miss",reason="no_candidate"}} ' || misses, 'cache_lookups_total{{result="miss",reason="below_threshold"}} 0',
+'cache_lookups_total{{result="miss",reason="extractor_error"}} 0', 'cache_writes_total{{outcome="ok"}} ' || writes]) AS line FROM t""")
+def cache_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the engine has counted after all lookups, as exposition lines."""
+    folder = _folder(spark)
+    engine = _replayed(spark, d, folder)
+    delete(spark, folder)
+    return engine.exposition()
+
+
+@query("SELECT event_id, lower(trim(event_type)) AS text, user_id, event_type FROM events")
+def query_records(spark: SparkSession, d: str) -> DataFrame:
+    """Events as queries that carry their user and type along."""
+    record = text.query_record(F.col("event_type"), lambda c: F.lower(text.clean(c)), user_id=F.col("user_id"), event_type=F.col("event_type"))
+    return read_table(spark, d, "events").select("event_id", record.alias("q")).select("event_id", "q.text", "q.metadata.user_id", "q.metadata.event_type")
+
+
 # Model answers
 
 

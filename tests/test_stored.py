@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlake.engine import RecallEngine
-from emberlake.functions import vectors
+from emberlake.functions import text, vectors
 from emberlake.operators import lexical, nearest, seams
 from emberlake.operators.clusters import Clusters
 from emberlake.sources import text_index
@@ -236,3 +236,42 @@ def test_pruned_scan_equals_a_full_one(spark, spread, most):
     few = Clusters(rows.limit(3))
     assert few.nearest(queries, 5).count() == 3 * 120 and Clusters(rows.limit(0)).nearest(queries, 5).count() == 0
     few.close()
+
+
+def test_reasons_of_misses_and_metadata(spark, tmp_path):
+    def lines(engine):
+        return {r["line"] for r in engine.exposition("c").collect() if not r["line"].endswith(" 0")}
+
+    def reasons(engine, rows):
+        return {r["query_id"]: r["reason"] for r in engine.search(spark.createDataFrame(rows, QUERY), 200).collect()}
+
+    entry = spark.createDataFrame([("red apple", "A", None, [1.0, 0.0], {"user": "u1"}), ("green pear", "B", "s", [0.0, 1.0], None)], ENTRY + ", metadata map<string,string>")
+    semantic = RecallEngine(spark, f"{tmp_path}/semantic", ["exact", "semantic"], floor=0.9)
+    assert lines(semantic) == set()
+    semantic.set(entry, 100)
+    asked = [(1, "red apple", None, None), (2, "x", None, [1.0, 0.1]), (3, "x", None, [1.0, 2.0]), (4, "x", "nobody", [1.0, 0.0]), (5, "x", None, None)]
+    assert reasons(semantic, asked) == {1: None, 2: None, 3: "below_threshold", 4: "no_candidate", 5: "no_candidate"}
+    assert lines(semantic) == {'c_lookups_total{result="hit",reason="hit"} 2', 'c_lookups_total{result="miss",reason="no_candidate"} 2', 'c_lookups_total{result="miss",reason="below_threshold"} 1', 'c_writes_total{outcome="ok"} 2'}
+    got = {r["query_id"]: r["metadata"] for r in semantic.search(spark.createDataFrame(asked[:1] + [(9, "green pear", "s", None)], QUERY), 300).collect()}
+    assert got == {1: '{"user":"u1"}', 9: "{}"}
+
+    lexical = RecallEngine(spark, f"{tmp_path}/lexical", "bm25", exact_tier=False, min_score=1e6)
+    lexical.set(entry.drop("metadata"), 100)
+    assert reasons(lexical, [(1, "apple", None, None), (2, "plum", None, None)]) == {1: "below_threshold", 2: "no_candidate"}
+
+    def extractor(texts):
+        if any("broken" in t for t in texts):
+            raise ValueError("no answer")
+        return [["paris" if "apple" in t else "rome"] for t in texts]
+
+    aware = RecallEngine(spark, f"{tmp_path}/aware", "entity-aware", exact_tier=False, floor=0.9, extractor=extractor)
+    aware.set(spark.createDataFrame([("red apple", "A", None, [1.0, 0.0]), ("broken", "B", None, [0.0, 1.0])], ENTRY), 100)
+    assert reasons(aware, [(1, "apple", None, [1.0, 0.0]), (2, "pear", None, [1.0, 0.0]), (3, "broken", None, [1.0, 0.0]), (4, "apple", "s", [1.0, 0.0])]) == {1: None, 2: "below_threshold", 3: "extractor_error", 4: "no_candidate"}
+    assert {'c_writes_total{outcome="ok"} 1', 'c_writes_total{outcome="skipped_extractor_error"} 1', 'c_extractor_calls_total{outcome="error"} 2', 'c_lookups_total{result="miss",reason="extractor_error"} 1'} <= lines(aware)
+    off = RecallEngine(spark, f"{tmp_path}/off", "off")
+    assert [(r["hit"], r["reason"]) for r in off.search(spark.createDataFrame(asked[:1], QUERY), 0).collect()] == [(False, None)]
+
+
+def test_query_records(spark):
+    out = spark.createDataFrame([(" a  B ", 1), (None, None)], "t string, u int").select(text.query_record(F.col("t"), user=F.col("u")).alias("q"), text.query_record(F.col("t")).alias("p")).collect()
+    assert [(r["q"]["text"], r["q"]["metadata"]["user"], r["p"]["metadata"]) for r in out] == [("a B", 1, None), ("", None, None)]
