@@ -7,6 +7,7 @@ import __spark_entry__ as entry_point
 
 EXPECTED = {
     "guard_vote": {"qid": 5, "score": 1.0, "best_category": "c0", "n_scored": 1},
+    "guard_decide_embedding": {"qid": 5, "final_score": 1.0, "category": "c0", "judge_invoked": False, "action": "block"},
 }
 
 
