@@ -10,6 +10,7 @@ EXPECTED = {
     "guard_decide_embedding": {"qid": 5, "final_score": 1.0, "category": "c0", "judge_invoked": False, "action": "block"},
     "guard_decide_cascade": {"qid": 5, "final_score": 1.0, "category": "c0", "judge_invoked": False, "action": "block"},
     "guard_decide_judge": {"qid": 5, "final_score": 0.84, "category": "c0", "judge_invoked": True, "action": "block"},
+    "guard_decide_max": {"qid": 5, "final_score": 1.0, "category": "c0", "judge_invoked": True, "action": "block"},
 }
 
 
