@@ -12,6 +12,7 @@ EXPECTED = {
     "guard_decide_judge": {"qid": 5, "final_score": 0.84, "category": "c0", "judge_invoked": True, "action": "block"},
     "guard_decide_max": {"qid": 5, "final_score": 1.0, "category": "c0", "judge_invoked": True, "action": "block"},
     "guard_worst_window": {"request_id": 5, "position": 5, "score": 1.0},
+    "guard_responses": {"qid": 5, "status": 200, "guardrail": "content_filter"},
 }
 
 
