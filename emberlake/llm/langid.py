@@ -23,6 +23,7 @@ BUCKETS = 1 << 15
 DIM = 16
 SAMPLE_ROWS = 1_000  # labelled rows a language
 EPOCHS = 8
+SLICE_CHARS = 400_000  # of texts whose subwords are held at once
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[97:123] = True
@@ -52,13 +53,23 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _averages(table: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """Mean of the table's rows over each text's subwords; zeros where there are none."""
-    buckets, at = subwords(texts)
+    """Mean of the table's rows over each text's subwords; zeros where there are none.
+
+    Texts are taken in slices: their subwords need many times their own memory.
+    """
     out = np.zeros((len(texts), table.shape[1]))
-    filled = np.flatnonzero(np.diff(at) > 0)
-    if len(filled):
-        values = table[buckets]
-        out[filled] = np.add.reduceat(values, at[:-1][filled], axis=0, dtype=np.float64) / np.diff(at)[filled][:, None]
+    start = 0
+    while start < len(texts):
+        stop, chars = start, 0
+        while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= SLICE_CHARS):
+            chars += len(texts[stop] or "")
+            stop += 1
+        buckets, at = subwords(texts[start:stop])
+        filled = np.flatnonzero(np.diff(at) > 0)
+        if len(filled):
+            sums = np.add.reduceat(table[buckets], at[:-1][filled], axis=0, dtype=np.float64)
+            out[start + filled] = sums / np.diff(at)[filled][:, None]
+        start = stop
     return out
 
 
@@ -89,7 +100,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> LanguageModel:
     held, train = order[: len(y) // 5], order[len(y) // 5 :]
     if not len(held):
         held = train
-    made = [np.unique(subwords([t])[0], return_counts=True) for t in texts]
+    made = [(ids, counts.astype(np.int32)) for ids, counts in (np.unique(subwords([t])[0], return_counts=True) for t in texts)]
     for epoch in range(EPOCHS):
         rate = 0.5 * (1 - epoch / EPOCHS)
         for i in draw.permutation(train):
