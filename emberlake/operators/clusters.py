@@ -21,6 +21,7 @@ from emberlake.operators.nearest import BLOCK_ROWS, _block, _matrix
 from emberlake.sources.tables import staged, unstage
 
 MOST_CENTRES = 4_096  # all centres are held in a task: this many times the length of a vector
+CHOOSE_ROWS, CHOOSE_PAIRS = 256, 4_096  # queries whose clusters are chosen at once, and pairs with a vector that are made at once
 ROUNDS = 2  # of moving centres to the mean of their members
 SLACK = 1e-6  # radians: angles are taken from rounded products
 
@@ -80,12 +81,16 @@ class Clusters:
         if self.rows is not None:
             unstage(self.rows)
 
-    def _scan(self, asked: DataFrame, k: int, skip_self: bool) -> DataFrame:
-        """The k best of each block of the clusters that each query asks for: (qid, v, cluster)."""
+    def _scan(self, asked: DataFrame, k: int, skip_self: bool, parts: int = 1) -> DataFrame:
+        """The k best of each block of the clusters that each query asks for: (qid, v, cluster).
+
+        Queries are dealt into ``parts``, so a group holds few of either side however many ask for a cluster.
+        """
         blocks = self.spark.createDataFrame([(i, max(1, -(-int(n) // BLOCK_ROWS))) for i, n in enumerate(self.sizes)], "cluster long, blocks int")
-        left = asked.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        right = self.rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        both = left.select("cluster", "block", "qid", "v").groupBy("cluster", "block").cogroup(right.select("cluster", "block", "rid", "v").groupBy("cluster", "block"))
+        left = asked.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+        right = self.rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        keys = ["cluster", "block", "part"]
+        both = left.select(*keys, "qid", "v").groupBy(*keys).cogroup(right.select(*keys, "rid", "v").groupBy(*keys))
         return both.applyInArrow(_block(k, None, skip_self), "qid long, rid long, similarity double")
 
     def nearest(self, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
@@ -99,38 +104,45 @@ class Clusters:
         centres, sizes, radii = self.centres, self.sizes, self.radii
         queries = queries.select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("v"))
 
+        n_queries = queries.count()
+        parts = -(-n_queries // BLOCK_ROWS) or 1
+
         def choose(first: bool):
             """The clusters of a query: those nearest to it that hold k rows, or the others within reach of its k-th best."""
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    v = _matrix(pa.chunked_array([batch.column("v")]))
-                    angle = _angles(v, centres)
-                    order = np.argsort(angle, axis=1, kind="stable")
-                    held = np.cumsum(sizes[order], axis=1)
-                    near = np.zeros(angle.shape, bool)
-                    np.put_along_axis(near, order, held - sizes[order] < k + skip_self, axis=1)
-                    if not first:
-                        reach = np.cos(np.maximum(0.0, angle - radii[None, :] - SLACK))
-                        worst = batch.column("worst").fill_null(-2.0).to_numpy(zero_copy_only=False)
-                        near = ~near & (reach + SLACK >= worst[:, None])
-                    q, c = np.nonzero(near & (sizes > 0)[None, :])
-                    ids = batch.column("qid").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("v").take(pa.array(q)), pa.array(c)], names=["qid", "v", "cluster"])
+                for whole in batches:
+                    for start in range(0, whole.num_rows, CHOOSE_ROWS):
+                        batch = whole.slice(start, CHOOSE_ROWS)
+                        v = _matrix(pa.chunked_array([batch.column("v")]))
+                        angle = _angles(v, centres)
+                        order = np.argsort(angle, axis=1, kind="stable")
+                        held = np.cumsum(sizes[order], axis=1)
+                        near = np.zeros(angle.shape, bool)
+                        np.put_along_axis(near, order, held - sizes[order] < k + skip_self, axis=1)
+                        if not first:
+                            reach = np.cos(np.maximum(0.0, angle - radii[None, :] - SLACK))
+                            worst = batch.column("worst").fill_null(-2.0).to_numpy(zero_copy_only=False)
+                            near = ~near & (reach + SLACK >= worst[:, None])
+                        q, c = np.nonzero(near & (sizes > 0)[None, :])
+                        ids = batch.column("qid").to_numpy()
+                        for at in range(0, len(q), CHOOSE_PAIRS):
+                            own = q[at : at + CHOOSE_PAIRS]
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), batch.column("v").take(pa.array(own)), pa.array(c[at : at + CHOOSE_PAIRS])], names=["qid", "v", "cluster"])
 
             return run
 
         best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid")
         columns = "qid long, v array<double>, cluster long"
         asked = staged(queries.mapInArrow(choose(True), columns))
-        ranked = self._scan(asked, k, skip_self).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        ranked = self._scan(asked, k, skip_self, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         found = staged(ranked.drop("rank"))
         worst = found.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("worst"))
         more = staged(queries.join(worst, "qid", "left").mapInArrow(choose(False), columns))
         number = self.spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "cluster long, n long")
         pairs = asked.select("cluster").unionByName(more.select("cluster")).join(number, "cluster").agg(F.sum("n")).first()[0] or 0
-        self.compared = pairs / max(1, queries.count() * self.n)
-        both = found.unionByName(self._scan(more, k, skip_self))
+        self.compared = pairs / max(1, n_queries * self.n)
+        both = found.unionByName(self._scan(more, k, skip_self, parts))
         out = staged(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rid", "similarity", "rank"))
         unstage(asked, found, more)
         return out
