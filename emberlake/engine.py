@@ -217,17 +217,16 @@ class RecallEngine:
             ranked = candidates("entity-aware", ranked)
             return cascade.entity_aware_hits(ranked, text.entities_overlap(F.col("asked"), F.col("kept")), self.floor)
 
-        known = {"entity-aware": entity_aware, "exact": lambda left: cascade.exact_hits(left, held), "bm25": lexical_tier(False), "fuzzy": lexical_tier(True), "semantic": semantic}
+        known = {"entity-aware": entity_aware, "exact": lambda left: cascade.exact_hits(left.hint("merge"), held), "bm25": lexical_tier(False), "fuzzy": lexical_tier(True), "semantic": semantic}
         tiers = [(t, known[t]) for t in self.tiers]
         if not tiers:
             return queries.select("query_id", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("similarity"), *[F.lit(None).cast("string").alias(c) for c in ("response", "metadata", "reason")])
-        hits = cascade.cascade(clean, tiers)
         answers = held.select("entry_id", "entry_key", F.col("scope").alias("entry_scope"), "response", "metadata")
+        out = hits = cascade.cascade(clean, tiers, answers)
         seen = Observation()
-        out = hits.join(answers, "entry_id", "left")
         reason = F.lit("no_candidate")
         for name, ids in [*(("below_threshold", x) for x in near), *(("extractor_error", x) for x in failed)]:
-            out = out.join(ids.select("query_id").distinct().withColumn(f"__{name}", F.lit(True)), "query_id", "left")
+            out = out.join(ids.select("query_id").distinct().withColumn(f"__{name}", F.lit(True)).hint("merge"), "query_id", "left")
             reason = F.when(F.col(f"__{name}"), name).otherwise(reason)
         out = out.withColumn("reason", F.when(~F.col("hit"), reason)).drop(*[f"__{r}" for r in cascade.REASONS])
         misses = [F.count_if(F.col("reason") == r).alias(f"miss_{r}") for r in cascade.REASONS]

@@ -55,7 +55,7 @@ def _replayed(spark: SparkSession, d: str, folder: str) -> RecallEngine:
     for slot in sorted(r[0] for r in rows.select("slot").distinct().collect()):
         mine = rows.where(F.col("slot") == slot)
         found = engine.search(mine, slot * SLOT)
-        missed = mine.join(found.where("not hit").select("query_id"), "query_id", "left_semi")
+        missed = mine.join(found.where("not hit").select("query_id").hint("merge"), "query_id", "left_semi")
         engine.set(missed.select("text", F.lit("an answer").alias("response"), "scope", "embedding").distinct(), slot * SLOT)
     delete(spark, rows._staged)
     return engine

@@ -30,16 +30,21 @@ def merge(base: DataFrame, changes: DataFrame, ttl: int, threshold: int) -> Data
     whose hits reach ``threshold`` (0: never) by a touch, has none any more.
     Touches meet only entries that were live, so their order does not matter.
     """
-    puts = changes.where(F.col("kind") == PUT)
-    fields = [c for c in ENTRY.fieldNames() if c not in ("entry_key", "written")]
-    last = puts.groupBy("entry_key").agg(F.max_by(F.struct(*fields), "change").alias("e"), F.max("change").alias("written"))
-    last = last.select("entry_key", *[F.col(f"e.{c}").alias(c) for c in fields], "written")
-    gone = changes.where(F.col("kind") == DELETE).groupBy("entry_key").agg(F.max("change").alias("gone"))
-    kept = base.join(last.select("entry_key"), "entry_key", "left_anti").unionByName(last.select(*base.columns))
-    kept = kept.join(gone, "entry_key", "left").where(F.col("gone").isNull() | (F.col("gone") < F.col("written"))).drop("gone")
-    touched = changes.where(F.col("kind") == TOUCH).select("entry_key", "entry_id", "count", "at")
-    touched = touched.groupBy("entry_key", "entry_id").agg(F.sum("count").alias("more"), F.max("at").alias("last"))  # of this write of the key alone
-    rows = kept.join(touched, ["entry_key", "entry_id"], "left").withColumn("total", F.col("hits") + F.coalesce("more", F.lit(0)).cast("int"))
+    fields = [c for c in ENTRY.fieldNames() if c not in ("entry_key", "entry_id", "written")]
+    own = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    made = changes.select(
+        "entry_key", "entry_id", *[own(PUT, c).alias(c) for c in fields], own(PUT, "change").alias("written"),
+        own(DELETE, "change").alias("gone"), own(TOUCH, "count").alias("more"), own(TOUCH, "at").alias("last"),
+    )
+    # One shuffle by key and no join: base and changes, whatever their sizes, are never sent through the driver.
+    rows = base.unionByName(made, allowMissingColumns=True).repartition("entry_key")
+    writes = rows.groupBy("entry_key", "entry_id").agg(  # touches are those of this write of the key alone
+        *[F.max_by(c, "written").alias(c) for c in fields], F.max("written").alias("written"), F.max("gone").alias("gone"), F.sum("more").alias("more"), F.max("last").alias("last"),
+    )
+    newest = F.when(F.col("written").isNotNull(), F.struct("written", "entry_id"))
+    kept = writes.groupBy("entry_key").agg(*[F.max_by(c, newest).alias(c) for c in (*fields, "entry_id", "more", "last")], F.max("written").alias("written"), F.max("gone").alias("gone"))
+    kept = kept.where(F.col("written").isNotNull() & (F.col("gone").isNull() | (F.col("gone") < F.col("written"))))
+    rows = kept.withColumn("total", F.col("hits") + F.coalesce("more", F.lit(0)).cast("int"))
     permanent = F.col("expires_at").isNull() | ((F.col("total") >= threshold) if threshold > 0 else F.lit(False))
     renewed = F.when(F.col("more").isNull(), F.col("expires_at")).when(~permanent, F.col("last") + ttl)
     return rows.withColumns({"expires_at": renewed, "hits": F.col("total")}).select(*base.columns)
