@@ -85,7 +85,7 @@ def cache_feed(spark: SparkSession, d: str) -> DataFrame:
         text.entry_key(F.lit(None).cast("string"), F.concat_ws(" ", F.col("user_id").cast("string"), "event_type")).alias("entry_key"), (F.floor(seconds() / SLOT) * SLOT).cast("long").alias("at")
     )
     k = asked.groupBy("entry_key", "at").agg(F.count("*").alias("k"))
-    rows = changes.join(k, ["entry_key", "at"]).where((F.col("kind") == "put") | (F.col("count") == F.col("k")))
+    rows = changes.join(k.hint("merge"), ["entry_key", "at"]).where((F.col("kind") == "put") | (F.col("count") == F.col("k")))
     out = staged(rows.groupBy("kind", "at").agg(F.count("*").alias("n"), F.sum("k").alias("lookups")))
     delete(spark, folder)
     return out

@@ -70,6 +70,10 @@ class EntryTable:
         rows = self.spark.read.schema(CHANGE).parquet(*[f"{self.folder}/log/c{n}" for n in numbers])
         return rows.withColumn("change", F.regexp_extract(F.col("_metadata.file_path"), r"/c(\d+)/[^/]*$", 1).cast("long"))
 
+    def batch(self, number: int) -> DataFrame:
+        """The changes of one batch, of which alone the folder is read."""
+        return self.spark.read.schema(CHANGE).parquet(f"{self.folder}/log/c{number}")
+
     def stream(self) -> DataFrame:
         """The changes as a stream, batch by batch as they are written."""
         rows = self.spark.readStream.schema(CHANGE).parquet(f"{self.folder}/log/c*")
@@ -131,7 +135,7 @@ def mirror(table: EntryTable, into: EntryTable, checkpoint: str):
         held = set(into.batches())
         for n in table.batches():
             if n in seen or n not in held:
-                into.append(table.changes(n - 1).where(F.col("change") == n), n)
+                into.append(table.batch(n), n)
 
     stream = table.stream().writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()

@@ -2,6 +2,7 @@
 
 from emberlake.engine import RecallEngine
 from emberlake.operators import cascade
+from emberlake.sources.entry_table import EntryTable, mirror
 
 QUERY = "query_id long, text string, scope string, embedding array<double>"
 
@@ -32,3 +33,18 @@ def test_answers_are_joined_to_hits_without_broadcasts(spark, tmp_path):
     out = cascade.cascade(asked, [("exact", lambda left: cascade.exact_hits(left.hint("merge"), held))], held.select("entry_id", "response"))
     assert "Broadcast" not in plan(out)
     assert {(r["query_id"], r["hit"], r["response"]) for r in out.collect()} == {(0, True, "to a"), (7, False, None)}
+
+
+def test_mirror_reads_each_batch_by_itself(spark, tmp_path, monkeypatch):
+    table = filled(spark, f"{tmp_path}/cache").table
+    copy = EntryTable(spark, f"{tmp_path}/mirror", 100, 3)
+    with monkeypatch.context() as patched:
+        patched.setattr(EntryTable, "changes", lambda *_: 1 / 0)  # all batches from a number on
+        mirror(table, copy, f"{tmp_path}/state")
+    rows = lambda t: sorted(map(repr, t.entries().select("entry_key", "hits", "expires_at", "entry_id").collect()))
+    assert copy.batches() == table.batches() and rows(copy) == rows(table)
+
+
+def test_counters_of_a_replay(spark, tmp_path):
+    lines = {r["line"] for r in filled(spark, f"{tmp_path}/cache").exposition().collect()}
+    assert 'cache_lookups_total{result="hit",reason="hit"} 2' in lines and 'cache_lookups_total{result="miss",reason="no_candidate"} 1' in lines
